@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from presswave.functions.registry import QUERIES, SQL
+from presswave.plans import graphs, keywords, relations, scores, sinks  # noqa: F401
+from presswave.streaming import queries as streams  # noqa: F401
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
