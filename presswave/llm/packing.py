@@ -104,7 +104,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int =
     return docs.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PIECES)
 
 
-def knapsack(lengths: np.ndarray, prices: np.ndarray, limit: int, most: int, slack: float = 1e-3) -> list[list[int]]:
+def knapsack(lengths: np.ndarray, prices: np.ndarray, limit: int, most: int, slack: float = 1e-2) -> list[list[int]]:
     """Indexes of the items (with repeats) of the dearest configurations, dearest first.
 
     One dynamic program over the capacities prices them all: for each item the best configuration that
@@ -133,14 +133,15 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, limit: int, most: int, sla
 def solve(histogram: dict[int, int], limit: int = LIMIT, step: float = 0.5, eta: float = 0.25, most: int = 64) -> list[tuple[dict[int, int], float]]:
     """Configurations (length: items) and their fractional numbers, covering every length of the histogram.
 
-    Prices start in proportion to length (the dual of the volume bound) and shrink with the covered share.
+    Prices start a little over proportion to length (in proportion they are the dual of the volume bound;
+    long pieces are harder to place) and shrink with the covered share.
     A configuration grows by ``step`` of what its scarcest length still needs, at least by one sequence.
     """
     lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), dtype=np.int64)
     need = np.array([histogram[k] for k in lengths], dtype=float)
     left, found = need.copy(), []
     while len(lengths):
-        for items in knapsack(lengths, lengths * np.exp(-eta * (1 - left / need)), limit, most):
+        for items in knapsack(lengths, lengths * (lengths / limit) ** 0.1 * np.exp(-eta * (1 - left / need)), limit, most):
             used, times = np.unique(items, return_counts=True)
             share = (left[used] / times).min()
             if share <= 1e-9:
