@@ -43,9 +43,11 @@ def pick_pivots(rows: DataFrame, pivots: int = PIVOTS, sample: int = SAMPLE) ->
     """Unit vectors of at most ``pivots`` different rows of a sample of ``sample`` rows, those with the least hash."""
     taken = rows.select("v", F.xxhash64("vec_id").alias("h"), "vec_id").orderBy("h", "vec_id").limit(sample).select("v").collect()
     told = dict.fromkeys(tuple(r["v"]) for r in taken)
-    size = len(next(iter(told), ()))
+    if not told:
+        return np.empty((0, 0))
+    size = len(next(iter(told)))
     x = np.array([t for t in told if len(t) == size][:pivots], dtype=float).reshape(-1, size)
-    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def nearest_pivots(pivots: np.ndarray, count: int):
