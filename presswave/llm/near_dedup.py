@@ -11,7 +11,9 @@ Bands of the signature propose pairs; every link is verified on the whole multis
 words are one class from the start, so copies are never paired. Pairs come in rounds: first each class
 with the least class it shares a bucket with; after linking, buckets whose classes are all connected are
 done; then one delegate of each component in a bucket with another's; at last all remaining pairs of classes of
-different components in a bucket. So every pair that shares a bucket is verified or already connected.
+different components in a bucket, each in the first bucket it shares, that can still be similar: shingles
+that no other remaining class has bound the overlap from above. So every pair that shares a bucket is
+verified, already connected, or proved to be below the threshold.
 
 Rows: null and empty texts, and texts without words, are near no other text: each keeps its own class.
 Rows that repeat a doc_id are rows of their own. Extra columns are ignored. An empty table gives an empty
@@ -198,12 +200,57 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return full.select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
 
+def shingle_counts(texts: DataFrame) -> DataFrame:
+    """node, shingle, times for the distinct shingles of each (node, text)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told = batch["text"].to_list()
+            for part in runs(told, 1 << 19):
+                for node, (shingles, times, _) in zip(batch["node"].iloc[part], shingle_bags(told[part]), strict=True):
+                    yield pd.DataFrame({"node": node, "shingle": shingles.view(np.int64), "times": times})
+
+    return texts.select("node", "text").mapInPandas(run, "node long, shingle long, times long")
+
+
+def still_possible(left: DataFrame, texts: DataFrame, threshold: float, rounds: int = 2) -> DataFrame:
+    """The rows (key, place, node, n, component) of ``left`` that can be in a pair at ``threshold``, and ``own``.
+
+    ``own`` counts the shingles of a class that no other class of ``left`` has, so its overlap with any of
+    them is at most n - own; similarity t of sizes n and m needs an overlap of t / (1 + t) * (n + m). What is
+    left out has no link, so counting again among the rest is right, and finds more.
+    """
+    share = threshold / (1 + threshold)
+    for _ in range(rounds):
+        left = left.select("key", "place", "node", "n", "component")
+        sizes = left.groupBy("key").agg(F.min("n").alias("smallest"))
+        nodes = left.join(sizes, "key").groupBy("node").agg(F.first("n").alias("n"), F.min("smallest").alias("smallest"))
+        counts = shingle_counts(texts.join(nodes.select("node"), "node"))
+        alone = counts.groupBy("shingle").agg(F.count("*").alias("classes"), F.first("node").alias("node"), F.first("times").alias("times")).filter("classes = 1")
+        own = nodes.join(alone.groupBy("node").agg(F.sum("times").alias("own")), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        able = own.filter(F.col("n") - F.col("own") >= share * (F.col("n") + F.greatest(F.col("smallest"), threshold * F.col("n"))) - 1e-6)
+        rest = materialize(left.join(able.select("node", "own"), "node"), "able")
+        split = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        left = materialize(rest.join(split.select("key"), "key"), "possible")
+    return left
+
+
+def remaining_pairs(left: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) of different components in a bucket that the bound allows, from the first bucket they share."""
+    share = threshold / (1 + threshold)
+    rows = left.join(classes.select("node", "bands"), "node")
+    a = rows.selectExpr("key", "place", "node AS u", "n", "own AS pu", "component AS cu", "slice(bands, 1, place) AS bu")
+    b = rows.selectExpr("key", "node AS v", "n AS m", "own AS pv", "component AS cv", "slice(bands, 1, place) AS bv")
+    enough = F.least(F.col("n") - F.col("pu"), F.col("m") - F.col("pv")) >= share * (F.col("n") + F.col("m")) - 1e-6
+    return a.join(b.withColumnRenamed("key", "key_v"), (F.col("key") == F.col("key_v")) & (F.col("cu") < F.col("cv")) & enough & ~F.arrays_overlap("bu", "bv")).select("u", "v")
+
+
 def linked_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, tag, words) and the component of each class (words, component)."""
     rows = materialize(signed(docs), "signed")
     grouped = rows.filter("words IS NOT NULL").groupBy("words").agg(F.min("tag").alias("tag"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    posted = classes.select("node", "n", F.explode("bands").alias("key"))
+    posted = classes.select("node", "n", F.posexplode("bands").alias("place", "key"))
     buckets = posted.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
     members = materialize(posted.join(buckets.select("key", "least"), "key"), "members")
     close = F.col("m") >= threshold * F.col("n")  # the sizes of similar multisets are similar
@@ -219,16 +266,16 @@ def linked_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataF
         parts = connected_components(links)
         placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
         split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        left = materialize(placed.join(split.select("key"), "key").select("key", "node", "n", "component"), "left")
+        left = materialize(placed.join(split.select("key"), "key").select("key", "place", "node", "n", "component"), "left")
         if not final:
             # a delegate of each component in a bucket with the delegate of its least component
             ones = left.groupBy("key", "component").agg(F.min(F.struct("node", "n")).alias("d"))
             lead = ones.groupBy("key").agg(F.min(F.struct("component", "d")).alias("lead"))
             pairs = ones.join(lead, "key").filter("component > lead.component").select(F.col("lead.d.node").alias("u"), F.col("d.node").alias("v"), F.col("lead.d.n").alias("n"), F.col("d.n").alias("m"))
+            near = pairs.filter(close & (F.col("n") >= threshold * F.col("m")))
         else:
-            a, b = left.selectExpr("key", "node AS u", "n", "component AS cu"), left.selectExpr("key", "node AS v", "n AS m", "component AS cv")
-            pairs = a.join(b, "key").filter("cu < cv").select("u", "v", "n", "m")
-        near = pairs.filter(close & (F.col("n") >= threshold * F.col("m"))).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+            near = remaining_pairs(still_possible(left, texts, threshold), classes, threshold)
+        near = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
         links = materialize(links.union(verified(near, texts, threshold)), "links")
     parts = connected_components(links)
     named = classes.select("words", "node").join(parts, "node", "left")
