@@ -2,11 +2,14 @@
 
 Texts are tokenised in tasks and cut into pieces of at most ``LIMIT`` ids. The histogram of piece lengths
 (``LIMIT`` numbers, whatever the input's size) goes to the driver, which solves the configuration program
-over it: multiplicative weights price the lengths by how far each is covered, a knapsack by dynamic
-programming finds the best configuration at those prices, and its share grows until its scarcest length
-is covered by a step. Shares are rounded down to whole sequences and what is left is rounded up, best fit
-first. The plan is a table of at most a few thousand ranges: the pieces number r to s of a length go to
-these sequences at this offset. Pieces are numbered within their length in salted groups, so a length
+over it. Prices of the lengths give a lower bound on the sequences (a knapsack by dynamic programming finds
+the dearest configuration). Two plans come first: best fit decreasing, and growth of the dearest
+configurations at prices near the volume bound. Unless one is within ``GAP`` of that bound, multiplicative
+weights run: prices start at one over need and fall exponentially with coverage, the dearest configurations
+get shares, and the scaled average of the shares is rounded down to whole sequences, with what is left packed
+by the better of best fit and growth at the prices of the bound. They stop at the gap or after ``ROUNDS``
+rounds, and the least plan is taken. It is a table of at most a few thousand ranges: the pieces number r to s
+of a length go to these sequences at this offset. Pieces are numbered within their length in salted groups, so a length
 that a third of all pieces share is spread over ``SALTS`` tasks, and each finds its place by a join.
 
 Rows: null text counts as empty (its ids are the end id alone). Rows that repeat a doc_id are packed like
@@ -19,6 +22,7 @@ import os
 import re
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -31,6 +35,8 @@ from presswave.llm.lookup import Remembered, runs
 from presswave.storage import bound_batches, materialize
 
 LIMIT, END, SALTS = 2048, 0, 256
+#: Where the configuration program stops: relative distance of the plan from the bound, and rounds at most.
+GAP, ROUNDS = 1e-3, 256
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Unique words that a worker remembers.
 REMEMBERED = 1 << 20
@@ -130,18 +136,20 @@ def knapsack(lengths: np.ndarray, prices: np.ndarray, limit: int, most: int, sla
     return out
 
 
-def solve(histogram: dict[int, int], limit: int = LIMIT, step: float = 0.5, eta: float = 0.25, most: int = 64) -> list[tuple[dict[int, int], float]]:
+def solve(histogram: dict[int, int], limit: int = LIMIT, step: float = 0.5, eta: float = 0.25, most: int = 64, dual: dict[int, float] | None = None) -> list[tuple[dict[int, int], float]]:
     """Configurations (length: items) and their fractional numbers, covering every length of the histogram.
 
-    Prices start a little over proportion to length (in proportion they are the dual of the volume bound;
-    long pieces are harder to place) and shrink with the covered share.
+    A greedy growth. Prices are ``dual``; without it they start a little over proportion to length (in
+    proportion they are the dual of the volume bound; long pieces are harder to place). They shrink with the
+    covered share.
     A configuration grows by ``step`` of what its scarcest length still needs, at least by one sequence.
     """
     lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), dtype=np.int64)
     need = np.array([histogram[k] for k in lengths], dtype=float)
+    prices = np.array([dual[k] for k in lengths]) if dual else lengths * (lengths / limit) ** 0.1
     left, found = need.copy(), []
     while len(lengths):
-        for items in knapsack(lengths, lengths * (lengths / limit) ** 0.1 * np.exp(-eta * (1 - left / need)), limit, most):
+        for items in knapsack(lengths, prices * np.exp(-eta * (1 - left / need)), limit, most):
             used, times = np.unique(items, return_counts=True)
             share = (left[used] / times).min()
             if share <= 1e-9:
@@ -150,7 +158,7 @@ def solve(histogram: dict[int, int], limit: int = LIMIT, step: float = 0.5, eta:
             found.append(({int(lengths[k]): int(n) for k, n in zip(used, times, strict=True)}, grown))
             left[used] -= grown * times
         alive = left > 1e-9
-        lengths, need, left = lengths[alive], need[alive], left[alive]
+        lengths, need, left, prices = lengths[alive], need[alive], left[alive], prices[alive]
     return found
 
 
@@ -162,26 +170,85 @@ def rounded(histogram: dict[int, int], found: list[tuple[dict[int, int], float]]
             plan.append((items, times))
             for k, n in items.items():
                 left[k] -= n * times
-    # what rounding left over is at most the items of one sequence for each configuration: best fit, longest first
-    rest = sorted((k for k, n in left.items() for _ in range(n)), reverse=True)
-    open_bins: list[list[list[int]]] = [[] for _ in range(limit + 1)]
-    rooms = np.zeros(limit + 1, dtype=np.int64)
-    bins: list[list[int]] = []
-    for k in rest:
-        fits = np.flatnonzero(rooms[k:])
-        room = int(fits[0]) + k if len(fits) else limit
-        if len(fits):
-            one = open_bins[room].pop()
-            rooms[room] -= 1
-        else:
-            bins.append(one := [])
-        one.append(k)
-        open_bins[room - k].append(one)
-        rooms[room - k] += 1
-    for one in bins:
-        items = {k: one.count(k) for k in one}
-        plan.append((items, 1))
-    return plan
+    return plan + best_fit(left, limit)
+
+
+def best_fit(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[dict[int, int], int]]:
+    """Best fit decreasing over counts: equal sequences are one group, so cost does not grow with pieces.
+
+    A piece goes to the least room that holds it, and so do the next of its length as long as they fit.
+    """
+    rooms: list[list[tuple[dict[int, int], int]]] = [[] for _ in range(limit + 1)]
+    filled = np.zeros(limit + 1, dtype=bool)
+    for k, n in sorted(histogram.items(), reverse=True):
+        while n:
+            room = k + int(filled[k:].argmax())
+            if filled[room]:
+                items, times = rooms[room].pop()
+                filled[room] = bool(rooms[room])
+            else:
+                room, items, times = limit, {}, n
+            each = min(room // k, n)
+            taken = min(times, n // each)
+            for group, count in ((items | {k: each}, taken), (items, times - taken)):
+                left = room - each * k if group is not items else room
+                if count and group:
+                    rooms[left].append((group, count))
+                    filled[left] = True
+            n -= each * taken
+    return [x for groups in rooms for x in groups]
+
+
+def sequences(plan: list[tuple[dict[int, int], int]]) -> int:
+    return sum(times for _, times in plan)
+
+
+def program(histogram: dict[int, int], limit: int = LIMIT, gap: float = GAP, rounds: int = ROUNDS, slack: float = 1e-2) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """The least plan found and a lower bound on the sequences of any plan.
+
+    A round adds shares of all configurations within ``slack`` of the dearest, in one step by which no
+    length is covered more than once over. Averages start anew when the number of rounds has doubled, so
+    that early prices do not stay in them.
+    """
+    lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), dtype=np.int64)
+    need = np.array([histogram[k] for k in lengths], dtype=float)
+    bound, dual = float(lengths @ need) / limit, lengths / limit
+    plan = min(best_fit(histogram, limit), rounded(histogram, solve(histogram, limit), limit), key=sequences)
+    log_prices, shares = -np.log(need), Counter()
+    for t in range(1, rounds + 1):
+        if sequences(plan) <= np.ceil(bound - 1e-6) * (1 + gap):
+            break
+        prices = np.exp(log_prices - log_prices.max())
+        found = knapsack(lengths, prices, limit, len(lengths), slack)
+        dearest = prices[found[0]].sum()
+        if need @ prices / dearest > bound:
+            bound, dual = float(need @ prices / dearest), prices / dearest
+        step, covered = {}, np.zeros(len(lengths))
+        for items in {tuple(sorted(x)) for x in found}:
+            used, times = np.unique(items, return_counts=True)
+            step[items] = (need[used] / times).min()
+            covered[used] += step[items] * times / need[used]
+        eta = 0.5 / np.sqrt(1 + t / 8) / covered.max()
+        for items, share in step.items():
+            shares[items] += eta * share
+        log_prices -= eta * covered
+        if t >= 8 and t & (t - 1) == 0 or t == rounds:
+            plan = min(plan, _whole(histogram, shares, lengths, bound, dual, limit), key=sequences)
+            shares = Counter()
+    return plan, bound
+
+
+def _whole(histogram: dict[int, int], shares: Counter, lengths: np.ndarray, bound: float, dual: np.ndarray, limit: int) -> list[tuple[dict[int, int], int]]:
+    """The average of ``shares`` scaled to ``bound`` sequences as a plan of whole sequences."""
+    scale, left, plan = bound / sum(shares.values()), dict(histogram), []
+    for config, share in shares.most_common():
+        items = Counter(int(lengths[k]) for k in config)
+        if times := min(int(share * scale + 1e-9), *(left[k] // n for k, n in items.items())):
+            plan.append((dict(items), times))
+            for k, n in items.items():
+                left[k] -= n * times
+    priced = dict(zip(lengths.tolist(), dual.tolist(), strict=True))
+    return plan + min(best_fit(left, limit), rounded(left, solve(left, limit, dual=priced), limit), key=sequences)
 
 
 def ranges(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
@@ -214,7 +281,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END) ->
     spark = docs.sparkSession
     pieces = materialize(token_pieces(docs, tokenizer, limit, end), "pieces")
     histogram = {int(k): int(n) for k, n in pieces.groupBy("length").count().collect()}  # at most ``limit`` rows
-    places = ranges(rounded(histogram, solve(histogram, limit), limit))
+    places = ranges(program(histogram, limit)[0])
     frame = spark.createDataFrame(places, "length long, begin long, last long, sequence long, each long, at long")
     # a block of numbers for the join, so that a common length is not one key
     size = 1024

@@ -160,6 +160,43 @@ def test_configurations_are_close_to_the_bound():
     assert sum(t for _, t in plan) <= len(bins) * 1.01
 
 
+@pytest.mark.parametrize(
+    ("histogram", "best"),
+    [
+        ({1100: 1000, 500: 1000}, 1000),  # a long piece in each sequence, and 500s fit beside them
+        ({1100: 1000, 900: 700, 500: 1000}, 1175),  # prices 3/4, 1/4, 1/4 prove it
+        ({1025: 30, 1023: 30, 2048: 5}, 35),
+        ({700: 900, 690: 500, 660: 800, 1000: 300}, 988),  # best fit needs 1034
+        ({7: 1}, 1),
+        ({}, 0),
+    ],
+)
+def test_few_lengths_need_the_fewest_sequences(histogram, best):
+    plan, bound = packing.program(histogram)
+    used = Counter()
+    for items, times in plan:
+        assert sum(k * n for k, n in items.items()) <= 2048
+        for k, n in items.items():
+            used[k] += n * times
+    assert used == Counter(histogram)
+    assert bound <= best + 1e-6 and sum(t for _, t in plan) <= best
+
+
+def test_best_fit_over_counts_is_best_fit_decreasing():
+    rng = np.random.default_rng(3)
+    for top in (300, 1200, 2048):
+        histogram = dict(Counter(rng.integers(1, top, 800).tolist() * 3))
+        bins = []
+        for k in sorted((k for k, n in histogram.items() for _ in range(n)), reverse=True):
+            fit = min((b for b in bins if b[0] >= k), default=None, key=lambda b: b[0])
+            (fit.__setitem__(0, fit[0] - k) if fit else bins.append([2048 - k]))
+        plan, used = packing.best_fit(histogram), Counter()
+        for items, times in plan:
+            used.update({k: n * times for k, n in items.items()})
+        assert used == Counter(histogram)
+        assert sorted(2048 - sum(k * n for k, n in x.items()) for x, t in plan for _ in range(t)) == sorted(b[0] for b in bins)
+
+
 def test_sentencepiece(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     one = sentencepiece_codec.codec(path)
