@@ -3,8 +3,9 @@
 Each page is parsed to a DOM; every node gets its composite text density: characters per tag, adjusted
 for link characters and link tags. A node's density sum adds up its children's densities. The node with
 the largest sum is found, the least density on its path to the body is the threshold, and the content is
-the largest-sum subtrees that reach it (the article element on that path, where there is one). Elements that are furniture by
-tag, role or class (menus, adverts, sidebars, comments, forms ...) take no part.
+the largest-sum subtrees below the nodes that reach it. Where article or main elements lie on that path, the
+outermost and its sibling articles bound the walk. Elements that are furniture by tag, role or class (menus,
+adverts, sidebars, comments, forms ...) take no part.
 
 Python runs inside tasks on one page at a time (mapInPandas); there is no shuffle, and memory is one
 Arrow batch. Rows: null or empty html gives '' and 0. Rows may repeat. A null url stays null. Extra
@@ -36,6 +37,7 @@ FURNITURE = frozenset(
     "head script style noscript template iframe object embed nav footer aside form button select option input textarea label menu "
     "dialog svg math canvas audio video noembed noframes title".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: An open element of the first kind ends at a start tag of the second kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
@@ -167,8 +169,9 @@ def content(root: Node) -> list[Node]:
     """The content subtrees in page order.
 
     The node with the largest density sum lies on a path to the body; the least density on it is the
-    threshold. An article or main element on that path is the content. Without one, each node from the body
-    down that reaches the threshold gives the largest-sum subtree below it.
+    threshold. Each node from the body down that reaches the threshold gives the largest-sum subtree below
+    it, and so do its children outside that subtree. The walk keeps to the outermost article or main on the
+    path and the articles beside it, where there is one; headings in there stay, as their length says nothing.
     """
     order = measure(root)
     peak: dict[Node, Node] = {}
@@ -178,18 +181,25 @@ def content(root: Node) -> list[Node]:
     path = [peak[root]]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    for x in path:
-        if x.tag in ("article", "main"):
-            return [x]
-    threshold, marked, stack = min(x.density for x in path), [], [root]
+    outer = next((x for x in reversed(path) if x.tag in ("article", "main")), None)
+    starts = [root] if outer is None else [c for c in outer.parent.items if isinstance(c, Node) and not c.furniture and c.tag in ("article", "main")]
+    threshold, marked, stack = min(x.density for x in path), set(), list(starts)
     while stack:
         x = stack.pop()
-        best = peak[x]
-        if best is x and x.density >= threshold:
-            marked.append(x)
+        if x.density >= threshold:
+            marked.add(peak[x])
+        elif outer is not None and x.tag in HEADINGS:
+            marked.add(x)
+        if x not in marked:
+            stack += [c for c in x.items if isinstance(c, Node) and not c.furniture and c.chars]
+    found, stack = [], starts[::-1]
+    while stack:
+        x = stack.pop()
+        if x in marked:
+            found.append(x)
         else:
-            stack += reversed([c for c in x.items if isinstance(c, Node) and not c.furniture and c.chars])
-    return marked
+            stack += reversed([c for c in x.items if isinstance(c, Node) and not c.furniture])
+    return found
 
 
 def text_of(node: Node) -> str:

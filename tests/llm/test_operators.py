@@ -242,6 +242,17 @@ def test_html(spark):
     assert got == {(1, "u"): (want, len(want)), (2, None): ("", 0), (2, "u"): ("", 0), (None, "u"): ("plain & text", 12), (3, "u"): ("deep", 4)}
 
 
+def test_html_keeps_every_article_of_a_page():
+    a, b, c = ("Some words of text for the first. " * 12).strip(), ("Other words, of the second one. " * 9).strip(), ("A quoted post that is denser. " * 30).strip()
+    two = f"<article><p>{a}</p></article><article><p>{b}</p></article>"
+    assert html_extract.extract(f"<body><main>{two}</main></body>").split("\n") == [a, b]
+    many = f"<article><h2>Head</h2>{f'<p>{a}</p>' * 4}</article><article><p>{b}</p></article>"
+    assert html_extract.extract(f"<body>{many}<div><a href=1>home</a></div></body>").split("\n") == ["Head", a, a, a, a, b]
+    links = "".join(f"<div><a href={k}>link {k}</a></div>" for k in range(40))
+    nested = f"<body>{links}<article><p>{a}</p><article>{f'<p>{c}</p>' * 4}</article><p>{b}</p></article></body>"
+    assert html_extract.extract(nested).split("\n") == [a, c, c, c, c, b]
+
+
 def test_warc(spark, tmp_path):
     rows = [(k, f"http://x/{k}", f"<p>{k % 3}</p>" * 50) for k in range(1, 40)] + [(50, None, None), (51, "u", ""), (2, "again", "other"), (None, "u", "nobody")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
