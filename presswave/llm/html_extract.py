@@ -50,7 +50,7 @@ NAMES = re.compile(
     re.I,
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s\"'>/=]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 SPACE = re.compile(r"\s+")
 
 
@@ -67,7 +67,7 @@ def furniture(tag: str, attributes: str, inside_article: bool) -> bool:
     """Whether an element is no part of an article. An article's own header holds its title and stays."""
     if tag in FURNITURE or tag == "header" and not inside_article:
         return True
-    for name, *values in ATTRIBUTE.findall(attributes):
+    for name, *values in ATTRIBUTE.findall(attributes):  # from the left, so that values are never names
         name, value = name.lower(), next(filter(None, values), "")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True

@@ -253,6 +253,14 @@ def test_html_keeps_every_article_of_a_page():
     assert html_extract.extract(nested).split("\n") == [a, c, c, c, c, b]
 
 
+def test_furniture_is_told_by_whole_attributes():
+    plain = [' href="/news/hidden-gems"', ' title="The hidden cost"', ' data-id="header"', ' href="/p?id=comments"', " data-x='class=\"menu\"'", " href=/a/hidden id=x", ' aria-label="role=search"', ' data-hidden', ""]
+    assert not [x for x in plain if html_extract.furniture("p", x, False)]
+    gone = [" hidden", ' HIDDEN=""', " class=menu", ' data-a="b"class="x sidebar"', " title='a' id = 'comments'", ' aria-hidden="true"', ' style="display: none"', ' href="/x" role=search']
+    assert all(html_extract.furniture("p", x, False) for x in gone)
+    assert html_extract.extract('<body><p>Read <a href="/news/hidden-gems">these gems</a> now.</p></body>') == "Read these gems now."
+
+
 def test_warc(spark, tmp_path):
     rows = [(k, f"http://x/{k}", f"<p>{k % 3}</p>" * 50) for k in range(1, 40)] + [(50, None, None), (51, "u", ""), (2, "again", "other"), (None, "u", "nobody")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
