@@ -1,13 +1,14 @@
 """Connected components of an edge list by alternating large-star and small-star steps.
 
 Every step is a grouped minimum (partial aggregates on the map side) joined back to the edges, so a hub is
-a skewed join key that AQE splits, and no component is gathered anywhere. Each round is written to the
-shared folder: the plan stays short and a lost executor costs one round.
+a skewed join key that AQE splits, and no component is gathered anywhere. Each round is one job: it is
+written to the shared folder, and the write itself observes whether anything changed. The plan stays short
+and a lost executor costs one round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from presswave.storage import materialize
@@ -29,15 +30,32 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     Self-loops, repeated and reversed edges are allowed; edges with a null end are ignored. Nodes that have
     only self-loops are their own component. Raises if ``max_rounds`` do not reach the fixpoint.
     """
-    edges = materialize(edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL"), "edges")
+    edges = materialize(edges.select("u", "v").filter("u IS NOT NULL AND v IS NOT NULL").distinct(), "edges")
     loops = edges.filter("u = v").select("u").distinct()
-    now, seen = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), None
+    now, seen = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), None
     for _ in range(max_rounds):
-        now = materialize(_starred(now), "stars")
-        state = now.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if tuple(state) == seen or state[0] == 0:
+        told = Observation()
+        now = materialize(_starred(now).observe(told, F.count("*").alias("n"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40))).alias("h")), "stars")
+        state = (told.get["n"], told.get["h"])
+        if state == seen or state[0] == 0:
             stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
             roots = stars.select(F.col("component").alias("node"), "component").union(loops.select(F.col("u").alias("node"), F.col("u").alias("component")).join(stars.select("node"), "node", "left_anti")).distinct()
             return stars.union(roots)
-        seen = tuple(state)
+        seen = state
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
+
+
+def extended_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """``labels`` (node, component) after further ``edges`` (u, v) between their nodes.
+
+    The edges are first moved to the components they connect, so only what is new is worked through. A node
+    that has no label is its own component.
+    """
+    ends = edges.select("u", "v")
+    for end in ("u", "v"):
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"c{end}")), end, "left")
+    moved = ends.select(F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v")).filter("u != v")
+    merged = materialize(connected_components(moved), "merged").select(F.col("node").alias("component"), F.col("component").alias("into"))
+    kept = labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    fresh = merged.select(F.col("component").alias("node"), F.col("into").alias("component")).join(labels.select("node"), "node", "left_anti")
+    return materialize(kept.union(fresh), "components")

@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where it is unset (local tests) a fresh folder is made and set for the session.
+    Where it is unset a local session gets a fresh folder; on a cluster that would scatter working tables
+    over machines, so it is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="presswave-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
