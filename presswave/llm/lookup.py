@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -70,3 +72,15 @@ def runs(texts: list[str], chars: int = 1 << 20) -> Iterator[slice]:
         if size >= chars or k == len(texts) - 1:
             yield slice(begin, k + 1)
             begin, size = k + 1, 0
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of Arrow batches whose texts in ``column`` have about ``size`` bytes; a longer text is a slice of its own."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_numpy(zero_copy_only=False)
+        ends, begin = np.cumsum(sizes), 0
+        while begin < len(ends):
+            before = int(ends[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end

@@ -7,37 +7,48 @@ time, a weight level and a signature position, and counts if its level is below
 signature keeps the first time at each position, so two positions agree with the probability of the
 weighted Jaccard similarity. Points come in time order and stop once they are later than all positions.
 
-Bands of the signature propose pairs; every link is verified on the whole multisets. Texts with the same
-words are one class from the start, so copies are never paired. Pairs come in rounds: first each class
-with the least class it shares a bucket with; after linking, buckets whose classes are all connected are
-done; then one delegate of each component in a bucket with another's; at last all remaining pairs of classes of
-different components in a bucket, each in the first bucket it shares, that can still be similar: shingles
-that no other remaining class has bound the overlap from above. So every pair that shares a bucket is
-verified, already connected, or proved to be below the threshold.
+Bands of the signature propose pairs; every link is verified on the whole multisets (as sets whose elements
+are a shingle and the number of its use, so that built-in array functions count the overlap). Texts with the
+same words are one class from the start, so copies are never paired. Pairs come in rounds:
+
+1. each class with the least class it shares a bucket with;
+2. ``ROUNDS`` times, in each bucket, a random class of every component with one of the largest component;
+3. the classes of buckets that still hold several components, by a prefix filter that is exact: a class's
+   shingles are ordered from the rarest, those that no other component has come first and are not posted, and
+   two classes meet only at a shingle so near the front of both that the threshold is still in reach there.
+
+A pair of one component is never formed in the last step, so a large group of near copies costs about its
+size; two classes of different components meet only where they share a shingle that few others have or are
+nearly alike. So every pair that shares a bucket is verified, already connected, or proved to be below
+the threshold, without a cap.
 
 Rows: null and empty texts, and texts without words, are near no other text: each keeps its own class.
-Rows that repeat a doc_id are rows of their own. Extra columns are ignored. An empty table gives an empty
-result. class_id is the least doc_id of the class (null if it has none).
+Rows that repeat a doc_id are rows of their own; rows that agree in all columns are one row repeated and share
+``kept``. Extra columns are ignored. An empty table gives an empty result. class_id is the least doc_id of
+the class (null if it has none). Very long texts are hashed and signed in blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswave.llm.lookup import runs
-from presswave.operators.components import connected_components
-from presswave.storage import bound_batches, materialize
+from presswave.functions.expressions import row_key
+from presswave.llm.lookup import slices
+from presswave.operators.components import connected_components, extended_components
+from presswave.storage import materialize
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS = 32, 5
-SIGNED = "doc_id long, tag long, words binary, n long, bands array<long>"
+BANDS, ROWS, ROUNDS = 32, 5, 2
+#: Characters hashed and processes signed at once.
+BLOCK, PROCESSES = 1 << 19, 1 << 17
 U = np.uint64
 GOLD, M1, M2, PRIME = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x100000001B3)
 
@@ -65,6 +76,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
+def cut(text: str) -> Iterator[str]:
+    """Parts of a text of about ``BLOCK`` characters that do not split words (a longer word stays whole)."""
+    begin = 0
+    while len(text) - begin > BLOCK:
+        end = re.compile(r"\W").search(text, begin + BLOCK)
+        if end is None:
+            break
+        yield text[begin : end.start()]
+        begin = end.start()
+    yield text[begin:]
+
+
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the lower-cased texts in order, and each text's first word's number (one more at the end)."""
     lowered = [x.lower() for x in texts]
@@ -82,7 +105,12 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_bags(texts: list[str], size: int = WORDS) -> list[tuple[np.ndarray, np.ndarray, bytes]]:
     """Distinct shingle hashes, their counts, and a digest of the sequence of words, of each text."""
-    h, at = word_hashes(texts)
+    parts = [list(cut(x)) for x in texts]
+    if max(map(len, parts), default=1) > 1:
+        hashes = [np.concatenate([word_hashes([x])[0] for x in p]) for p in parts]
+        h, at = np.concatenate(hashes), np.concatenate([[0], np.cumsum(list(map(len, hashes)))])
+    else:
+        h, at = word_hashes(texts)
     rolled = np.zeros(max(0, len(h) - size + 1), U)
     for k in range(size):
         rolled = mix(rolled * PRIME + h[k : len(h) - size + 1 + k]) if len(rolled) else rolled
@@ -105,39 +133,38 @@ def bag_minhash(bags: list[tuple], size: int) -> np.ndarray:
     """First times at ``size`` positions for each of several non-empty multisets."""
     doc = np.repeat(np.arange(len(bags)), [len(x[0]) for x in bags])
     values, counts = np.concatenate([x[0] for x in bags]), np.concatenate([x[1] for x in bags])
-    seeds, low, width, weight, owner = [values], [np.zeros(len(values), np.int64)], [np.ones(len(values), np.int64)], [counts], [doc]
-    level, most = 1, int(counts.max())
-    while level < most:
-        have = counts > level
-        seeds.append(mix(values[have] + np.full(1, level, U) * GOLD))
-        low.append(np.full(have.sum(), level))
-        width.append(np.full(have.sum(), level))
-        weight.append(counts[have])
-        owner.append(doc[have])
-        level *= 2
-    seed, low, width, weight, owner = (np.concatenate(x) for x in (seeds, low, width, weight, owner))
-    first = np.full(len(bags) * size, np.inf)
-    time = np.zeros(len(seed))
+    first, low, most = np.full(len(bags) * size, np.inf), 0, int(counts.max())
     # points for each process in one step: enough to fill the positions of most of the smallest multisets
     block = int(size * (np.log(size) + 1) / min(len(x[0]) for x in bags)) + 2
-    begin = 0
+    while low < most:  # the processes of [0, 1), then of [1, 2), [2, 4) ...
+        have = np.flatnonzero(counts > low)
+        for k in range(0, len(have), PROCESSES):
+            some = have[k : k + PROCESSES]
+            seed = values[some] if not low else mix(values[some] + np.full(1, low, U) * GOLD)
+            _run_processes(first, seed, low, counts[some], doc[some], size, block)
+        low = 2 * low or 1
+    return first.reshape(-1, size)
+
+
+def _run_processes(first: np.ndarray, seed: np.ndarray, low: int, weight: np.ndarray, owner: np.ndarray, size: int, block: int) -> None:
+    """Lower ``first`` by the points of processes over the weights from ``low`` to twice it (0: to 1)."""
+    width, time, begin = max(low, 1), np.zeros(len(seed)), 0
     while len(seed):
         step = np.arange(begin, begin + block, dtype=np.uint64) * U(2)
         a = mix(seed[:, None] + (step + U(1)) * GOLD)
         b = mix(seed[:, None] + (step + U(2)) * GOLD)
-        at = time[:, None] - np.cumsum(np.log1p((a >> U(11)) * -(2.0**-53)) / width[:, None], axis=1)
+        at = time[:, None] - np.cumsum(np.log1p((a >> U(11)) * -(2.0**-53)) / width, axis=1)
         place = ((b >> U(32)) * U(size) >> U(32)).astype(np.int64) + owner[:, None] * size
-        if most > 1:
-            height = low[:, None] + (((b & U(0xFFFFFFFF)) * width[:, None].astype(U)) >> U(32)).astype(np.int64)
+        if low:
+            height = low + (((b & U(0xFFFFFFFF)) * U(width)) >> U(32)).astype(np.int64)
             counted = height < weight[:, None]
             np.minimum.at(first, place[counted], at[counted])
         else:
             np.minimum.at(first, place.ravel(), at.ravel())
         time = at[:, -1]
         on = time < first.reshape(-1, size).max(axis=1)[owner]
-        seed, low, width, weight, owner, time = seed[on], low[on], width[on], weight[on], owner[on], time[on]
+        seed, weight, owner, time = seed[on], weight[on], owner[on], time[on]
         begin += block
-    return first.reshape(-1, size)
 
 
 def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
@@ -162,143 +189,160 @@ def all_band_keys(bags: list[tuple], points: int = 1 << 15) -> list[np.ndarray |
     return out
 
 
-def similarity(a: tuple, b: tuple) -> float:
-    """Weighted Jaccard of two shingle multisets."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = int(np.minimum(a[1][i], b[1][j]).sum())
-    return both / (int(a[1].sum()) + int(b[1].sum()) - both) if len(a[0]) and len(b[0]) else 0.0
+def elements(bag: tuple) -> np.ndarray:
+    """The multiset as a set: a number for each shingle and use of it (the first use: the shingle's)."""
+    shingles, counts = bag[0], bag[1]
+    if len(counts) == 0 or counts.max() == 1:
+        return shingles.view(np.int64)
+    nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    every = np.repeat(shingles, counts)
+    return np.where(nth == 0, every, mix(every ^ mix(nth.astype(U) + GOLD))).view(np.int64)
+
+
+def lists(rows: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
+    """An Arrow array of arrays (None: null)."""
+    sizes = [0 if x is None else len(x) for x in rows]
+    ends = np.cumsum([0, *sizes]).astype(np.int32)
+    flat = np.concatenate([x for x in rows if x is not None and len(x)]) if sum(sizes) else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind), mask=pa.array([x is None for x in rows]))
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, words (digest; null without words), n (shingles), bands for every row."""
+    """doc_id, key, words (digest; null without words), n (shingles), bands for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", BLOCK):
+            bags = shingle_bags(part.column(2).to_pylist())
+            words, n = pa.array([x[2] or None for x in bags], pa.binary()), pa.array([int(x[1].sum()) for x in bags], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), words, n, lists(all_band_keys(bags), pa.int64())], ["doc_id", "key", "words", "n", "bands"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch["text"].to_list()
-            for part in runs(texts, 1 << 19):
-                bags = shingle_bags(texts[part])
-                out = batch.iloc[part][["doc_id", "tag"]].assign(words=[x[2] or None for x in bags], n=[int(x[1].sum()) for x in bags], bands=all_band_keys(bags))
-                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+    rows = docs.select("doc_id", row_key(docs).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key string, words binary, n long, bands array<long>")
 
-    bound_batches(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("string"), F.xxhash64("doc_id", "text").alias("tag"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInPandas(run, SIGNED)
 
+def bagged(texts: DataFrame) -> DataFrame:
+    """node and bag (the multiset's elements) of each (node, text)."""
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose texts have a similarity of ``threshold`` or more."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", BLOCK):
+            bags = [elements(x) for x in shingle_bags(part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), lists(bags, pa.int64())], ["node", "bag"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            told = list(dict.fromkeys([*batch["a"], *batch["b"]]))
-            bags = {text: bag[:2] for part in runs(told, 1 << 19) for text, bag in zip(told[part], shingle_bags(told[part]), strict=True)}
-            keep = [similarity(bags[a], bags[b]) >= threshold for a, b in zip(batch["a"], batch["b"], strict=True)]
-            yield batch.loc[keep, ["u", "v"]]
+    return texts.select("node", "text").mapInArrow(run, "node long, bag array<long>")
 
-    right = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
-    full = right.join(texts.select(F.col("node").alias("u"), F.col("text").alias("a")), "u")
-    return full.select("u", "v", "a", "b").mapInPandas(run, "u long, v long")
 
+def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose bags have a similarity of ``threshold`` or more."""
+    right = pairs.select("u", "v").join(bags.select(F.col("node").alias("v"), F.col("bag").alias("b")), "v")
+    full = right.join(bags.select(F.col("node").alias("u"), F.col("bag").alias("a")), "u")
+    both = full.select("u", "v", F.size(F.array_intersect("a", "b")).alias("both"), (F.size("a") + F.size("b")).alias("sum"))
+    return both.filter(F.col("both") / (F.col("sum") - F.col("both")) >= threshold).select("u", "v")
 
-def shingle_counts(texts: DataFrame) -> DataFrame:
-    """node, shingle, times for the distinct shingles of each (node, text)."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            told = batch["text"].to_list()
-            for part in runs(told, 1 << 19):
-                for node, (shingles, times, _) in zip(batch["node"].iloc[part], shingle_bags(told[part]), strict=True):
-                    yield pd.DataFrame({"node": node, "shingle": shingles.view(np.int64), "times": times})
+def alike(n: str, m: str, threshold: float):
+    """Whether sizes allow the threshold."""
+    return (F.col(n) >= threshold * F.col(m) - 1e-6) & (F.col(m) >= threshold * F.col(n) - 1e-6)
 
-    return texts.select("node", "text").mapInPandas(run, "node long, shingle long, times long")
 
+def split_buckets(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """key, node, n, component of the buckets that hold several components."""
+    placed = members.select("key", "node", "n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    return placed.join(split.select("key"), "key")
 
-def still_possible(left: DataFrame, texts: DataFrame, threshold: float, rounds: int = 2) -> DataFrame:
-    """The rows (key, place, node, n, component) of ``left`` that can be in a pair at ``threshold``, and ``own``.
 
-    ``own`` counts the shingles of a class that no other class of ``left`` has, so its overlap with any of
-    them is at most n - own; similarity t of sizes n and m needs an overlap of t / (1 + t) * (n + m). What is
-    left out has no link, so counting again among the rest is right, and finds more.
+def random_pairs(left: DataFrame, nth: int, threshold: float) -> DataFrame:
+    """In each bucket a random class of every component with one of the largest component."""
+    pick = F.struct(F.xxhash64("node", "key", F.lit(nth)).alias("h"), "node", "n")
+    ones = left.groupBy("key", "component").agg(F.count("*").alias("times"), F.min(pick).alias("d"))
+    hubs = ones.groupBy("key").agg(F.max(F.struct("times", "component", "d")).alias("hub"))
+    pairs = ones.join(hubs, "key").filter("component != hub.component").select(
+        F.least("d.node", "hub.d.node").alias("u"), F.greatest("d.node", "hub.d.node").alias("v"), F.col("d.n").alias("n"), F.col("hub.d.n").alias("m")
+    )
+    return pairs.filter(alike("n", "m", threshold)).select("u", "v").distinct()
+
+
+def prefix_posts(left: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """s, node, n, ahead, component, indexed: the front elements at which a class of ``left`` can meet another component's.
+
+    Elements are ordered by (number of classes, element) after those that one component has alone; ``ahead``
+    counts the elements before. A pair's first common element leaves at most n - ahead for the overlap, which
+    has to be t / (1 + t) * (n + m). ``indexed`` are those that a partner of the same size or larger can meet.
     """
     share = threshold / (1 + threshold)
-    for _ in range(rounds):
-        left = left.select("key", "place", "node", "n", "component")
-        sizes = left.groupBy("key").agg(F.min("n").alias("smallest"))
-        nodes = left.join(sizes, "key").groupBy("node").agg(F.first("n").alias("n"), F.min("smallest").alias("smallest"))
-        counts = shingle_counts(texts.join(nodes.select("node"), "node"))
-        alone = counts.groupBy("shingle").agg(F.count("*").alias("classes"), F.first("node").alias("node"), F.first("times").alias("times")).filter("classes = 1")
-        own = nodes.join(alone.groupBy("node").agg(F.sum("times").alias("own")), "node", "left").withColumn("own", F.coalesce("own", F.lit(0)))
-        able = own.filter(F.col("n") - F.col("own") >= share * (F.col("n") + F.greatest(F.col("smallest"), threshold * F.col("n"))) - 1e-6)
-        rest = materialize(left.join(able.select("node", "own"), "node"), "able")
-        split = rest.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        left = materialize(rest.join(split.select("key"), "key"), "possible")
-    return left
-
-
-def remaining_pairs(left: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (u, v) of different components in a bucket that the bound allows, from the first bucket they share."""
+    nodes = left.select("node", "n", "component").distinct()
+    every = nodes.join(bags, "node").select("node", "n", "component", F.explode("bag").alias("s"))
+    held = every.groupBy("s").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    shared = every.join(held.select("s", "df"), "s").groupBy("node", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("front"))
+    own = F.col("n") - F.size("front")
+    reach = F.floor(F.col("n") * (1 - threshold) + 1e-6).cast("int") + 1 - own  # elements whose ``ahead`` is in reach
+    posts = shared.withColumn("own", own).filter(reach > 0).select("node", "n", "component", "own", F.posexplode(F.slice("front", 1, reach.cast("int"))).alias("i", "e"))
+    ahead = (F.col("own") + F.col("i")).alias("ahead")
+    return posts.select("e.s", "node", "n", ahead, "component", (F.col("n") - F.col("own") - F.col("i") >= 2 * share * F.col("n") - 1e-6).alias("indexed"))
+
+
+def prefix_pairs(posts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (u, v) of different components that meet in ``posts`` and can be similar.
+
+    A list's pairs are formed between its main component and the others and among the others, never within
+    the main component.
+    """
     share = threshold / (1 + threshold)
-    rows = left.join(classes.select("node", "bands"), "node")
-    a = rows.selectExpr("key", "place", "node AS u", "n", "own AS pu", "component AS cu", "slice(bands, 1, place) AS bu")
-    b = rows.selectExpr("key", "node AS v", "n AS m", "own AS pv", "component AS cv", "slice(bands, 1, place) AS bv")
-    enough = F.least(F.col("n") - F.col("pu"), F.col("m") - F.col("pv")) >= share * (F.col("n") + F.col("m")) - 1e-6
-    return a.join(b.withColumnRenamed("key", "key_v"), (F.col("key") == F.col("key_v")) & (F.col("cu") < F.col("cv")) & enough & ~F.arrays_overlap("bu", "bv")).select("u", "v")
-
-
-def linked_classes(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, tag, words) and the component of each class (words, component)."""
+    counts = posts.groupBy("s", "component").agg(F.count("*").alias("times"))
+    lists_ = counts.groupBy("s").agg(F.max(F.struct("times", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1")
+    placed = posts.join(lists_.select("s", F.col("main.component").alias("main")), "s").withColumn("other", F.col("component") != F.col("main"))
+    x = placed.filter("indexed").select("s", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("ahead").alias("ax"), F.col("component").alias("cx"), F.col("other").alias("ox"))
+    y = placed.select("s", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("ahead").alias("ay"), F.col("component").alias("cy"), F.col("other").alias("oy"))
+    able = (F.col("ny") >= F.col("nx")) & (F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= share * (F.col("nx") + F.col("ny")) - 1e-6) & (F.col("cx") != F.col("cy"))
+    meet = lambda a, b: a.join(b.withColumnRenamed("s", "t"), (F.col("s") == F.col("t")) & able).select("x", "y")
+    pairs = meet(x, y.filter("oy")).union(meet(x.filter("ox"), y.filter("NOT oy")))
+    return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
+
+
+def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, words), and of each class words, class_id, class_size and keep (the kept row's doc_id and key)."""
     rows = materialize(signed(docs), "signed")
-    grouped = rows.filter("words IS NOT NULL").groupBy("words").agg(F.min("tag").alias("tag"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    grouped = rows.filter("words IS NOT NULL").groupBy("words").agg(
+        F.min(F.struct("doc_id", "key")).alias("one"), F.min("doc_id").alias("least"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("bands").alias("bands")
+    )
     classes = materialize(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    posted = classes.select("node", "n", F.posexplode("bands").alias("place", "key"))
-    buckets = posted.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
-    members = materialize(posted.join(buckets.select("key", "least"), "key"), "members")
-    close = F.col("m") >= threshold * F.col("n")  # the sizes of similar multisets are similar
-
-    wanted = members.select("node").distinct().join(classes.select("node", "tag"), "node")
-    found = docs.select(F.xxhash64("doc_id", "text").alias("tag"), "text").join(wanted, "tag")
-    texts = materialize(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
-
-    # each class with the least class of its buckets
-    first = members.filter("least < node").groupBy(F.col("node").alias("v")).agg(F.min("least").alias("u"))
-    links = materialize(verified(first, texts, threshold), "links")
-    for final in (False, True):
-        parts = connected_components(links)
-        placed = members.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-        left = materialize(placed.join(split.select("key"), "key").select("key", "place", "node", "n", "component"), "left")
-        if not final:
-            # a delegate of each component in a bucket with the delegate of its least component
-            ones = left.groupBy("key", "component").agg(F.min(F.struct("node", "n")).alias("d"))
-            lead = ones.groupBy("key").agg(F.min(F.struct("component", "d")).alias("lead"))
-            pairs = ones.join(lead, "key").filter("component > lead.component").select(F.col("lead.d.node").alias("u"), F.col("d.node").alias("v"), F.col("lead.d.n").alias("n"), F.col("d.n").alias("m"))
-            near = pairs.filter(close & (F.col("n") >= threshold * F.col("m")))
-        else:
-            near = remaining_pairs(still_possible(left, texts, threshold), classes, threshold)
-        near = near.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        links = materialize(links.union(verified(near, texts, threshold)), "links")
-    parts = connected_components(links)
-    named = classes.select("words", "node").join(parts, "node", "left")
-    return rows.select("doc_id", "tag", "words"), named.select("words", F.coalesce("component", "node").alias("component"))
+    posted = classes.select("node", "n", F.explode("bands").alias("key"))
+    buckets = posted.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead"), F.max("node").alias("most")).filter("lead.node < most")
+    members = materialize(posted.join(buckets.select("key", "lead"), "key"), "members")
+
+    wanted = members.select("node").distinct().join(classes.select("node", "one.key"), "node")
+    texts = docs.select(row_key(docs).alias("key"), "text").join(wanted, "key").dropDuplicates(["key"])
+    bags = materialize(bagged(texts), "bags")
+
+    first = members.filter((F.col("lead.node") < F.col("node")) & alike("lead.n", "n", threshold)).groupBy(F.col("node").alias("v")).agg(F.min("lead.node").alias("u"))
+    labels = materialize(connected_components(verified(first, bags, threshold)), "components")
+    for nth in range(rounds):
+        left = materialize(split_buckets(members, labels), "left")
+        labels = extended_components(labels, verified(random_pairs(left, nth, threshold), bags, threshold))
+    posts = materialize(prefix_posts(split_buckets(members, labels), bags, threshold), "posts")
+    labels = extended_components(labels, verified(prefix_pairs(posts, threshold), bags, threshold))
+
+    placed = materialize(classes.select("words", "node", "one", "least", "times").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    sizes = placed.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("times").alias("class_size"), F.min("one").alias("keep"))
+    return rows.select("doc_id", "key", "words"), placed.select("words", "component").join(sizes, "component").drop("component")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, tag, class_id, class_size, kept for every row of ``docs``; one kept document per class."""
-    rows, named = linked_classes(docs, threshold)
-    placed = materialize(rows.join(named, "words", "left"), "placed")
-    some = placed.filter("component IS NOT NULL")
-    sizes = some.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct("doc_id", "tag")).alias("keep"))
-    # struct order puts a null doc_id first; the kept row is the least (doc_id, tag)
-    grouped = some.join(sizes, "component").select("doc_id", "tag", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("tag") == F.col("keep.tag"))).alias("kept"))
-    alone = placed.filter("component IS NULL").select("doc_id", "tag", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
-    return grouped.union(alone)
+    """doc_id, key (of the row), class_id, class_size, kept for every row of ``docs``; one kept document per class."""
+    rows, classes = linked_classes(docs, threshold)
+    same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("key") == F.col("keep.key"))
+    return rows.join(classes, "words", "left").select(
+        "doc_id", "key",
+        F.when(F.col("class_size").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        F.when(F.col("class_size").isNull(), True).otherwise(same).alias("kept"),
+    )
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with one document of each near-duplicate class."""
-    kept = materialize(near_duplicates(docs, threshold).filter("kept").select("doc_id", "tag"), "kept")
-    names = kept.groupBy(F.col("doc_id").alias("__kept_doc"), F.col("tag").alias("__kept_tag")).agg(F.count("*").alias("__times"))
-    tagged = docs.withColumn("__tag", F.xxhash64("doc_id", "text"))
-    out = tagged.join(names.select("__kept_doc", "__kept_tag").hint("shuffle_hash"), (F.col("__tag") == F.col("__kept_tag")) & F.col("doc_id").eqNullSafe(F.col("__kept_doc")), "left_semi").drop("__tag")
-    # rows that repeat a document whole are one document
-    return out.dropDuplicates(["doc_id", "text"]) if names.filter("__times > 1").limit(1).count() else out
+    """The rows of ``docs`` with one document of each near-duplicate class: the least by (doc_id, key).
+
+    Of rows that agree in all columns one stays.
+    """
+    kept = near_duplicates(docs, threshold).filter("kept").select(F.col("key").alias("__kept"))
+    return docs.withColumn("__key", row_key(docs)).join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"]).drop("__key")
