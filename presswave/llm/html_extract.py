@@ -2,14 +2,16 @@
 
 Each page is parsed to a DOM; every node gets its composite text density: characters per tag, adjusted
 for link characters and link tags. A node's density sum adds up its children's densities. The node with
-the largest sum is found, the least density on its path to the body is the threshold, and the content is
-the largest-sum subtrees below the nodes that reach it. Where article or main elements lie on that path, the
-outermost and its sibling articles bound the walk. Elements that are furniture by tag, role or class (menus,
-adverts, sidebars, comments, forms ...) take no part.
-
-Python runs inside tasks on one page at a time (mapInPandas); there is no shuffle, and memory is one
-Arrow batch. Rows: null or empty html gives '' and 0. Rows may repeat. A null url stays null. Extra
-columns are ignored. An empty table gives an empty result.
+the largest sum is found, and the least density on its path to the body is the threshold. From there the
+choice climbs the path, below the body, as long as what a parent adds (taken as one node) has ``CLIMB`` of
+the threshold: an article in several sections is whole, menus and notes beside it stay out. Elsewhere in
+the body the largest-sum subtrees of nodes that reach the threshold are content too. Elements that are
+furniture by tag, role or class (menus, adverts, sidebars, comments, forms ...) take no part. Formatting
+elements (b, span ...) are text of their block, neither tags nor nodes; references count as what they stand for.
+
+Python runs inside tasks on one page at a time (mapInArrow, slices of a bounded number of bytes); there is
+no shuffle. Parsing is linear in the page, whatever is left unclosed. Rows: null or empty html gives '' and
+0. Rows may repeat. A null url stays null. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,13 +19,16 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-SCHEMA = "page_id long, url string, text string, n_chars long"
+from presswave.llm.lookup import slices
+
+#: Share of the threshold that the rest of a parent needs to be taken with its densest child.
+CLIMB = 0.25
 
 # Element names of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -37,10 +42,13 @@ FURNITURE = frozenset(
     "head script style noscript template iframe object embed nav footer aside form button select option input textarea label menu "
     "dialog svg math canvas audio video noembed noframes title".split()
 )
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FORMATTING = frozenset(
+    "abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr img".split()
+)
 #: An open element of the first kind ends at a start tag of the second kind.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
+STOPS = {"article", "section", "div", "body", "table", "blockquote", "aside", "main"}
 
 # Words in class, id and role that mark furniture.
 NAMES = re.compile(
@@ -49,19 +57,26 @@ NAMES = re.compile(
     r"related|recommend(?:ed|ations)?|share|sharing|social|subscribe|newsletter|signup|login|search|widget|pagination|pager|tags|copyright|skip|contentinfo|complementary)(?:$|[\s_-])",
     re.I,
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>", re.S)
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=][^\s\"'>/=]*)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "density", "furniture", "items", "link_chars", "link_tags", "parent", "tag", "tags", "total")
+    __slots__ = ("chars", "density", "furniture", "items", "link_chars", "link_tags", "near", "parent", "tag", "tags", "total")
 
     def __init__(self, tag: str, parent: Node | None, furniture: bool = False) -> None:
         self.tag, self.parent, self.furniture, self.items = tag, parent, furniture, []
+        #: The node itself if a start tag may end it or stop at it, else the next such ancestor.
+        self.near = self if parent is None or tag in BLOCK or tag in ENDS else parent.near
         if parent is not None:
             parent.items.append(self)
 
+    def children(self) -> list[Node]:
+        return [c for c in self.items if isinstance(c, Node) and not c.furniture]
+
 
 def furniture(tag: str, attributes: str, inside_article: bool) -> bool:
     """Whether an element is no part of an article. An article's own header holds its title and stays."""
@@ -76,129 +91,160 @@ def furniture(tag: str, attributes: str, inside_article: bool) -> bool:
     return False
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, name or text, attributes, end) of each text, start and end tag. One scan: a tag with unpaired
+    quotes ends at the next '>', and quotes are not looked at from there on.
+    """
+    at, n, paired, last = 0, len(page), True, page.rfind(">")
+    while at < n:
+        begin = page.find("<", at)
+        if begin < 0 or begin > last and not page.startswith(("<!--", "<![CDATA["), begin):
+            break
+        name = NAME.match(page, begin)
+        other = None if name else OTHER.match(page, begin)
+        if not name and not other:
+            yield "text", page[at : begin + 1], "", begin + 1
+            at = begin + 1
+            continue
+        if begin > at:
+            yield "text", page[at:begin], "", begin
+        if other:
+            at = other.end()
+            if other[0].startswith("<![CDATA["):
+                yield "text", other[0][9:].removesuffix("]]>").replace("&", "&amp;"), "", at
+            continue
+        rest = REST.match(page, name.end()) if paired else None
+        end = rest.end() if rest else page.find(">", name.end()) + 1
+        if not end:  # no tag ends from here on
+            at = begin
+            break
+        paired = paired and rest is not None
+        jump = yield "end" if page[begin + 1] == "/" else "start", name[1].lower(), page[name.end() : end - 1], end
+        at = jump or end
+    if at < n:
+        yield "text", page[at:], "", n
+
+
 def parse(page: str) -> Node:
     """A forgiving DOM: unclosed paragraphs and list items end where the standard ends them."""
     root = Node("html", None)
-    at, end, n, articles = root, 0, len(page), 0
-    while end < n:
-        m = TOKEN.search(page, end)
-        if m is None:
-            at.items.append(page[end:])
-            break
-        if m.start() > end:
-            at.items.append(page[end : m.start()])
-        end, tag = m.end(), (m[2] or "").lower()
-        if not tag:
-            if m[0].startswith("<![CDATA["):
-                at.items.append(m[0][9:].removesuffix("]]>"))
+    at, opened, raw = root, Counter(), {}
+    stream, jump = tokens(page), None
+    while True:
+        try:
+            kind, tag, attributes, end = stream.send(jump)
+        except StopIteration:
+            return root
+        jump = None
+        if kind == "text":
+            at.items.append(entities.unescape(tag) if "&" in tag else tag)
             continue
-        if m[1]:
-            x = at
-            while x is not None and x.tag != tag:
-                x = x.parent
-            if x is not None and x.parent is not None:
-                while at is not x.parent:
-                    articles -= at.tag in ("article", "main")
+        if kind == "end":
+            if opened[tag]:
+                while at.tag != tag:
+                    opened[at.tag] -= 1
                     at = at.parent
+                opened[tag] -= 1
+                at = at.parent
             elif tag == "p":
                 Node("p", at)
             continue
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P or tag in ENDS:
-            wanted = {"p"} if tag in CLOSES_P else set()
-            wanted |= {k for k, v in ENDS.items() if tag in v}
-            stop = SCOPE.get(tag, set()) | {"article", "section", "div", "body", "table", "blockquote", "aside", "main"} - wanted
-            x = at
+        wanted = {k for k, v in ENDS.items() if tag in v and opened[k]} | ({"p"} if tag in CLOSES_P and opened["p"] else set())
+        if wanted:
+            stop, x = SCOPE.get(tag, set()) | STOPS - wanted, at.near
             while x.parent is not None and x.tag not in wanted and x.tag not in stop:
-                x = x.parent
-            if x.tag in wanted and x.parent is not None:
-                at = x.parent
-        node = Node(tag, at, furniture(tag, m[3] or "", articles > 0))
-        if tag in VOID or (m[3] or "").rstrip().endswith("/") and tag not in BLOCK:
+                x = x.parent.near
+            if x.parent is not None and x.tag in wanted:
+                while at is not x.parent:
+                    opened[at.tag] -= 1
+                    at = at.parent
+        node = Node(tag, at, furniture(tag, attributes, opened["article"] + opened["main"] > 0))
+        if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, end)
-            if close is None and tag not in ("script", "style"):
-                continue
-            node.items.append("" if node.furniture else page[end : close.start() if close else n])
-            end = close.end() if close else n
+            # a name that is never closed again is not looked for again
+            close = None if raw.get(tag) == "open" else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, end)
+            if close is None:
+                raw[tag] = "open"
+                if tag not in ("script", "style"):
+                    continue
+            if not node.furniture:
+                node.items.append(page[end : close.start() if close else len(page)])
+            jump = close.end() if close else len(page)
             continue
-        articles += tag in ("article", "main")
+        opened[tag] += 1
         at = node
-    return root
 
 
-def measure(root: Node) -> list[Node]:
-    """Set chars, tags and their link parts bottom-up; the nodes that take part, children before parents."""
+def density(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    """Composite text density; ``ratio`` is the share of link characters in the body."""
+    if chars <= 0:
+        return 0.0
+    tags = max(1, tags)
+    base = math.log(chars * link_chars / max(1, chars - link_chars) + ratio * chars + math.e)
+    return chars / tags * math.log(max(1.0, chars * tags / (max(1, link_chars) * max(1, link_tags))) + 1) / max(base, 1.0)
+
+
+def measure(root: Node) -> tuple[list[Node], float]:
+    """Set every node's counts, density and density sum; the nodes, children before parents, and the link ratio."""
     order, stack = [], [root]
     while stack:
         x = stack.pop()
-        if x.furniture:
-            continue
-        order.append(x)
-        stack += [c for c in x.items if isinstance(c, Node)]
+        if not x.furniture:
+            order.append(x)
+            stack += [c for c in x.items if isinstance(c, Node)]
     order.reverse()
     for x in order:
-        x.chars = sum(len(c.split()) and len(SPACE.sub(" ", c.strip())) for c in x.items if isinstance(c, str))
+        x.chars = sum(len(SPACE.sub(" ", c.strip())) for c in x.items if isinstance(c, str))
         x.tags = x.link_chars = x.link_tags = 0
-        for c in x.items:
-            if isinstance(c, Node) and not c.furniture:
-                x.chars += c.chars
-                x.tags += c.tags + 1
-                x.link_chars += c.link_chars
-                x.link_tags += c.link_tags
+        for c in x.children():
+            x.chars += c.chars
+            x.tags += c.tags + (c.tag not in FORMATTING)
+            x.link_chars += c.link_chars
+            x.link_tags += c.link_tags
         if x.tag == "a":
             x.link_chars, x.link_tags = x.chars, x.link_tags + 1
-    body = max(1, root.chars)
-    ratio = root.link_chars / body
+    ratio = root.link_chars / max(1, root.chars)
     for x in order:
-        c, t = x.chars, max(1, x.tags)
-        if not c:
-            x.density = 0.0
-            continue
-        lc, lt = max(1, x.link_chars), max(1, x.link_tags)
-        base = math.log(c * x.link_chars / max(1, c - x.link_chars) + ratio * c + math.e)
-        x.density = c / t * math.log(max(1.0, c * t / (lc * lt)) + 1) / max(base, 1.0)
+        x.density = density(x.chars, x.tags, x.link_chars, x.link_tags, ratio)
     for x in order:
-        x.total = sum(c.density for c in x.items if isinstance(c, Node) and not c.furniture) or x.density
-    return order
+        x.total = sum(c.density for c in x.children() if c.tag not in FORMATTING) or x.density
+    return order, ratio
 
 
 def content(root: Node) -> list[Node]:
-    """The content subtrees in page order.
-
-    The node with the largest density sum lies on a path to the body; the least density on it is the
-    threshold. Each node from the body down that reaches the threshold gives the largest-sum subtree below
-    it, and so do its children outside that subtree. The walk keeps to the outermost article or main on the
-    path and the articles beside it, where there is one; headings in there stay, as their length says nothing.
-    """
-    order = measure(root)
+    """The content subtrees in page order."""
+    order, ratio = measure(root)
     peak: dict[Node, Node] = {}
     for x in order:
-        below = [peak[c] for c in x.items if isinstance(c, Node) and not c.furniture]
-        peak[x] = max([x, *below], key=lambda y: y.total)
-    path = [peak[root]]
+        peak[x] = max([x, *(peak[c] for c in x.children() if c.tag not in FORMATTING)], key=lambda y: y.total)
+    best, path = peak[root], [peak[root]]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
-    outer = next((x for x in reversed(path) if x.tag in ("article", "main")), None)
-    starts = [root] if outer is None else [c for c in outer.parent.items if isinstance(c, Node) and not c.furniture and c.tag in ("article", "main")]
-    threshold, marked, stack = min(x.density for x in path), set(), list(starts)
+    threshold = min(x.density for x in path)
+    for x, up in zip(path, path[1:], strict=False):
+        if up is root:
+            break
+        rest = density(up.chars - x.chars, up.tags - x.tags - 1, up.link_chars - x.link_chars, up.link_tags - x.link_tags, ratio)
+        if up.chars > x.chars and rest < CLIMB * threshold:
+            break
+        best = up
+    marked, above, stack = {best}, set(path[path.index(best) :]), [root]
     while stack:
         x = stack.pop()
-        if x.density >= threshold:
+        if x not in marked and x not in above and x.density >= threshold:
             marked.add(peak[x])
-        elif outer is not None and x.tag in HEADINGS:
-            marked.add(x)
         if x not in marked:
-            stack += [c for c in x.items if isinstance(c, Node) and not c.furniture and c.chars]
-    found, stack = [], starts[::-1]
+            stack += [c for c in x.children() if c.chars and c.tag not in FORMATTING]
+    found, stack = [], [root]
     while stack:
         x = stack.pop()
         if x in marked:
             found.append(x)
         else:
-            stack += reversed([c for c in x.items if isinstance(c, Node) and not c.furniture])
+            stack += reversed(x.children())
     return found
 
 
@@ -207,7 +253,7 @@ def text_of(node: Node) -> str:
     blocks, current = [], []
 
     def flush() -> None:
-        line = SPACE.sub(" ", entities.unescape("".join(current))).strip()
+        line = SPACE.sub(" ", "".join(current)).strip()
         if line:
             blocks.append(line)
         current.clear()
@@ -235,10 +281,10 @@ def extract(page: str | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            text = batch["html"].map(extract)
-            yield pd.DataFrame({"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": text, "n_chars": text.map(len).astype("int64")})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "html"):
+            texts = [extract(x) for x in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    rows = pages.select(F.col("page_id").cast("string"), "url", "html")
-    return rows.mapInPandas(run, SCHEMA)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
