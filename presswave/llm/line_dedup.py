@@ -1,6 +1,6 @@
 """Line deduplication across documents (built-in functions only).
 
-Only hashes of lines move, never text. Each row's long line keys are hashed; their first uses in a row are
+The decision moves only hashes of lines; the text is shuffled once, to meet the runs of lines it keeps. Each row's long line keys are hashed; their first uses in a row are
 pre-aggregated by (hash, salt) on the map side, so a line found in a third of all rows is a few partial
 rows. Those are range-partitioned by hash with a secondary sort by document (largest first) and position,
 and one pass over each sorted run streams its first occurrence: the keeper of the key. The verdicts go back
@@ -8,26 +8,20 @@ to the lines by hash, and each document gets a compressed bitmap: the runs (star
 
 Rows: null text counts as empty and has one empty line. Every row is a document; rows that repeat a
 doc_id count as several documents, and all rows of the largest doc_id keep their lines. A null doc_id is
-smaller than any other. Keys shorter than ``min_chars`` are never dropped. Extra columns are carried by
-``dedup_lines``. An empty table gives an empty result.
+smaller than any other. Keys shorter than ``min_chars`` are never dropped. ``dedup_lines`` carries extra
+columns with their values; columns named n_lines or n_dropped are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presswave.functions.expressions import let
+
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_CHARS, MIN_DOCS, SALTS = 20, 3, 64
-TAG = "__row_tag"
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, though a lambda in the body uses it for each element."""
-    return F.transform(F.array(value), body)[0]
 
 
 def lines(text: Column) -> Column:
@@ -90,21 +84,24 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, tag, n_lines, n_dropped, keep: array of (start, length), for every row of ``docs``; no text."""
-    sizes = docs.select("doc_id", row_tag().alias("tag"), F.size(lines(F.col("text"))).alias("n_lines"))
-    return _with_runs(sizes, dropped_lines(docs, min_chars, min_docs))
+    sizes = docs.select("doc_id", row_tag().alias("__tag"), F.size(lines(F.col("text"))).alias("__n"))
+    kept = _with_runs(sizes, dropped_lines(docs, min_chars, min_docs))
+    return kept.select("doc_id", F.col("__tag").alias("tag"), F.col("__n").cast("long").alias("n_lines"), F.col("__lost").alias("n_dropped"), F.col("__keep").alias("keep"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """The rows of ``docs`` with ``text`` reduced to its kept lines, and n_lines and n_dropped added."""
-    rows = docs.withColumns({TAG: row_tag(), "n_lines": F.size(lines(F.col("text")))})
-    kept = _with_runs(rows.withColumnRenamed(TAG, "tag") if "tag" not in docs.columns else rows, dropped_lines(docs, min_chars, min_docs), "tag" if "tag" not in docs.columns else TAG)
-    text = let(lines(F.col("text")), lambda x: F.array_join(F.flatten(F.transform("keep", lambda r: F.slice(x, r["start"] + 1, r["length"]))), "\n"))
-    same = F.coalesce(F.col("text"), F.lit(""))
-    return kept.withColumn("text", F.when(F.col("n_dropped") == 0, same).otherwise(text)).select(*docs.columns, "n_lines", "n_dropped")
-
-
-def _with_runs(rows: DataFrame, lost: DataFrame, tag: str = "tag") -> DataFrame:
-    lost = lost.select(F.col("doc_id").alias("__lost_doc"), F.col("tag").alias("__lost_tag"), "dropped")
-    joined = rows.join(lost.hint("shuffle_hash"), (F.col(tag) == F.col("__lost_tag")) & F.col("doc_id").eqNullSafe(F.col("__lost_doc")), "left")
-    none = F.coalesce("dropped", F.array().cast("array<int>"))
-    return joined.withColumns({"n_dropped": F.size(none).cast("long"), "n_lines": F.col("n_lines").cast("long"), "keep": keep_runs(none, F.col("n_lines"))}).drop("__lost_doc", "__lost_tag", "dropped", *([] if tag == "tag" else [tag]))
+    rows = docs.withColumns({"__tag": row_tag(), "__n": F.size(lines(F.col("text")))})
+    kept = _with_runs(rows, dropped_lines(docs, min_chars, min_docs))
+    some = let(lines(F.col("text")), lambda x: F.array_join(F.flatten(F.transform("__keep", lambda r: F.slice(x, r["start"] + 1, r["length"]))), "\n"))
+    text = F.when(F.col("__lost") == 0, F.coalesce("text", F.lit(""))).otherwise(some).alias("text")
+    carried = [text if c == "text" else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
+    return kept.select(*carried, F.col("__n").cast("long").alias("n_lines"), F.col("__lost").alias("n_dropped"))
+
+
+def _with_runs(rows: DataFrame, lost: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, __tag, __n ...) with __lost (lines) and __keep (runs)."""
+    lost = lost.select(F.col("doc_id").alias("__lost_doc"), F.col("tag").alias("__lost_tag"), F.col("dropped").alias("__dropped"))
+    joined = rows.join(lost, (F.col("__tag") == F.col("__lost_tag")) & F.col("doc_id").eqNullSafe(F.col("__lost_doc")), "left")
+    none = F.coalesce("__dropped", F.array().cast("array<int>"))
+    return joined.withColumns({"__lost": F.size(none).cast("long"), "__keep": keep_runs(none, F.col("__n"))}).drop("__lost_doc", "__lost_tag", "__dropped")
