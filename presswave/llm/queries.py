@@ -94,7 +94,9 @@ def oracle_sql() -> dict[str, str]:
             a AS (SELECT conv_id, turn, count(*) FILTER (WHERE whole = 0) AS quoted, count(*) FILTER (WHERE whole = 0 AND origin IS NOT NULL) AS linked,
                   arg_min(origin, (level, -whole, pos)) FILTER (WHERE origin IS NOT NULL) AS parent FROM q GROUP BY ALL),
             u AS (SELECT id, trim(string_agg(body, chr(10) ORDER BY pos) FILTER (WHERE level = 0 AND NOT (regexp_matches(body, '(?i)\\bwrote:\\s*$') AND next_level > 0))) AS text FROM k GROUP BY id)
-            SELECT m.conv_id, m.turn, m.role, coalesce(a.parent, b.before) AS reply_to, coalesce(a.quoted, 0) AS quoted, coalesce(a.linked, 0) AS linked, coalesce(u.text, '') AS text
+            SELECT m.conv_id, m.turn, m.role, coalesce(a.parent, b.before) AS reply_to,
+                   CASE WHEN m.conv_id IS NOT NULL AND m.turn IS NOT NULL THEN dense_rank() OVER (PARTITION BY m.conv_id ORDER BY coalesce(a.parent, b.before) NULLS FIRST, m.turn) END AS place,
+                   coalesce(a.quoted, 0) AS quoted, coalesce(a.linked, 0) AS linked, coalesce(u.text, '') AS text
             FROM m JOIN u USING (id) LEFT JOIN b ON m.conv_id = b.conv_id AND m.turn = b.turn LEFT JOIN a ON m.conv_id = a.conv_id AND m.turn = a.turn""",
         "op9_warc": """
             WITH p AS (SELECT page_id, coalesce(html, '') AS body, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS owner FROM pages),

@@ -9,11 +9,12 @@ common is one row to join. A message answers the original of its outermost quote
 attribution lines above them ("... wrote:") are taken out of the text.
 
 Conversations are ordered by (reply_to, turn): a message comes after the one it answers, and answers to one
-message stand together. The turn before is found in blocks of ``BLOCK`` turn numbers, so a conversation
-with a third of all rows is many groups.
+message stand together. ``place`` counts the conversation's turns in that order from 1. The turn before and
+the place are found in blocks of ``BLOCK`` turn numbers, so a conversation with a third of all rows is many
+groups. All work on a text is linear in its lines.
 
-Rows: null text counts as empty. Rows with a null conv_id or turn answer nothing. Rows that repeat a
-(conv_id, turn) are formatted each; their passages belong to that one turn. Extra columns are ignored. An
+Rows: null text counts as empty. Rows with a null conv_id or turn answer nothing and have no place. Rows that
+repeat a (conv_id, turn) are formatted each and share a place; their passages belong to that one turn. Extra columns are ignored. An
 empty table gives an empty result.
 """
 
@@ -22,7 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswave.llm.line_dedup import let
+from presswave.functions.expressions import let
+from presswave.storage import materialize
 
 BLOCK = 256
 MARKS = r"^(?:\s*>)+"
@@ -38,35 +40,28 @@ def passage_hash(text: Column) -> Column:
 
 
 def parsed(text: Column) -> Column:
-    """Array of (level, body, run): ``run`` numbers the neighbouring lines of one level; blank unquoted lines part paragraphs."""
+    """(lines, starts): each line's (level, body), and where runs start: neighbouring lines of one level; blank unquoted lines part paragraphs."""
     rows = F.transform(
         F.split(F.coalesce(text, F.lit("")), "\n", -1),
         lambda x: F.struct(F.length(F.regexp_replace(F.regexp_extract(x, MARKS, 0), r"[^>]", "")).alias("level"), F.regexp_replace(x, MARKS, "").alias("body")),
     )
-    kind = lambda r: F.when((r["level"] == 0) & (F.trim(r["body"]) == ""), F.lit(-1)).otherwise(r["level"])
-    start = F.struct(F.lit(-2).alias("last"), F.lit(-1).alias("run"), F.array().cast("array<struct<level:int,body:string,run:int>>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        run = s["run"] + (kind(r) != s["last"]).cast("int")
-        return F.struct(kind(r).alias("last"), run.alias("run"), F.concat(s["out"], F.array(F.struct(r["level"].alias("level"), r["body"].alias("body"), run.alias("run")))).alias("out"))
-
-    quoted = F.aggregate(rows, start, step, lambda s: s["out"])
-    # a message without quotes needs no runs but its paragraphs: blank lines part them
-    return quoted
+    kinds = lambda r: F.transform(r, lambda x: F.when((x["level"] == 0) & (F.trim(x["body"]) == ""), F.lit(-1)).otherwise(x["level"]))
+    first = lambda k: F.filter(F.sequence(F.lit(0), F.size(k) - 1), lambda i: (i == 0) | (F.get(k, i) != F.get(k, i - 1)))
+    return let(rows, lambda r: F.struct(r.alias("lines"), let(kinds(r), first).alias("starts")))
 
 
 def passages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, level, pos, whole (a run, else a line), hash of every passage with words."""
-    lines = F.transform("lines", lambda x, i: F.struct(x["level"].alias("level"), i.alias("pos"), F.lit(0).alias("whole"), x["body"].alias("body")))
+    """conv_id, turn, level, pos, whole (a run, else a line), hash of every passage with words of (conv_id, turn, p)."""
+    lines = F.transform("p.lines", lambda x, i: F.struct(x["level"].alias("level"), i.alias("pos"), F.lit(0).alias("whole"), x["body"].alias("body")))
     runs = F.transform(
-        F.array_distinct(F.transform("lines", lambda x: x["run"])),
-        lambda k: let(
-            F.filter("lines", lambda x: x["run"] == k),
-            lambda own: F.struct(own[0]["level"].alias("level"), F.lit(-1).alias("pos"), F.lit(1).alias("whole"), F.array_join(F.transform(own, lambda x: x["body"]), " ").alias("body")),
+        "p.starts",
+        lambda s, i: F.struct(
+            F.get(F.col("p.lines"), s)["level"].alias("level"), F.lit(-1).alias("pos"), F.lit(1).alias("whole"),
+            F.array_join(F.transform(F.slice("p.lines", s + 1, F.coalesce(F.get(F.col("p.starts"), i + 1), F.size("p.lines")) - s), lambda x: x["body"]), " ").alias("body"),
         ),
-    )
-    rows = messages.select("conv_id", "turn", F.explode(F.concat(lines, runs)).alias("p"))
-    return rows.filter(F.trim("p.body") != "").select("conv_id", "turn", "p.level", "p.pos", "p.whole", passage_hash(F.col("p.body")).alias("hash"))
+    )
+    rows = messages.select("conv_id", "turn", F.explode(F.concat(lines, runs)).alias("q"))
+    return rows.filter(F.trim("q.body") != "").select("conv_id", "turn", "q.level", "q.pos", "q.whole", passage_hash(F.col("q.body")).alias("hash"))
 
 
 def turns_before(messages: DataFrame) -> DataFrame:
@@ -85,15 +80,34 @@ def unquoted(lines: Column) -> Column:
     return F.trim(F.array_join(let(lines, own), "\n"))
 
 
+def placed(replies: DataFrame) -> DataFrame:
+    """``replies`` (conv_id, turn, reply_to; one row a turn) with ``place``: from 1, by (reply_to, turn).
+
+    Counts are added up from blocks of answered turns, then answered turns, then blocks of answering turns, and
+    rows are numbered only within such a block.
+    """
+    answered = F.coalesce("reply_to", F.lit(-(1 << 62)))  # answering nothing comes first
+    rows = replies.withColumns({"answered": answered, "high": F.floor(answered / BLOCK), "low": F.floor(F.col("turn") / BLOCK)})
+    keys, ahead = ["conv_id", "high", "answered", "low"], F.lit(0)
+    counts = rows.groupBy(*keys).count()
+    for depth in (1, 2, 3):
+        level = counts.groupBy(*keys[: depth + 1]).agg(F.sum("count").alias("n"))
+        before = Window.partitionBy(*keys[:depth]).orderBy(keys[depth]).rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.join(level.select(*keys[: depth + 1], F.coalesce(F.sum("n").over(before), F.lit(0)).alias(f"ahead{depth}")), keys[: depth + 1])
+        ahead = ahead + F.col(f"ahead{depth}")
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy("turn"))
+    return rows.withColumn("inside", inside).join(counts.select(*keys, ahead.alias("ahead")), keys).select("conv_id", "turn", "reply_to", (F.col("ahead") + F.col("inside")).alias("place"))
+
+
 def link_quotes(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, reply_to, quoted, linked, text for every message.
+    """conv_id, turn, role, reply_to, place, quoted, linked, text for every message.
 
     ``quoted`` counts quoted lines with words, ``linked`` those found in an earlier message.
     """
-    messages = conversations.select("conv_id", "turn", "role", parsed(F.col("text")).alias("lines"))
-    found = passages(messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL"))
-    quotes = found.filter("level > 0").select("conv_id", "turn", "level", "pos", "whole", "hash").distinct()
-    # the message that has a passage first; only passages that are quoted somewhere are looked up
+    messages = conversations.select("conv_id", "turn", "role", parsed(F.col("text")).alias("p"))
+    found = materialize(passages(messages.filter("conv_id IS NOT NULL AND turn IS NOT NULL")), "passages")
+    quotes = found.filter("level > 0").distinct()
+    # the message that has a passage first
     originals = found.filter("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
     linked = quotes.join(originals, ["conv_id", "hash"], "left").withColumn("origin", F.when(F.col("origin") < F.col("turn"), F.col("origin")))
     rank = F.struct("level", -F.col("whole"), "pos", "origin")
@@ -102,15 +116,16 @@ def link_quotes(conversations: DataFrame) -> DataFrame:
         F.count_if(F.col("whole") == 0).alias("quoted"),
         F.count_if((F.col("whole") == 0) & F.col("origin").isNotNull()).alias("linked"),
     )
-    known = turns_before(conversations).join(parents, ["conv_id", "turn"], "left")
-    return messages.join(known, ["conv_id", "turn"], "left").select(
-        "conv_id", "turn", "role", F.coalesce("parent", "before").alias("reply_to"),
-        F.coalesce("quoted", F.lit(0)).cast("long").alias("quoted"), F.coalesce("linked", F.lit(0)).cast("long").alias("linked"),
-        unquoted(F.col("lines")).alias("text"),
+    known = materialize(turns_before(conversations).join(parents, ["conv_id", "turn"], "left").withColumn("reply_to", F.coalesce("parent", "before")), "replies")
+    places = placed(known.select("conv_id", "turn", "reply_to")).select("conv_id", "turn", "place")
+    answers = known.select("conv_id", "turn", "reply_to", "quoted", "linked").join(places, ["conv_id", "turn"])
+    texts = messages.select("conv_id", "turn", "role", unquoted(F.col("p.lines")).alias("text"))
+    return texts.join(answers, ["conv_id", "turn"], "left").select(
+        "conv_id", "turn", "role", "reply_to", "place",
+        F.coalesce("quoted", F.lit(0)).cast("long").alias("quoted"), F.coalesce("linked", F.lit(0)).cast("long").alias("linked"), "text",
     )
 
 
 def conversations_in_order(conversations: DataFrame) -> DataFrame:
-    """The messages of ``link_quotes`` sorted within tasks by conversation in reply order."""
-    linked = link_quotes(conversations)
-    return linked.repartitionByRange("conv_id", "reply_to", "turn").sortWithinPartitions("conv_id", F.col("reply_to").asc_nulls_first(), "turn")
+    """The messages of ``link_quotes`` sorted within tasks by conversation in reply order; a long conversation is several ranges."""
+    return link_quotes(conversations).repartitionByRange("conv_id", "place").sortWithinPartitions("conv_id", "place")
