@@ -1,66 +1,79 @@
 """Quality classifier: document evidence combined with host and path posteriors by hierarchical empirical Bayes.
 
-A logistic model over ten text statistics (built-in functions, one pass over the texts) gives each
-document's evidence: its log-odds beyond the base rate. Hosts shrink to the global mean and paths to their
-host: Beta priors whose strength comes from the spread between groups (method of moments). All of this is
-grouped sums with partial aggregates; a document's own score is taken out of its site's before the two are
-combined. A site seldom seen is close to the global prior; a document's own evidence always counts in full.
+A logistic model over hashed character trigrams (shares of ``BUCKETS`` buckets) and five statistics of words
+gives each document's evidence: its log-odds beyond the base rate. Texts are read once to score them, in
+numpy over slices of Arrow batches. Hosts shrink to the global mean and paths to their host: Beta priors
+whose strength comes from the spread between groups (method of moments). All of this is grouped sums with
+partial aggregates; a document's own score is taken out of its site's before the two are combined. A site
+seldom seen is close to the global prior; a document's own evidence always counts in full.
 
-The model is fitted on at most ``FIT_ROWS`` labelled rows, those with the least hash of doc_id; its size
-does not depend on the corpus. Without labels of both classes every document has evidence 0 and is kept.
+The model is fitted on about ``FIT_ROWS`` labelled documents at most, those with the least hash of doc_id;
+its size does not depend on the corpus. Without labels of both classes every document has evidence 0 and is
+kept.
 
 Rows: null text counts as empty; null host or path is a group of its own. Rows that repeat a doc_id are
-rows of their own. Labels with a null doc_id or label are ignored; of labels that repeat a doc_id the
-least counts. Extra columns are carried by ``keep_good``. An empty table gives an empty result.
+rows of their own; the model is fitted on one of them. Labels with a null doc_id or label are ignored; of
+labels that repeat a doc_id the least counts. Extra columns are carried by ``keep_good``, whatever their
+names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from operator import eq
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from presswave.functions.expressions import row_key
+from presswave.llm.lookup import slices
 from presswave.storage import materialize
 
-FIT_ROWS, KEEP_AT = 20_000, 0.5
+FIT_ROWS, KEEP_AT = 4096, 0.5
 STRENGTHS = (1.0, 1000.0)  # least and largest prior strength, in documents
-FEATURES = ("size", "word_chars", "distinct", "repeats", "symbols", "capitals", "digits", "marks", "bars", "long_words")
-
-
-def features(text: Column) -> list[Column]:
-    """Ten statistics of a text, each in a bounded range."""
-    text = F.coalesce(text, F.lit(""))
-    words = F.filter(F.split(text, r"\s+", -1), lambda w: w != "")
-    n, chars = F.greatest(F.size("w"), F.lit(1)).cast("double"), F.greatest(F.length("t"), F.lit(1)).cast("double")
-    count = lambda pattern: F.regexp_count("t", F.lit(pattern)).cast("double")
-    kept = lambda of: (F.length(F.regexp_replace("t", of, "")).cast("double") / chars)
-    return [
-        text.alias("t"),
-        words.alias("w"),
-    ], {
-        "size": F.log1p(n) / 10,
-        "word_chars": F.least(chars / n, F.lit(40.0)) / 40,
-        "distinct": F.size(F.array_distinct("w")) / n,
-        "repeats": count(r"(?<!\S)(\S+)\s+\1(?!\S)") * 2 / n,
-        "symbols": 1 - kept(r"[#$%&*@^~<>{}\[\]\\+=_]"),
-        "capitals": 1 - kept(r"\p{Lu}"),
-        "digits": 1 - kept(r"\d"),
-        "marks": F.least(count(r"!!|\?\?") / n, F.lit(1.0)),
-        "bars": F.least(count(r"\|") / n, F.lit(1.0)),
-        "long_words": F.least(count(r"\S{30,}") / n, F.lit(1.0)),
-    }
-
-
-def measured(docs: DataFrame, host: Column, path: Column) -> DataFrame:
-    """doc_id, tag, host, path and x: the statistics of every row."""
-    bases, stats = features(F.col("text"))
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("tag"), host.alias("host"), path.alias("path"), *bases)
-    return rows.select("doc_id", "tag", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path"), F.array(*(stats[k] for k in FEATURES)).alias("x"))
-
-
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> tuple[np.ndarray, float]:
+BUCKETS, STATISTICS = 512, 5
+#: Characters measured at once; counts add up over the parts of a longer text.
+BLOCK = 1 << 19
+PARTS = 1 << 40
+
+
+def trigram_counts(texts: list[str]) -> np.ndarray:
+    """How many trigrams of each text fall in each bucket."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    if len(codes) < 3:
+        return np.zeros((len(texts), BUCKETS))
+    h = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA77) + codes[2:] * np.uint32(0xC2B2AE3D)
+    h ^= h >> np.uint32(15)
+    bucket = (h * np.uint32(0x27D4EB2F)) >> np.uint32(23)
+    own = owner[2:] == owner[:-2]
+    return np.bincount(owner[:-2][own] * BUCKETS + bucket[own], minlength=len(texts) * BUCKETS).reshape(-1, BUCKETS).astype(float)
+
+
+def features(texts: list[str]) -> np.ndarray:
+    """Roots of the buckets' shares, and size, characters a word, share of different words, longest word, share of words that repeat the one before, of each text."""
+    lowered = [x.lower() for x in texts]
+    if max(map(len, lowered), default=0) <= BLOCK:
+        counts = trigram_counts(lowered)
+    else:
+        # parts overlap by two characters, so no trigram is lost or counted twice
+        counts = np.stack([sum(trigram_counts([x[k : k + BLOCK + 2]])[0] for k in range(0, max(1, len(x) - 2), BLOCK)) for x in lowered])
+    out = np.empty((len(texts), BUCKETS + STATISTICS))
+    out[:, :BUCKETS] = np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
+    for k, x in enumerate(lowered):
+        words = x.split()
+        n = max(1, len(words))
+        out[k, BUCKETS:] = np.log1p(n) / 10, min(len(x) / n, 40) / 40, len(set(words)) / n, min(max(map(len, words), default=0), 100) / 100, sum(map(eq, words, words[1:])) / n
+    return out
+
+
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Weights (constant last) of a ridge logistic model by Newton steps, and the log-odds of the base rate."""
-    z = np.column_stack([(x - x.mean(0)) / (x.std(0) + 1e-9), np.ones(len(x))])
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
     w, base = np.zeros(z.shape[1]), float(np.log(y.mean() / (1 - y.mean())))
     w[-1] = base
     penalty = np.full(len(w), ridge * len(x))
@@ -69,21 +82,54 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) ->
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-6), z.T @ (y - p) - penalty * w)
         w += step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-5:
             break
-    scale = x.std(0) + 1e-9
-    return np.append(w[:-1] / scale, w[-1] - (w[:-1] * x.mean(0) / scale).sum()), base
+    return np.append(w[:-1] / scale, w[-1] - (w[:-1] * mean / scale).sum()), base
 
 
-def fitted(rows: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[list[float], float] | None:
-    """The model, or None without labels of both classes."""
+def labelled(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> DataFrame:
+    """text and quality (0 or 1) of about ``most`` labelled documents at most, those with the least hash of doc_id."""
     good = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    sample = rows.join(good, "doc_id").select("x", "quality", F.xxhash64("doc_id").alias("h"), "tag").orderBy("h", "tag").limit(most).collect()
-    y = np.array([float(r["quality"] > 0) for r in sample])
+    good = materialize(good, "labels")
+    below = PARTS * most // max(most, good.count())
+    some = good.filter(F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)) < below).select(F.col("doc_id").alias("__doc"), F.col("quality").alias("__quality"))
+    # about ``most`` rows at most, each of an id and a number: a bounded broadcast
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), F.col("doc_id") == F.col("__doc"))
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("__quality").alias("quality")).select("text", (F.col("quality") > 0).cast("double").alias("quality"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[np.ndarray, float] | None:
+    """The model, or None without labels of both classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", BLOCK):
+            x = features(part.column(0).to_pylist()).astype(np.float32)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([flat, part.column(1)], ["x", "quality"])
+
+    sample = labelled(docs, labels, most).mapInArrow(run, "x array<float>, quality double").toArrow()
+    y = sample["quality"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return None
-    weights, base = fit(np.array([r["x"] for r in sample]), y)
-    return [float(v) for v in weights], base
+    x = sample["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1).astype(float)
+    order = np.lexsort(x.T[:8])  # the sums of the fit do not depend on the order of tasks
+    return fit(x[order], y[order])
+
+
+def evidence(docs: DataFrame, host: Column, path: Column, model: tuple[np.ndarray, float]) -> DataFrame:
+    """doc_id, key, host, path, evidence and p of every row."""
+    weights, base = model
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text", BLOCK):
+            score = features(part.column(4).to_pylist()) @ weights[:-1] + weights[-1]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(np.clip(score - base, -30, 30))], ["doc_id", "key", "host", "path", "evidence"])
+
+    text = F.coalesce("text", F.lit("")).alias("text")
+    site = lambda c, name: F.coalesce(c.cast("string"), F.lit("")).alias(name)
+    rows = docs.select("doc_id", row_key(docs).alias("key"), site(host, "host"), site(path, "path"), text)
+    scored = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key string, host string, path string, evidence double")
+    return scored.withColumn("p", 1 / (1 + F.exp(-(F.col("evidence") + base))))
 
 
 def strength(mean: Column, spread: Column) -> Column:
@@ -92,7 +138,7 @@ def strength(mean: Column, spread: Column) -> Column:
 
 
 def posteriors(scored: DataFrame) -> DataFrame:
-    """doc_id, tag, evidence, host_mean, path_mean and posterior for rows with host, path, evidence, p.
+    """doc_id, key, evidence, host_mean, path_mean and posterior for rows with host, path, evidence, p.
 
     Between-group variances are those of group means less the share that sampling explains.
     """
@@ -116,30 +162,25 @@ def posteriors(scored: DataFrame) -> DataFrame:
     path = (k1 * host + F.col("s") - own) / (k1 + F.col("n") - 1)
     safe = F.least(F.greatest(path, F.lit(0.01)), F.lit(0.99))
     return scored.join(sites, ["host", "path"]).select(
-        "doc_id", "tag", "evidence", host.alias("host_mean"), path.alias("path_mean"),
+        "doc_id", "key", "evidence", host.alias("host_mean"), path.alias("path_mean"),
         (1 / (1 + F.exp(-(F.col("evidence") + F.log(safe / (1 - safe)))))).alias("posterior"),
     )
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: Column | None = None, keep_at: float = KEEP_AT) -> DataFrame:
-    """doc_id, tag, evidence, host_mean, path_mean, posterior, kept for every row of ``docs``.
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: Column | None = None, keep_at: float = KEEP_AT, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """doc_id, key (of the row), evidence, host_mean, path_mean, posterior, kept for every row of ``docs``.
 
     ``path`` defaults to host/lang: the table of documents has no deeper path.
     """
     path = F.concat_ws("/", F.col(host), F.col("lang")) if path is None else path
-    rows = materialize(measured(docs, F.col(host), path), "measured")
-    model = fitted(rows, labels)
+    model = fitted(docs, labels, fit_rows)
     if model is None:
-        return rows.select("doc_id", "tag", *(F.lit(0.0).alias(c) for c in ("evidence", "host_mean", "path_mean")), F.lit(1.0).alias("posterior"), F.lit(True).alias("kept"))
-    weights, base = model
-    score = sum((F.get("x", F.lit(k)) * w for k, w in enumerate(weights[:-1])), F.lit(weights[-1]))
-    evidence = F.least(F.greatest(score - base, F.lit(-30.0)), F.lit(30.0))
-    scored = rows.select("doc_id", "tag", "host", "path", evidence.alias("evidence")).withColumn("p", 1 / (1 + F.exp(-(F.col("evidence") + base))))
+        return docs.select("doc_id", row_key(docs).alias("key"), *(F.lit(0.0).alias(c) for c in ("evidence", "host_mean", "path_mean")), F.lit(1.0).alias("posterior"), F.lit(True).alias("kept"))
+    scored = materialize(evidence(docs, F.col(host), path, model), "evidence")
     return posteriors(scored).withColumn("kept", F.col("posterior") >= keep_at)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source") -> DataFrame:
     """The rows of ``docs`` that the classifier keeps."""
-    kept = classify(docs, labels, host).filter("kept").select(F.col("doc_id").alias("__kept_doc"), F.col("tag").alias("__kept_tag"))
-    tagged = docs.withColumn("__tag", F.xxhash64("doc_id", "text"))
-    return tagged.join(kept.hint("shuffle_hash"), (F.col("__tag") == F.col("__kept_tag")) & F.col("doc_id").eqNullSafe(F.col("__kept_doc")), "left_semi").drop("__tag")
+    kept = classify(docs, labels, host).filter("kept").select(F.col("key").alias("__kept"))
+    return docs.withColumn("__key", row_key(docs)).join(kept, F.col("__key") == F.col("__kept"), "left_semi").drop("__key")
