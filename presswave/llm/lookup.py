@@ -64,16 +64,6 @@ class Remembered(dict):
                 yield gathered(self.flat, starts, self.bounds[n + 1] - starts)
 
 
-def runs(texts: list[str], chars: int = 1 << 20) -> Iterator[slice]:
-    """Slices of texts with about so many characters."""
-    begin = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= chars or k == len(texts) - 1:
-            yield slice(begin, k + 1)
-            begin, size = k + 1, 0
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches whose texts in ``column`` have about ``size`` bytes; a longer text is a slice of its own."""
     for batch in batches:

@@ -27,17 +27,16 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from presswave.llm.lookup import Remembered, runs
-from presswave.storage import bound_batches, materialize
+from presswave.llm.lookup import Remembered, slices
+from presswave.storage import materialize
 
 LIMIT, END, SALTS = 2048, 0, 256
 #: Where the configuration program stops: relative distance of the plan from the bound, and rounds at most.
 GAP, ROUNDS = 1e-3, 256
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Unique words that a worker remembers.
 REMEMBERED = 1 << 20
 
@@ -92,22 +91,21 @@ _words: dict[str, Words] = {}
 def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every piece of every text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _words:
             _words[tokenizer] = Words(tokenizer)
         words = _words[tokenizer]
-        for batch in batches:
-            names, texts = batch["doc_id"].to_list(), batch["text"].to_list()
-            for part in runs(texts):
-                rows = []
-                for doc_id, ids in zip(names[part], words.encode(texts[part]), strict=True):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4", copy=False)
-                    rows += [(doc_id, k, s, len(x := ids[s : s + limit]), zlib.crc32(x.data)) for k, s in enumerate(range(0, len(ids), limit))]
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                yield out.assign(doc_id=out["doc_id"].astype("Int64"))
-
-    bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PIECES)
+        for part in slices(batches, "text"):
+            rows = []
+            for row, ids in enumerate(words.encode(part.column(1).to_pylist())):
+                ids = np.append(ids, np.uint32(end)).astype("<u4", copy=False)
+                rows += [(row, k, s, len(x := ids[s : s + limit]), zlib.crc32(x.data)) for k, s in enumerate(range(0, len(ids), limit))]
+            row, *out = (np.array(x) for x in zip(*rows, strict=True))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), *map(pa.array, out, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def knapsack(lengths: np.ndarray, prices: np.ndarray, limit: int, most: int, slack: float = 1e-2) -> list[list[int]]:

@@ -20,17 +20,15 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presswave.llm.lookup import Remembered, gathered, runs
-from presswave.storage import bound_batches
+from presswave.llm.lookup import Remembered, gathered, slices
 
 MARK = "▁"
 SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 REMEMBERED = 1 << 20
-ENCODED = "doc_id long, n_ids long, ids array<int>"
 
 
 class Codec:
@@ -99,41 +97,48 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def _kind(rows: DataFrame) -> str:
+    return rows.schema["doc_id"].dataType.simpleString()
+
+
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_ids, ids for every row of ``docs``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(model)
-        for batch in batches:
-            texts = batch["text"].to_list()
-            for part in runs(texts):
-                ids = [x.astype(np.int32) for x in one.encode(texts[part])]
-                yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[part].astype("Int64").to_numpy(), "n_ids": [len(x) for x in ids], "ids": ids})
+        for part in slices(batches, "text"):
+            ids = list(one.encode(part.column(1).to_pylist()))
+            ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            flat = pa.array(np.concatenate(ids).astype(np.int32), pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(ends), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc_id", "n_ids", "ids"])
+
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, f"doc_id {_kind(docs)}, n_ids long, ids array<int>")
+
 
-    bound_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("string"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, ENCODED)
+def texts(one: Codec, ids: pa.ListArray) -> Iterator[str]:
+    """The texts of arrays of ids; null ids give the empty text."""
+    flat, ends = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy()
+    return (one.decode(flat[i:j]) if known else "" for i, j, known in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False))
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id, text for every row of ``encoded`` (doc_id, ids); null ids give the empty text."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(model)
         for batch in batches:
-            text = [one.decode(x) if x is not None else "" for x in batch["ids"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text": text})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(texts(one, batch.column(1))), pa.string())], ["doc_id", "text"])
 
-    bound_batches(encoded.sparkSession)
-    return encoded.select(F.col("doc_id").cast("string"), "ids").mapInPandas(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {_kind(encoded)}, text string")
 
 
 def roundtrip(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, n_ids, ids and decoded_sha256 (of what decoding the ids gives) for every row of ``docs``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = codec(model)
         for batch in batches:
-            told = [hashlib.sha256(one.decode(x).encode()).hexdigest() for x in batch["ids"]]
-            yield batch.assign(doc_id=batch["doc_id"].astype("Int64"), decoded_sha256=told)
+            told = [hashlib.sha256(x.encode()).hexdigest() for x in texts(one, batch.column(2))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.string())], [*batch.schema.names, "decoded_sha256"])
 
-    return encode(docs, model).withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, ENCODED + ", decoded_sha256 string")
+    return encode(docs, model).mapInArrow(run, f"doc_id {_kind(docs)}, n_ids long, ids array<int>, decoded_sha256 string")
