@@ -67,6 +67,11 @@ def test_line_dedup(spark):
         got = line_dedup.dedup_lines(df)
         assert set(df.columns) <= set(got.columns)
         assert sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()) == brute_lines([(r["doc_id"], r["text"]) for r in df.collect()])
+    long = "\n".join(f"a line of some length {k % 9000}" for k in range(20_000))
+    clash = documents(spark, [long, long + "\nx", "a line of some length 5", "b"]).withColumns({"keep": F.lit("mine"), "dropped": F.lit(3), "n_lines": F.lit(-1), "tag": F.lit("t"), "a.b": F.lit(9)})
+    got = line_dedup.dedup_lines(clash)
+    assert sorted(got.columns) == sorted([*clash.columns, "n_dropped"]) and {(r["keep"], r["dropped"], r["tag"], r["a.b"]) for r in got.collect()} == {("mine", 3, "t", 9)}
+    assert sorted((str(r["doc_id"]), r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()) == brute_lines([(r["doc_id"], r["text"]) for r in clash.collect()])
     bitmaps = line_dedup.keep_bitmaps(odd(spark).select("doc_id", "text")).collect()
     assert all(sum(run["length"] for run in r["keep"]) == r["n_lines"] - r["n_dropped"] for r in bitmaps)
 
@@ -282,6 +287,49 @@ def test_html_keeps_every_article_of_a_page():
     assert html_extract.extract(nested).split("\n") == [a, c, c, c, c, b]
 
 
+def planted(article: str, k: int) -> tuple[str, str]:
+    """A page around planted blocks, its article element named ``article``, and the text it must give."""
+    rng = np.random.default_rng(k)
+    words = lambda n: " ".join(f"wörd{rng.integers(0, 500)}" for _ in range(n))
+    blocks = [words(6)] + [words(int(n)) for n in rng.integers(3, 60, 1 + k % 9)]
+    links = "".join(f"<li><a href=/{j}>{words(1)}</a></li>" for j in range(8))
+    body = "".join(f"<p>{b.replace(' ', ' <b>&amp;</b> ', 1)}" + "</p>" * (j % 2) for j, b in enumerate(blocks[1:]))
+    page = f"<html><body><nav><ul>{links}</ul></nav><div class=ad>{words(9)}</div><{article}><h1>{blocks[0]}</h1>{body}</{article}><div><a href=/x>{words(2)}</a></div><footer>{words(8)}</footer></body></html>"
+    return page, "\n".join([blocks[0]] + [b.replace(" ", " & ", 1) for b in blocks[1:]])
+
+
+@pytest.mark.parametrize("article", ["article", "main", "div", "section", 'div class="x"'])
+def test_density_finds_planted_articles(article):
+    for k in range(60):
+        page, want = planted(article, k)
+        page = page.replace(f"</{article}>", f"</{article.split()[0]}>")
+        assert html_extract.extract(page) == want
+
+
+def test_an_article_in_sections_is_whole():
+    a, b, c = ("Several words of the first part, and more. " * 9).strip(), ("Another part with words. " * 5).strip(), ("A short third one. " * 4).strip()
+    page = f"<body><div>Home page</div><div><section><h2>One</h2><p>{a}<p>{a}</section><section><p>{b}</section><section><p>{c}</section></div><div><a href=1>older</a> <a href=2>newer</a></div></body>"
+    assert html_extract.extract(page).split("\n") == ["One", a, a, b, c]
+
+
+@pytest.mark.parametrize("bit", ["<a ", "<b>", "</i>", "<p><b>", "<!x", '<a "', "<div>", "<li><b>", "<script", "<textarea>", "<"])
+def test_parsing_is_linear(bit):
+    import time
+
+    began = time.process_time()
+    html_extract.extract("<p>hello</p>" + bit * 20_000 + ">")
+    html_extract.extract("<p>hello</p>" + bit * 20_000)
+    assert time.process_time() - began < 5
+
+
+def test_extract_pages_rows(spark):
+    rows = [(1, None, None), (1, "u", ""), (None, "u", "<p>" + "long text " * 200_000), (2, "u", "<p>a&nbsp;b")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "n_chars": F.lit(1)})
+    got = sorted((str(r["page_id"]), str(r["url"]), r["n_chars"]) for r in html_extract.extract_pages(df).collect())
+    assert got == [("1", "None", 0), ("1", "u", 0), ("2", "u", 3), ("None", "u", 1_999_999)]
+    assert html_extract.extract_pages(df.limit(0)).count() == 0
+
+
 def test_furniture_is_told_by_whole_attributes():
     plain = [' href="/news/hidden-gems"', ' title="The hidden cost"', ' data-id="header"', ' href="/p?id=comments"', " data-x='class=\"menu\"'", " href=/a/hidden id=x", ' aria-label="role=search"', ' data-hidden', ""]
     assert not [x for x in plain if html_extract.furniture("p", x, False)]
@@ -295,7 +343,7 @@ def test_warc(spark, tmp_path):
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
     manifest = warc.write_archive(df, f"{tmp_path}/a", roll_bytes=600)
     files = manifest.collect()
-    assert len(files) > 3 and sum(r["records"] for r in files) == len(rows) and not os.listdir(f"{tmp_path}/a/tmp")
+    assert len(files) > 3 and sum(r["records"] for r in files) == len(rows) and not os.path.exists(f"{tmp_path}/a/tmp")
     assert all(hashlib.sha256(open(r["final"], "rb").read()).hexdigest() == r["sha256"] for r in files)
     assert all(gzip.open(r["final"]).read().startswith(b"WARC/1.1\r\n") for r in files)
     got = sorted((str(r["page_id"]), r["payload_bytes"], r["record_type"], str(r["refers_to"])) for r in warc.read_archive(manifest).collect())
@@ -306,6 +354,23 @@ def test_warc(spark, tmp_path):
     assert got == want
     again = warc.write_archive(df, f"{tmp_path}/b", roll_bytes=600)
     assert sorted(r["sha256"] for r in again.collect()) == sorted(r["sha256"] for r in files)
+    with pytest.raises(FileExistsError):
+        warc.write_archive(df, f"{tmp_path}/b")
+    none = warc.write_archive(df.limit(0), f"{tmp_path}/none")
+    assert none.count() == warc.read_archive(none).count() == 0
+
+
+def test_warc_shards_are_deterministic_and_ordered(spark, tmp_path):
+    rows = [(k * 7919 % 3000 if k % 3 else 1500, f"u{k}", f"payload {k % 500} " * 20) for k in range(3000)]
+    df, told, before = spark.createDataFrame(rows, "page_id long, url string, html string"), [], spark.conf.get("spark.sql.shuffle.partitions")
+    for k, parts in enumerate((4, 9)):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        files = warc.write_archive(df.repartition(parts), f"{tmp_path}/{k}", roll_bytes=20_000, shard_bytes=100_000).orderBy("shard", "seq").collect()
+        told.append([(r["shard"], r["seq"], r["sha256"]) for r in files])
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert told[0] == told[1] and len({r[0] for r in told[0]}) >= 5
+    ids = [int(x) for r in files for x in re.findall(rb"X-Page-Id: (\d+)", gzip.open(r["final"]).read())]
+    assert len(ids) == 3000 and ids == sorted(ids)
 
 
 def test_permutation_index(spark):
@@ -326,9 +391,31 @@ def test_permutation_index(spark):
     assert hits >= 0.9 * 40
     few = permutation_index.search(df.filter("vec_id IN (50, 60, 70)"), F.col("vec_id") % 50 == 0).collect()
     assert len(few) == 2
+    odd_one = df.filter("vec_id < 60").union(spark.createDataFrame([(100 * k, [1.0, 2.0], 1) for k in range(30)], "vec_id long, embedding array<float>, v int"))
+    assert {r["query_id"] for r in permutation_index.search(odd_one, F.col("vec_id") % 50 == 0).collect()} == {0, 50}
+    twice = permutation_index.search(df.union(df.filter("vec_id = 50")), F.col("vec_id") == 50).collect()
+    assert len(twice) == 5 and len({r["vec_id"] for r in twice}) == 5
     assert permutation_index.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_permutation_index_with_a_hot_cluster(spark):
+    """A third of the vectors in one narrow cluster and a common vector, over several blocks."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(9000, 24))
+    x[:3000] = x[0] + 0.05 * rng.normal(size=(3000, 24))
+    x[3000:3600] = x[3000]
+    x = rng.permutation(x).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got, unit, hits = {}, x / np.linalg.norm(x, axis=1, keepdims=True), 0
+    for r in permutation_index.search(df, F.col("vec_id") % 50 == 0).collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    for q in range(0, 9000, 50):
+        s = unit @ unit[q]
+        s[q] = -9
+        hits += (np.array(got[q]) >= np.sort(s)[-5] - 1e-9).sum()
+    assert len(got) == 180 and hits >= 0.9 * 900
+
+
 def test_quotes(spark):
     rows = [
         (1, 0, "user", "The first point is about cats.\nAnd more."),
@@ -346,6 +433,31 @@ def test_quotes(spark):
     assert got[1, 3, "bot"] == (1, 3, 3, "Nested reply")
     assert got[1, 4, "user"] == (3, 1, 0, "ok")
     assert got[2, 5, "user"] == (None, 0, 0, "") and got[None, 1, "user"][0] is None and len(got) == 8
+    places = {(r["conv_id"], r["turn"]): r["place"] for r in quotes.link_quotes(df).collect()}
+    assert [places[1, t] for t in range(5)] == [1, 2, 3, 4, 5] and places[None, 1] is None and places[2, 5] == 1
+    assert quotes.link_quotes(df.limit(0)).count() == 0
+    ordered = [(r["conv_id"], r["place"]) for r in quotes.conversations_in_order(df.filter("conv_id = 1")).collect()]
+    assert ordered == sorted(ordered)
+
+
+def test_places_in_blocks_of_turns(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    replies = [(c, t, None if t == 0 else int(rng.integers(-3, t)) if c else 0) for c in range(2) for t in range(0, 900, 3)]
+    want = {}
+    for c in range(2):
+        ordered = sorted((r for r in replies if r[0] == c), key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
+        want |= {(c, r[1]): k + 1 for k, r in enumerate(ordered)}
+    monkeypatch.setattr(quotes, "BLOCK", 16)
+    got = quotes.placed(spark.createDataFrame(replies, "conv_id long, turn long, reply_to long")).collect()
+    assert {(r["conv_id"], r["turn"]): r["place"] for r in got} == want
+
+
+def test_a_long_message_is_linear_in_its_lines(spark):
+    text = "\n".join(f"{'> ' * (k % 3)}line {k % 50}" for k in range(20_000))
+    df = spark.createDataFrame([(1, 0, "user", "line 7"), (1, 1, "bot", text)], "conv_id long, turn long, role string, text string")
+    got = {r["turn"]: r for r in quotes.link_quotes(df).collect()}
+    assert got[1]["quoted"] == sum(k % 3 > 0 for k in range(20_000)) and got[1]["linked"] == sum(k % 3 > 0 and k % 50 == 7 for k in range(20_000))
+
 
 
 def test_quality(spark):
@@ -363,12 +475,46 @@ def test_quality(spark):
 
 def test_posteriors_shrink(spark):
     rows = [(k, k, "big", "big/a", 2.0 if k % 10 else -2.0) for k in range(200)] + [(900, 900, "tiny", "tiny/a", -2.0), (901, 901, "tiny", "tiny/a", 2.0)]
-    df = spark.createDataFrame(rows, "doc_id long, tag long, host string, path string, evidence double").withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
+    df = spark.createDataFrame(rows, "doc_id long, key long, host string, path string, evidence double").withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
     got = {r["doc_id"]: r for r in quality.posteriors(df).collect()}
     assert all(0 < r["posterior"] < 1 for r in got.values())
     assert got[901]["posterior"] > 0.5 > got[900]["posterior"]
 
 
+def test_posteriors_equal_brute_force(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, str(k), h := f"h{rng.integers(0, 5)}", f"{h}/{rng.integers(0, 3)}", float(rng.normal(int(h[1]) - 2, 2))) for k in range(300)]
+    rows.append((None, "x", "", "", 0.3))
+    df = spark.createDataFrame(rows, "doc_id long, key string, host string, path string, evidence double").withColumn("p", 1 / (1 + F.exp(-F.col("evidence"))))
+    p = {r[1]: 1 / (1 + np.exp(-r[4])) for r in rows}
+    group = lambda at: {g: np.array([p[r[1]] for r in rows if r[at] == g]) for g in {r[at] for r in rows}}
+    hosts, paths, every = group(2), group(3), np.array(list(p.values()))
+    noise = lambda groups: np.mean([x.var() / len(x) for x in groups.values()])
+    spread = [max(np.var([x.mean() for x in hosts.values()]) - noise(hosts), 0), max(np.mean([(x.mean() - hosts[g.split("/")[0]].mean()) ** 2 for g, x in paths.items()]) - noise(paths), 0)]
+    m = every.mean()
+    k0, k1 = (min(1000, max(1, m * (1 - m) / v - 1)) if v else 1000 for v in spread)
+    for r in quality.posteriors(df).collect():
+        _, key, h, q, e = next(x for x in rows if x[1] == r["key"])
+        host = (k0 * m + hosts[h].sum() - p[key]) / (k0 + len(hosts[h]) - 1)
+        path = (k1 * host + paths[q].sum() - p[key]) / (k1 + len(paths[q]) - 1)
+        path = min(max(path, 0.01), 0.99)
+        assert abs(r["posterior"] - 1 / (1 + np.exp(-(e + np.log(path / (1 - path)))))) < 1e-9 and abs(r["host_mean"] - host) < 1e-9
+
+
+def test_quality_carries_columns_and_long_texts(spark, monkeypatch):
+    texts = ["A plain sentence with some words. " * 3, "*** ### buy buy buy buy ###", None, ""] * 6
+    df = documents(spark, texts).withColumns({"key": F.lit("mine"), "kept": F.lit(7), "evidence": F.lit("e"), "host": F.lit(None).cast("string")})
+    labels = spark.createDataFrame([(k + 1, int(k % 4 == 0), 0) for k in range(12)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(df, labels)
+    assert kept.columns == df.columns and {(r["key"], r["kept"], r["evidence"]) for r in kept.collect()} == {("mine", 7, "e")}
+    deep = quality.classify(df.limit(8), labels, path=F.concat_ws("/", "source", F.lit("news"), "lang"))
+    assert deep.count() == 8
+    text = "abc äöü ñ" * 400
+    whole = quality.features([text, "x"])
+    monkeypatch.setattr(quality, "BLOCK", 100)
+    assert np.allclose(quality.features([text, "x"]), whole)
+
+
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_pipeline(spark):
     import corpus_pipeline
@@ -387,3 +533,16 @@ def test_pipeline(spark):
     assert one.columns == docs.columns and one.count() == len(set(group)) and wordless >= 0
     packed = corpus_pipeline.pack(spark, one, data)
     assert packed.select("doc_id").distinct().count() == one.count()
+
+
+def test_pipeline_rows(spark, tmp_path):
+    """Nulls, repeats, an empty table and an extra column through all stages; n_chars follows the text."""
+    import corpus_pipeline
+
+    for name, df in (("odd", odd(spark).drop("tag", "keep", "n").withColumn("key", F.lit("mine"))), ("empty", EMPTY(spark))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        lines = corpus_pipeline.drop_lines(spark, spark.read.parquet(f"{tmp_path}/{name}/documents.parquet"), f"{tmp_path}/{name}")
+        assert lines.columns == df.columns and all(r["n_chars"] == len(r["text"]) for r in lines.collect())
+        rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(rows) == (name == "odd") and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in df.collect()}
