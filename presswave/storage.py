@@ -36,10 +36,3 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def bound_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of long texts small: at most ``rows`` rows go to Python at once."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) > rows:
-        spark.conf.set(name, str(rows))
