@@ -1,9 +1,15 @@
-"""A corpus pipeline: quality classifier, line deduplication, near-duplicate removal, packing."""
+"""A corpus pipeline: quality classifier, line deduplication, near-duplicate removal, packing.
+
+Rows: each stage treats nulls, repeats, empty and long texts and extra columns as its operator says. A null
+text is the empty text from the line stage on; an empty one passes all stages and packs its end id. n_chars is
+renewed where a stage changes the text. An empty table of documents gives an empty result.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from presswave.llm import line_dedup, near_dedup, packing, quality
 from presswave.storage import scratch_path
@@ -16,7 +22,10 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without lines that others repeat."""
-    return line_dedup.dedup_lines(docs).select(*docs.columns)
+    kept = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
