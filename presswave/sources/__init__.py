@@ -1 +1 @@
-"""Sources of the library."""
+"""Parsers of stored feeds, pages, JSON and CSV."""

@@ -23,13 +23,82 @@ def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
 
+def uneven_files(spark: SparkSession, sf_dir: str) -> str:
+    """The events as four files that are not in the order of time, with a tenth of the rows twice, in different files."""
+    path, e = scratch_path(spark, "files"), read(spark, sf_dir, "events")
+    for k in (2, 0, 3, 1):
+        own = e.filter(F.pmod(F.xxhash64("event_id"), F.lit(4)) == k)
+        again = e.filter((F.pmod(F.xxhash64("event_id"), F.lit(4)) == (k + 1) % 4) & (F.col("event_id") % 10 == 0))
+        own.union(again).coalesce(1).write.mode("append").parquet(f"{path}/events.parquet")
+    return path
+
+
 @query("SELECT event_id, event_type, value FROM events")
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeats of an id are dropped. No watermark: every id stays in the state, so no file comes too late."""
-    new = article_stream(spark, sf_dir).dropDuplicates(["event_id"])
+    """Repeats of an id, in whatever file, are dropped. No watermark: every id stays in the state, so no file comes too late."""
+    new = article_stream(spark, uneven_files(spark, sf_dir)).dropDuplicates(["event_id"])
     return drained(new.select("event_id", "event_type", "value"), "dedup")
 
 
+@query("""SELECT day, count(*) AS n FROM (SELECT unnest(range(greatest(DATE '2024-01-05', ts::DATE - 6), least(DATE '2024-01-25', ts::DATE) + 1, INTERVAL 1 DAY))::DATE AS day FROM events) GROUP BY 1""")
+def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the seven days from each day on: sliding windows, the newest count of each window."""
+    path = scratch_path(spark, "sliding")
+    rows = article_stream(spark, sf_dir).groupBy(F.window("ts", "7 days", "1 day").alias("w")).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "n")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/b={number}")
+
+    rows.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+    every = spark.read.schema("day date, n long, batch int").option("recursiveFileLookup", "true").parquet(f"{path}/out")
+    return every.groupBy("day").agg(F.max_by("n", "batch").alias("n")).filter("day BETWEEN DATE'2024-01-05' AND DATE'2024-01-25'")
+
+
+@query("""SELECT event_id, value >= 50 AS hot, CASE WHEN user_id % 7 = 0 THEN 'failed' ELSE 'succeeded' END AS outcome FROM events""")
+def stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pipeline for each event inside foreachBatch; a batch that is run again replaces its own output."""
+    path = scratch_path(spark, "enriched")
+
+    def save(batch: DataFrame, number: int) -> None:
+        told = batch.select("event_id", (F.col("value") >= 50).alias("hot"), F.when(F.col("user_id") % 7 == 0, "failed").otherwise("succeeded").alias("outcome"))
+        told.write.mode("overwrite").parquet(f"{path}/out/b={number}")
+
+    article_stream(spark, sf_dir).writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("event_id long, hot boolean, outcome string").option("recursiveFileLookup", "true").parquet(f"{path}/out")
+
+
+@query("SELECT count(*) AS attempted, count(*) FILTER (WHERE user_id % 7 <> 0) AS succeeded, count(*) FILTER (WHERE user_id % 7 = 0) AS failed FROM events")
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a run, added up over the batches that the stream's progress reports."""
+    path = scratch_path(spark, "counters")
+    bad = F.col("user_id") % 7 == 0
+    told = article_stream(spark, sf_dir).observe("run", F.count("*").alias("attempted"), F.count_if(~bad).alias("succeeded"), F.count_if(bad).alias("failed"))
+    stream = told.writeStream.option("checkpointLocation", f"{path}/state").format("noop").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    # one row for each batch that had rows
+    seen = [p.observedMetrics["run"] for p in stream.recentProgress if "run" in p.observedMetrics]
+    return spark.createDataFrame([tuple(sum(r[c] for r in seen) for c in ("attempted", "succeeded", "failed"))], "attempted long, succeeded long, failed long")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_hot_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily counts with a watermark of two days; what came later than that is recomputed as whole days in a batch.
+
+    The stream appends finished days; days that late rows touch, and the open edge, are written over by partition.
+    """
+    path, files = scratch_path(spark, "edge"), sf_dir
+    counts = article_stream(spark, files).withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
+    rows = counts.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    rows.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").option("path", f"{path}/stream").format("parquet").trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.schema(rows.schema).parquet(f"{path}/stream")
+    done.write.partitionBy("day").parquet(f"{path}/days")
+    exact = read(spark, files, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    had = done.groupBy("day").agg(F.sum("n").alias("had"))
+    stale = exact.groupBy("day").agg(F.sum("n").alias("has")).join(had, "day", "left").filter("had IS NULL OR had != has").select("day")
+    exact.join(stale, "day").select("event_type", "n", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/days")
+    return spark.read.schema("event_type string, n long, day string").parquet(f"{path}/days").select("day", "event_type", "n")
+
+
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tumbling days, kept in the state however late data comes; each batch's changed days replace those before."""
