@@ -28,11 +28,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/presswave-{uuid.uuid4().hex[:12]}/{name}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Unlike localCheckpoint the copy outlives executors, and unlike checkpoint() the input is computed once.
+    ``batch``: at most so many rows go to Python at once in this write (Spark bounds their bytes anyhow).
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    if batch:
+        spark.conf.set(setting, str(min(batch, int(before)) if int(before) > 0 else batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.schema(df.schema).parquet(path)
