@@ -15,7 +15,9 @@ same words are one class from the start, so copies are never paired. Pairs come
 2. ``ROUNDS`` times, in each bucket, a random class of every component with one of the largest component;
 3. the classes of buckets that still hold several components, by a prefix filter that is exact: a class's
    shingles are ordered from the rarest, those that no other component has come first and are not posted, and
-   two classes meet only at a shingle so near the front of both that the threshold is still in reach there.
+   two classes meet only at a shingle so near the front of both that the threshold is still in reach there,
+   and only if the parities of their elements over ``BITS`` buckets do not differ in more places than the
+   threshold lets the sets differ.
 
 A pair of one component is never formed in the last step, so a large group of near copies costs about its
 size; two classes of different components meet only where they share a shingle that few others have or are
@@ -49,6 +51,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS, ROUNDS = 32, 5, 2
 #: Characters hashed and processes signed at once.
 BLOCK, PROCESSES = 1 << 19, 1 << 17
+#: Buckets of elements whose parities are compared (a multiple of 64).
+BITS = 512
 U = np.uint64
 GOLD, M1, M2, PRIME = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x100000001B3)
 
@@ -199,6 +203,12 @@ def elements(bag: tuple) -> np.ndarray:
     return np.where(nth == 0, every, mix(every ^ mix(nth.astype(U) + GOLD))).view(np.int64)
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """Whether each of ``BITS`` buckets holds an odd number of elements, packed: two sets differ in at least as many elements as bits."""
+    odd = np.bincount((mix(elements.view(U)) % U(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def lists(rows: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
     """An Arrow array of arrays (None: null)."""
     sizes = [0 if x is None else len(x) for x in rows]
@@ -221,14 +231,14 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def bagged(texts: DataFrame) -> DataFrame:
-    """node and bag (the multiset's elements) of each (node, text)."""
+    """node, bag (the multiset's elements) and bits (their parities) of each (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", BLOCK):
             bags = [elements(x) for x in shingle_bags(part.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), lists(bags, pa.int64())], ["node", "bag"])
+            yield pa.RecordBatch.from_arrays([part.column(0), lists(bags, pa.int64()), lists(list(map(parities, bags)), pa.int64())], ["node", "bag", "bits"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, bag array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, bag array<long>, bits array<long>")
 
 
 def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -263,7 +273,7 @@ def random_pairs(left: DataFrame, nth: int, threshold: float) -> DataFrame:
 
 
 def prefix_posts(left: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """s, node, n, ahead, component, indexed: the front elements at which a class of ``left`` can meet another component's.
+    """s, node, n, ahead, component, indexed, bits: the front elements at which a class of ``left`` can meet another component's.
 
     Elements are ordered by (number of classes, element) after those that one component has alone; ``ahead``
     counts the elements before. A pair's first common element leaves at most n - ahead for the overlap, which
@@ -278,7 +288,8 @@ def prefix_posts(left: DataFrame, bags: DataFrame, threshold: float) -> DataFram
     reach = F.floor(F.col("n") * (1 - threshold) + 1e-6).cast("int") + 1 - own  # elements whose ``ahead`` is in reach
     posts = shared.withColumn("own", own).filter(reach > 0).select("node", "n", "component", "own", F.posexplode(F.slice("front", 1, reach.cast("int"))).alias("i", "e"))
     ahead = (F.col("own") + F.col("i")).alias("ahead")
-    return posts.select("e.s", "node", "n", ahead, "component", (F.col("n") - F.col("own") - F.col("i") >= 2 * share * F.col("n") - 1e-6).alias("indexed"))
+    placed = posts.select("e.s", "node", "n", ahead, "component", (F.col("n") - F.col("own") - F.col("i") >= 2 * share * F.col("n") - 1e-6).alias("indexed"))
+    return placed.join(bags.select("node", "bits"), "node")
 
 
 def prefix_pairs(posts: DataFrame, threshold: float) -> DataFrame:
@@ -291,9 +302,11 @@ def prefix_pairs(posts: DataFrame, threshold: float) -> DataFrame:
     counts = posts.groupBy("s", "component").agg(F.count("*").alias("times"))
     lists_ = counts.groupBy("s").agg(F.max(F.struct("times", "component")).alias("main"), F.count("*").alias("k")).filter("k > 1")
     placed = posts.join(lists_.select("s", F.col("main.component").alias("main")), "s").withColumn("other", F.col("component") != F.col("main"))
-    x = placed.filter("indexed").select("s", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("ahead").alias("ax"), F.col("component").alias("cx"), F.col("other").alias("ox"))
-    y = placed.select("s", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("ahead").alias("ay"), F.col("component").alias("cy"), F.col("other").alias("oy"))
+    x = placed.filter("indexed").select("s", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("ahead").alias("ax"), F.col("component").alias("cx"), F.col("other").alias("ox"), F.col("bits").alias("bx"))
+    y = placed.select("s", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("ahead").alias("ay"), F.col("component").alias("cy"), F.col("other").alias("oy"), F.col("bits").alias("by"))
     able = (F.col("ny") >= F.col("nx")) & (F.least(F.col("nx") - F.col("ax"), F.col("ny") - F.col("ay")) >= share * (F.col("nx") + F.col("ny")) - 1e-6) & (F.col("cx") != F.col("cy"))
+    apart = sum((F.bit_count(F.get("bx", F.lit(k)).bitwiseXOR(F.get("by", F.lit(k)))) for k in range(BITS // 64)), F.lit(0))
+    able &= F.col("nx") + F.col("ny") - apart >= 2 * share * (F.col("nx") + F.col("ny")) - 1e-6
     meet = lambda a, b: a.join(b.withColumnRenamed("s", "t"), (F.col("s") == F.col("t")) & able).select("x", "y")
     pairs = meet(x, y.filter("oy")).union(meet(x.filter("ox"), y.filter("NOT oy")))
     return pairs.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct()
@@ -301,7 +314,7 @@ def prefix_pairs(posts: DataFrame, threshold: float) -> DataFrame:
 
 def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, key, words), and of each class words, class_id, class_size and keep (the kept row's doc_id and key)."""
-    rows = materialize(signed(docs), "signed")
+    rows = materialize(signed(docs), "signed", 1000)
     grouped = rows.filter("words IS NOT NULL").groupBy("words").agg(
         F.min(F.struct("doc_id", "key")).alias("one"), F.min("doc_id").alias("least"), F.count("*").alias("times"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
@@ -312,7 +325,7 @@ def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int =
 
     wanted = members.select("node").distinct().join(classes.select("node", "one.key"), "node")
     texts = docs.select(row_key(docs).alias("key"), "text").join(wanted, "key").dropDuplicates(["key"])
-    bags = materialize(bagged(texts), "bags")
+    bags = materialize(bagged(texts), "bags", 1000)
 
     first = members.filter((F.col("lead.node") < F.col("node")) & alike("lead.n", "n", threshold)).groupBy(F.col("node").alias("v")).agg(F.min("lead.node").alias("u"))
     labels = materialize(connected_components(verified(first, bags, threshold)), "components")

@@ -277,7 +277,7 @@ def numbered(pieces: DataFrame) -> DataFrame:
 def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of ``docs``."""
     spark = docs.sparkSession
-    pieces = materialize(token_pieces(docs, tokenizer, limit, end), "pieces")
+    pieces = materialize(token_pieces(docs, tokenizer, limit, end), "pieces", 1000)
     histogram = {int(k): int(n) for k, n in pieces.groupBy("length").count().collect()}  # at most ``limit`` rows
     places = ranges(program(histogram, limit)[0])
     frame = spark.createDataFrame(places, "length long, begin long, last long, sequence long, each long, at long")

@@ -176,7 +176,7 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: Col
     model = fitted(docs, labels, fit_rows)
     if model is None:
         return docs.select("doc_id", row_key(docs).alias("key"), *(F.lit(0.0).alias(c) for c in ("evidence", "host_mean", "path_mean")), F.lit(1.0).alias("posterior"), F.lit(True).alias("kept"))
-    scored = materialize(evidence(docs, F.col(host), path, model), "evidence")
+    scored = materialize(evidence(docs, F.col(host), path, model), "evidence", 1000)
     return posteriors(scored).withColumn("kept", F.col("posterior") >= keep_at)
 
 
