@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from presswave.functions.expressions import let
+
 
 @F.pandas_udf(StringType())
 def fold(text: pd.Series) -> pd.Series:
@@ -52,14 +54,14 @@ def word_list(text: Column, least: int = 3) -> Column:
 
 def grams(text: Column, n: int) -> Column:
     """Character n-grams in order (for scripts without spaces)."""
-    last = F.length(text) - (n - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    run = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substring(t, i, F.lit(n)))
+    return let(text, lambda t: F.when(F.length(t) >= n, run(t)).otherwise(F.array().cast("array<string>")))
 
 
 def bigrams(words: Column) -> Column:
-    """Neighbouring pairs of a word list."""
-    last = F.size(words) - 1
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))).otherwise(F.array().cast("array<string>"))
+    """Neighbouring pairs of a word list, which is computed once."""
+    pairs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    return let(words, lambda w: F.when(F.size(w) >= 2, pairs(w)).otherwise(F.array().cast("array<string>")))
 
 
 def trigrams(text: Column) -> Column:
@@ -97,6 +99,11 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def unit(v: Column) -> Column:
+    """A vector at unit length; its norm is computed once."""
+    return let(F.sqrt(dot(v, v)), lambda n: F.transform(v, lambda x: x / n))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """0 where a vector is zero."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))

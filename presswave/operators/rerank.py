@@ -1,6 +1,7 @@
-"""Order-dependent rerankers over a bounded pool: each pick changes later scores, so a window cannot say it.
+"""Order-dependent rerankers of feeds: each pick changes later scores, so a window cannot say it.
 
-The pool is cut to ``pool`` rows by a distributed top-k first; one task then reorders that many rows.
+Every feed (a reader's, a day's) is a group of its own, cut to its ``pool`` best rows by a distributed top-k
+first: the pool is the feature, and it bounds the group.
 """
 
 from __future__ import annotations
@@ -9,16 +10,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from presswave.operators.relational import top_k
+
 POOL = 2000
 
 
-def _one_group(df: DataFrame, score: str, key: str, pool: int, run) -> DataFrame:
-    top = df.orderBy(F.desc(score), key).limit(pool)
+def _by_feed(df: DataFrame, feed: str, score: str, key: str, pool: int, run) -> DataFrame:
+    top = top_k(df, [feed], [F.desc(score), F.col(key)], pool)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in top.schema) + ", place int"
-    return top.groupBy().applyInPandas(lambda p: run(p.sort_values([score, key], ascending=[False, True])), schema)
+    return top.groupBy(feed).applyInPandas(lambda p: run(p.sort_values([score, key], ascending=[False, True])), schema)
 
 
-def diversity_rerank(df: DataFrame, score: str, key: str, source: str, cooldown: int = 5, pool: int = POOL) -> DataFrame:
+def diversity_rerank(df: DataFrame, feed: str, score: str, key: str, source: str, cooldown: int = 5, pool: int = POOL) -> DataFrame:
     """The best row whose source was not among the last ``cooldown`` picks; without one, the source longest ago."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -34,10 +37,10 @@ def diversity_rerank(df: DataFrame, score: str, key: str, source: str, cooldown:
             rest.remove(pick)
         return left.iloc[order].assign(place=range(1, len(order) + 1))
 
-    return _one_group(df, score, key, pool, run)
+    return _by_feed(df, feed, score, key, pool, run)
 
 
-def variance_rerank(df: DataFrame, score: str, key: str, country: str, penalty: float = 1.5, fade: float = 0.25, most_in_row: int = 2, pool: int = POOL) -> DataFrame:
+def variance_rerank(df: DataFrame, feed: str, score: str, key: str, country: str, penalty: float = 1.5, fade: float = 0.25, most_in_row: int = 2, pool: int = POOL) -> DataFrame:
     """Each pick of a country lowers its rows' scores by a penalty that fades; at most ``most_in_row`` of one in a row."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -54,4 +57,4 @@ def variance_rerank(df: DataFrame, score: str, key: str, country: str, penalty:
             rest.remove(pick)
         return left.iloc[order].assign(place=range(1, len(order) + 1))
 
-    return _one_group(df, score, key, pool, run)
+    return _by_feed(df, feed, score, key, pool, run)

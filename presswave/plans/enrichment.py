@@ -119,7 +119,8 @@ def location_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokenised(text: Column, lang: Column, least: int = 3) -> Column:
     """Words without punctuation at their ends, of ``least`` characters; two- and three-character runs for scripts without spaces."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
-    runs = let(bare, lambda b: F.when(F.length(b) >= 2, F.flatten(F.transform(F.sequence(F.lit(1), F.length(b) - 1), lambda i: F.filter(F.array(F.substring(b, i, F.lit(2)), F.substring(b, i, F.lit(3))), lambda g: F.length(g) >= 2)))).otherwise(F.array().cast("array<string>")))
+    at = lambda b, i: F.when(i < F.length(b) - 1, F.array(F.substring(b, i, F.lit(2)), F.substring(b, i, F.lit(3)))).otherwise(F.array(F.substring(b, i, F.lit(2))))
+    runs = let(bare, lambda b: F.when(F.length(b) >= 2, F.flatten(F.transform(F.sequence(F.lit(1), F.length(b) - 1), lambda i: at(b, i)))).otherwise(F.array().cast("array<string>")))
     words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\x{00A0}\x{200B}]+"), lambda w: F.regexp_replace(w, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", ""))
     spaceless = lang.isin("zh", "ja", "ko", "th", "km", "lo")
     return F.when(spaceless, runs).otherwise(F.filter(words, lambda w: F.length(w) >= least))

@@ -18,18 +18,25 @@ STOPWORDS = ("Brand#11", "Brand#22")
 TRANSLATIONS = (("Brand#12", "twelve"), ("Brand#13", "twelve"), ("Brand#23", "brand#23"))
 
 
-def uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+def uses(spark: SparkSession, sf_dir: str, since: int | None = None, until: bool = False) -> DataFrame:
+    """Keyword uses of the last ``since`` days; the range is on the stored date and stopwords go first, so both reach the scans."""
+    at = lambda days: F.expr(f"TIMESTAMP_NTZ'{AS_OF} 00:00:00' - INTERVAL {days} DAYS")
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), "o_totalprice")
-    part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("keyword"))
+    orders = read(spark, sf_dir, "orders")
+    if since is not None:
+        orders = orders.filter(F.col("o_orderdate") >= at(since))
+    if until:
+        orders = orders.filter(F.col("o_orderdate") < at(-1))
+    orders = orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    part = read(spark, sf_dir, "part").filter(~F.col("p_brand").isin(*STOPWORDS)).select("p_partkey", F.col("p_brand").alias("keyword"))
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(part, F.col("l_partkey") == part.p_partkey)
 
 
 def translated(df: DataFrame) -> DataFrame:
-    """Canonical keywords: stopwords go before and after translation."""
+    """Canonical keywords: stopwords went before translation and go after it."""
     stop = df.sparkSession.createDataFrame([(w,) for w in STOPWORDS], "word string")
     names = df.sparkSession.createDataFrame(TRANSLATIONS, "original string, normalised string")
-    known = df.join(F.broadcast(stop), df.keyword == stop.word, "left_anti").join(F.broadcast(names), F.col("keyword") == names.original, "left")
+    known = df.join(F.broadcast(names), F.col("keyword") == names.original, "left")
     canonical = known.withColumn("keyword", F.lower(F.coalesce("normalised", "keyword"))).drop("original", "normalised")
     return canonical.join(F.broadcast(stop), canonical.keyword == F.lower(stop.word), "left_anti")
 
@@ -45,8 +52,7 @@ USES = """uses AS (SELECT l_orderkey, l_suppkey, l_quantity, o_custkey, o_totalp
     WHERE day >= DATE '{AS_OF}' - 365 AND day <= DATE '{AS_OF}' GROUP BY keyword HAVING count(*) >= 5 ORDER BY total DESC, keyword LIMIT 15""")
 def trending_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts over a window of days, stopwords out, translations merged, the most used first."""
-    day = F.lit(AS_OF).cast("date")
-    recent = translated(uses(spark, sf_dir).filter(F.col("day").between(F.date_sub(day, 365), day)))
+    recent = translated(uses(spark, sf_dir, 365, until=True))
     counted = recent.groupBy("keyword").agg(F.count("*").alias("total"), F.countDistinct("l_orderkey").alias("articles"))
     return counted.filter("total >= 5").orderBy(F.desc("total"), "keyword").limit(15)
 
@@ -57,7 +63,7 @@ def trending_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rising_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditional counts of a recent and a baseline window, and their ratio by day."""
     day = F.lit(AS_OF).cast("date")
-    used = translated(uses(spark, sf_dir).filter(F.col("day") >= F.date_sub(day, 510)))
+    used = translated(uses(spark, sf_dir, 510))
     new = F.col("day") >= F.date_sub(day, 90)
     counted = used.groupBy("keyword").agg(F.count_if(new).alias("recent"), F.count_if(~new).alias("baseline")).filter("recent >= 3")
     return counted.withColumn("momentum", scoring.momentum(F.col("recent"), F.col("baseline"), 90, 420))
@@ -71,7 +77,7 @@ def keyword_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each keyword's three main source countries with their share."""
     from pyspark.sql import Window
 
-    used = translated(uses(spark, sf_dir).filter(F.col("day") >= F.date_sub(F.lit(AS_OF).cast("date"), 365)))
+    used = translated(uses(spark, sf_dir, 365))
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
     counted = used.join(supplier, used.l_suppkey == supplier.s_suppkey).groupBy("keyword", "nation").agg(F.count("*").alias("n"))
     shared = counted.withColumn("total", F.sum("n").over(Window.partitionBy("keyword")))
@@ -84,7 +90,7 @@ def keyword_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT keyword, count(*) AS articles, max(day) AS newest, list(l_orderkey ORDER BY rn) FILTER (WHERE rn <= 5) AS newest_five, arg_max(l_orderkey, (o_totalprice, -l_orderkey)) AS dearest FROM r GROUP BY keyword""")
 def keyword_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ordered lists and arg-max per keyword: the newest five articles and the dearest."""
-    used = translated(uses(spark, sf_dir).filter(F.col("day") >= F.date_sub(F.lit(AS_OF).cast("date"), 365))).select("keyword", "l_orderkey", "day", "o_totalprice").distinct()
+    used = translated(uses(spark, sf_dir, 365)).select("keyword", "l_orderkey", "day", "o_totalprice").distinct()
     newest = top_k(used, ["keyword"], [F.desc("day"), F.desc("o_totalprice"), F.col("l_orderkey")], 5, "rn")
     lists = newest.groupBy("keyword").agg(ordered_list("l_orderkey", F.col("rn")).alias("newest_five"))
     totals = used.groupBy("keyword").agg(F.count("*").alias("articles"), F.max("day").alias("newest"), F.max_by("l_orderkey", F.struct("o_totalprice", -F.col("l_orderkey"))).alias("dearest"))
@@ -95,7 +101,7 @@ def keyword_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM canon JOIN supplier ON l_suppkey = s_suppkey WHERE day >= DATE '{AS_OF}' - 60 GROUP BY ALL""")
 def keyword_country_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily rollup with a mergeable mean (count and sum)."""
-    used = translated(uses(spark, sf_dir).filter(F.col("day") >= F.date_sub(F.lit(AS_OF).cast("date"), 60)))
+    used = translated(uses(spark, sf_dir, 60))
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"))
     return used.join(supplier, used.l_suppkey == supplier.s_suppkey).groupBy("keyword", "day", "nation").agg(F.count("*").alias("uses"), F.count("l_quantity").alias("sent_n"), F.coalesce(F.sum("l_quantity"), F.lit(0.0)).alias("sent_sum"))
 
@@ -104,7 +110,7 @@ def keyword_country_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE day >= DATE '{AS_OF}' - 180 AND s_nationkey IS DISTINCT FROM c_nationkey GROUP BY ALL HAVING count(*) >= 2""")
 def keyword_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow edges from source country to country concerned."""
-    used = translated(uses(spark, sf_dir).filter(F.col("day") >= F.date_sub(F.lit(AS_OF).cast("date"), 180)))
+    used = translated(uses(spark, sf_dir, 180))
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("src"))
     customer = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("dst"))
     placed = used.join(supplier, used.l_suppkey == supplier.s_suppkey).join(customer, used.o_custkey == customer.c_custkey)

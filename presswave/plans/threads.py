@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presswave.functions import text as T
-from presswave.functions.expressions import let
 from presswave.functions.registry import query, read
 from presswave.operators import relational as R
 from presswave.operators.components import connected_components
@@ -22,15 +21,10 @@ RELATED = ("politics", "diplomacy", "military", "economy")
 ENTITY, NATION, KEY, TITLE_TOKEN, ATTACH, REAWAKEN = 2.5, 2.5, 1.0, 0.4, 6.0, 7.0
 
 
-def unit(v: Column) -> Column:
-    """A vector at unit length; its norm is computed once."""
-    return let(F.sqrt(T.dot(v, v)), lambda n: F.transform(v, lambda x: x / n))
-
-
 def group_means(vectors: DataFrame, key: str, v: str) -> DataFrame:
     """key, c: the mean of each group's vectors at unit length."""
     dims = vectors.select(key, F.posexplode(v).alias("dim", "x")).groupBy(key, "dim").agg(F.avg("x").alias("x"))
-    return dims.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("c")).withColumn("c", unit(F.col("c")))
+    return dims.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("c")).withColumn("c", T.unit(F.col("c")))
 
 
 def best_match(rows: DataFrame, targets: DataFrame, key: str, score: Column, least: float, order: str) -> DataFrame:
@@ -51,7 +45,7 @@ UNIT = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOU
     k AS (SELECT *, row_number() OVER (PARTITION BY thread ORDER BY score DESC, vec_id) AS nth FROM b WHERE rn = 1) SELECT vec_id, thread, round(score, 6) AS score FROM k WHERE nth <= 20""")
 def orphan_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphans join the nearest centroid of the fifty newest members, at most twenty to a thread in a run (the feature)."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", unit(F.col("embedding").cast("array<double>")).alias("v"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "label", T.unit(F.col("embedding").cast("array<double>")).alias("v"))
     newest = R.top_k(e.filter("vec_id % 3 > 0"), ["label"], [F.desc("vec_id")], 50)
     centroids = group_means(newest, "label", "v").withColumnRenamed("label", "thread")
     near = best_match(e.filter("vec_id % 3 = 0").select("vec_id", "v"), centroids, "vec_id", T.dot(F.col("v"), F.col("c")), 0.12, "thread")
@@ -189,7 +183,7 @@ def neighbour_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The mean over all pairs comes from the length of the summed vector, without forming the pairs.
     """
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("at"), unit(F.col("embedding").cast("array<double>")).alias("v"))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("at"), T.unit(F.col("embedding").cast("array<double>")).alias("v"))
     edges = nearest_in_band(rows, 36, 50, 0.25).filter("seed < other").selectExpr("seed AS u", "other AS v")
     members = connected_components(edges).select(F.col("node").alias("id"), F.col("component").alias("cluster"))
     dims = members.join(rows, "id").select("cluster", "id", F.posexplode("v").alias("dim", "x"))
@@ -202,7 +196,7 @@ def neighbour_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {BAND}, n AS (SELECT *, CASE WHEN seed % 4 = 0 THEN [] ELSE [seed % 7, seed % 5] END AS x, CASE WHEN other % 4 = 0 THEN [] ELSE [other % 7, other % 5] END AS y FROM k WHERE rn <= 50 AND seed < other) SELECT seed AS a, other AS b, round(sim, 6) AS sim FROM n WHERE len(x) = 0 OR len(y) = 0 OR list_has_any(x, y)""")
 def entity_gated_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Neighbours that share an entity where both sides have any."""
-    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("at"), unit(F.col("embedding").cast("array<double>")).alias("v"))
+    rows = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("at"), T.unit(F.col("embedding").cast("array<double>")).alias("v"))
     own = lambda c: F.when(F.col(c) % 4 == 0, F.array().cast("array<bigint>")).otherwise(F.array(F.col(c) % 7, F.col(c) % 5))
     pairs = nearest_in_band(rows, 36, 50, 0.25).filter("seed < other")
     gate = (F.size(own("seed")) == 0) | (F.size(own("other")) == 0) | F.arrays_overlap(own("seed"), own("other"))

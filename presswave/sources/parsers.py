@@ -37,11 +37,15 @@ def feed_items(feeds: DataFrame, key: str, xml: str) -> DataFrame:
 class _Links(HTMLParser):
     """The links inside elements of one name, in order, with their text."""
 
+    LISTS = frozenset(("ul", "ol", "dl", "table"))
+
     def __init__(self, item: str) -> None:
         super().__init__()
-        self.item, self.depth, self.found, self.href, self.text = item, 0, [], None, []
+        self.item, self.depth, self.outer, self.found, self.href, self.text = item, 0, [], [], None, []
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag in self.LISTS:
+            self.outer.append(self.depth)
         self.depth += tag == self.item
         if tag == "a" and self.depth and self.href is None:
             self.href, self.text = dict(attrs).get("href"), []
@@ -50,6 +54,8 @@ class _Links(HTMLParser):
         if tag == "a" and self.href is not None:
             self.found.append((self.href, " ".join("".join(self.text).split())))
             self.href = None
+        if tag in self.LISTS and self.outer:
+            self.depth = self.outer.pop()  # items that were not closed end with their list
         self.depth = max(0, self.depth - (tag == self.item))
 
     def handle_data(self, data: str) -> None:

@@ -1,10 +1,15 @@
 """Building blocks on hand-checked rows."""
 
+import time
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from presswave.functions import scoring, text
 from presswave.operators import relational, rerank
-from presswave.operators.components import connected_components
+from presswave.operators.components import connected_components, extended_components
+from presswave.plans import enrichment, threads
+from presswave.sources import parsers
 
 
 def rows(df):
@@ -65,8 +70,92 @@ def test_upsert_is_idempotent(spark):
 
 
 def test_rerank_rests_sources(spark):
-    df = spark.createDataFrame([(k, k % 3, float(20 - k)) for k in range(9)], "id long, src long, score double")
-    order = [r["src"] for r in rerank.diversity_rerank(df, "score", "id", "src", cooldown=2).orderBy("place").collect()]
+    df = spark.createDataFrame([(1, k, k % 3, float(20 - k)) for k in range(9)], "feed int, id long, src long, score double")
+    order = [r["src"] for r in rerank.diversity_rerank(df, "feed", "score", "id", "src", cooldown=2).orderBy("place").collect()]
     assert all(len(set(order[i : i + 3])) == 3 for i in range(len(order) - 2))
-    spread = [r["src"] for r in rerank.variance_rerank(df.withColumn("src", F.lit(1).cast("long")).union(df.limit(2)), "score", "id", "src").collect()]
+    spread = [r["src"] for r in rerank.variance_rerank(df.withColumn("src", F.lit(1).cast("long")).union(df.limit(2)), "feed", "score", "id", "src").collect()]
     assert len(spread) == 11
+
+
+def test_rerank_equals_brute_force(spark):
+    rng = np.random.default_rng(0)
+    rows = [(int(f), k, int(s), float(v)) for k, (f, s, v) in enumerate(zip(rng.integers(0, 3, 120), rng.integers(0, 5, 120), rng.integers(0, 40, 120)))]
+    got = {}
+    for r in rerank.diversity_rerank(spark.createDataFrame(rows, "feed int, id long, src long, score double"), "feed", "score", "id", "src", cooldown=3).collect():
+        got.setdefault(r["feed"], []).append((r["place"], r["id"]))
+    for feed in range(3):
+        left, last, want = sorted((r for r in rows if r[0] == feed), key=lambda r: (-r[3], r[1])), {}, []
+        while left:
+            free = [r for r in left if len(want) - last.get(r[2], -9) > 3]
+            pick = free[0] if free else min(left, key=lambda r: last[r[2]])
+            last[pick[2]] = len(want)
+            want.append(pick[1])
+            left.remove(pick)
+        assert [i for _, i in sorted(got[feed])] == want
+
+
+def test_tokens_of_scripts_without_spaces(spark):
+    df = spark.createDataFrame([("東京 都", "ja"), ("ab", "th"), ("x", "zh"), (None, "ja"), ("«Héllo», wörld - it's 12", "en"), ("a b", None)], "t string, lang string")
+    got = [r["k"] for r in df.select(enrichment.tokenised(F.col("t"), F.coalesce("lang", F.lit(""))).alias("k")).collect()]
+    assert got == [["東京", "東京都", "京都"], ["ab"], [], [], ["héllo", "wörld", "it's"], []]
+
+
+def test_window_sentiment(spark):
+    words = lambda x: F.array(*map(F.lit, x.split()))
+    one = lambda x: enrichment.window_sentiment(words(x), (("good", 2.0), ("bad", -1.0)), (("very", 1.5), ("bit", 0.5)), ("not",))
+    texts = ["good", "very good", "very x good", "very x x good", "not good", "not a very good", "not a b c good", "bad good", "none here"]
+    row = spark.range(1).select(*(one(x).alias(f"c{k}") for k, x in enumerate(texts))).first()
+    assert [[s["w"] for s in c] for c in row] == [[2.0], [3.0], [3.0], [2.0], [-1.5], [-2.25], [2.0], [-1.0, 2.0], []]
+
+
+def test_nations_longest_name_first(spark):
+    names = (("new guinea", "PG"), ("guinea", "GN"), ("niger", "NE"), ("nigeria", "NG"))
+    df = spark.createDataFrame([("New Guinea and Nigeria",), ("Guinea, NIGER; guinea",), ("nigerian",), (None,)], "t string")
+    assert [r["n"] for r in df.select(enrichment.nations_named(F.col("t"), names).alias("n")).collect()] == [["NG", "PG"], ["GN", "NE"], [], None]
+
+
+def test_phrases_are_whole_words(spark):
+    docs = spark.createDataFrame([(1, "Peace talks\nno peace, peace talks. peacetime", "en", "s"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    phrases = spark.createDataFrame([(1, "peace", 1.0), (1, "peace talks", 2.0)], "tag int, phrase string, base double")
+    got = {r["phrase"]: (r["words"], round(r["hits"], 6)) for r in enrichment.phrase_hits(enrichment.titled(docs), phrases).collect()}
+    assert got == {"peace": (7, 3.8), "peace talks": (7, 2.8)}
+
+
+def test_parsers_take_what_does_not_parse(spark):
+    feeds = spark.createDataFrame([(1, "<rss><channel><item><title>A</title><link>l</link></item></channel></rss>"), (2, "no xml <"), (3, None), (4, "<rss><channel/></rss>")], "id int, xml string")
+    assert [tuple(r) for r in parsers.feed_items(feeds, "id", "xml").collect()] == [(1, "A", "l", None)]
+    pages = spark.createDataFrame([(1, "<ul><li><a href=x>One <b>1</b></a><li><a>none</a><a href='y'>Two</a></ul><a href=z>out</a>"), (2, None), (3, "<li><a href=q>open")], "id int, html string")
+    assert [tuple(r) for r in parsers.html_links(pages, "id", "html").collect()] == [(1, 0, "x", "One 1"), (1, 1, "y", "Two")]
+    tables = spark.createDataFrame([(1, "<table><tr><th>Country<th>GDP</table>"), (2, "<table><tr><th>Country name</th><th>GDP (US$)</th></tr><tr><td>X</td><td>1,200[3]</td></tr><tr><td>Y</td><td>n/a</td></tr><tr><td>Z</td></tr></table>"), (3, None)], "id int, html string")
+    assert [tuple(r) for r in parsers.table_values(tables, "id", "html", ("country",), ("gdp",)).collect()] == [(2, "X", 1200.0)]
+    answers = spark.createDataFrame([(1, '{"a": {"b": [{"t": {"m": "x"}}, {"t": 3}]}}'), (2, "{"), (3, None)], "id int, j string")
+    assert [tuple(r) for r in parsers.json_items(answers, "id", "j", "a.b", {"m": "t.m"}).collect()] == [(1, 0, "x"), (1, 1, None)]
+
+
+def test_duplicate_links_by_rare_words(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, ["politics", "sports", None][k % 3], [f"t{x}" for x in set(rng.integers(0, 12, 5).tolist())] + ["common"], [f"k{x}" for x in set(rng.integers(0, 6, 3).tolist())], [f"n{rng.integers(0, 3)}"]) for k in range(80)]
+    df = spark.createDataFrame(rows, "id long, category string, title array<string>, keys array<string>, nations array<string>")
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0] and (None in (x[1], y[1]) or x[1] == y[1]):
+                t, k, n = len(set(x[2]) & set(y[2])), jac(x[3], y[3]), set(x[4]) & set(y[4])
+                if t >= 3 and (jac(x[2], y[2]) >= 0.4 or t / min(len(x[2]), len(y[2])) >= 0.55) or k >= 0.55 or n and t >= 3 and (jac(x[2], y[2]) >= 0.3 or k >= 0.35):
+                    want.add((x[0], y[0]))
+    assert {tuple(r) for r in threads.duplicate_links(df).collect()} == want and want
+
+
+def test_components_grow_by_edges(spark):
+    labels = connected_components(spark.createDataFrame([(1, 2), (5, 6)], "u long, v long"))
+    got = rows(extended_components(labels, spark.createDataFrame([(6, 2), (9, 8), (1, 2)], "u long, v long")).select("node", "component"))
+    assert got == [(1, 1), (2, 1), (5, 1), (6, 1), (8, 8), (9, 8)]
+    assert rows(extended_components(labels, spark.createDataFrame([], "u long, v long")).select("node", "component")) == [(1, 1), (2, 1), (5, 5), (6, 5)]
+
+
+def test_a_long_text_is_split_once(spark):
+    df = spark.createDataFrame([(" ".join(f"word{k % 700}" for k in range(20_000)),)], "t string")
+    began = time.time()
+    assert df.select(F.size(text.bigrams(text.word_list(F.col("t"))))).first()[0] == 19_999
+    assert time.time() - began < 20

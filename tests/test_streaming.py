@@ -18,3 +18,15 @@ def test_files_out_of_time_order(spark, tmp_path):
     for _, ts, kind in [r[:3] for r in rows + 2 * rows[:5]]:
         seen[ts.date(), kind] = seen.get((ts.date(), kind), 0) + 1
     assert {(r["day"], r["event_type"]): r["n"] for r in queries.stream_daily_counts(spark, str(tmp_path)).collect()} == seen
+    counts = {(r["day"], r["event_type"]): r["n"] for r in queries.stream_daily_counts(spark, str(tmp_path)).collect()}
+    assert counts == seen
+
+
+def test_days_that_late_rows_touch_are_written_again(spark, tmp_path):
+    """A day that the watermark has passed before its last rows come."""
+    want = {}
+    for day, hours in ((1, 5), (20, 5), (1, 3), (25, 4)):
+        some = [(1000 * day + k + 100 * hours, datetime(2024, 1, day) + timedelta(hours=k), "a", 1.0) for k in range(hours)]
+        want[f"2024-01-{day:02d}"] = want.get(f"2024-01-{day:02d}", 0) + hours
+        spark.createDataFrame(some, "event_id long, ts timestamp_ntz, event_type string, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    assert {r["day"]: r["n"] for r in queries.stream_hot_edge(spark, str(tmp_path)).collect()} == want
