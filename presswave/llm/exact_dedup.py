@@ -1,7 +1,8 @@
 """Exact deduplication by content-defined chunk recipes (built-in functions only).
 
 A text is cut where its own content says so: a chunk ends at the first sentence or line end after
-``MIN_CHUNK`` characters and at ``MAX_CHUNK`` at the latest, so an insertion moves the cuts near it only.
+``MIN_CHUNK`` characters and at ``MAX_CHUNK`` at the latest, so an insertion moves the cuts near it only
+(a stretch of more than ``MAX_CHUNK`` characters without such an end is cut by length, and cuts in it move).
 A chunk's identifier is its SHA-256; the chunk store has one row per identifier and verifies it (equal
 identifiers must agree in length and in a second, independent hash, or the query fails rather than answer
 wrongly). A document is its recipe: the ordered list of its chunks' identifiers. Equal lists are equal
