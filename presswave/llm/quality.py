@@ -70,17 +70,25 @@ def features(texts: list[str]) -> np.ndarray:
     return out
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 25) -> tuple[np.ndarray, float]:
-    """Weights (constant last) of a ridge logistic model by Newton steps, and the log-odds of the base rate."""
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    z = np.column_stack([(x - mean) / scale, np.ones(len(x))])
-    w, base = np.zeros(z.shape[1]), float(np.log(y.mean() / (1 - y.mean())))
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 25, block: int = 512) -> tuple[np.ndarray, float]:
+    """Weights (constant last) of a ridge logistic model by Newton steps, and the log-odds of the base rate.
+
+    Sums go over blocks of rows, so the driver holds the sample once.
+    """
+    mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float) + 1e-6
+    size = x.shape[1] + 1
+    w, base = np.zeros(size), float(np.log(y.mean() / (1 - y.mean())))
     w[-1] = base
-    penalty = np.full(len(w), ridge * len(x))
+    penalty = np.full(size, ridge * len(x))
     penalty[-1] = 0
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-6), z.T @ (y - p) - penalty * w)
+        bend, slope = np.diag(penalty + 1e-6), -penalty * w
+        for k in range(0, len(x), block):
+            z = np.column_stack([(x[k : k + block] - mean) / scale, np.ones(len(x[k : k + block]))])
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            bend += (z * (p * (1 - p))[:, None]).T @ z
+            slope += z.T @ (y[k : k + block] - p)
+        step = np.linalg.solve(bend, slope)
         w += step
         if np.abs(step).max() < 1e-5:
             break
@@ -111,7 +119,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> tuple[np
     y = sample["quality"].to_numpy()
     if len(y) == 0 or y.min() == y.max():
         return None
-    x = sample["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1).astype(float)
+    x = sample["x"].combine_chunks().flatten().to_numpy().reshape(len(y), -1)
     order = np.lexsort(x.T[:8])  # the sums of the fit do not depend on the order of tasks
     return fit(x[order], y[order])
 
