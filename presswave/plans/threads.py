@@ -116,6 +116,37 @@ def thread_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Thresholds of fragments of one story: (least entity score, least shared keyword words).
+FRAGMENT_TITLE, FRAGMENT_KEYS, FRAGMENT_ENTITIES = 0.50, 0.40, ((2.0, 5), (2.5, 2), (3.0, 1))
+#: Entity and tier score of the example dimension.
+TIERS = (("a1", 1.0), ("b2", 1.0), ("c3", 0.7), ("a5", 0.7), ("b4", 1.0), ("m1", 1.0), ("m2", 0.4), ("k0", 1.0), ("k1", 0.4), ("economy", 0.7))
+
+
+def fragment_links(threads: DataFrame, tiers: tuple[tuple[str, float], ...]) -> DataFrame:
+    """Pairs (a < b) of threads of one category that share titles, keywords, or entities of enough weight with some keywords."""
+    known = F.array(*(F.lit(e) for e, _ in tiers))
+    weights = F.create_map(*(F.lit(x) for t in tiers for x in t))
+    rows = threads.select("id", "category", "title", "keys", F.array_intersect(F.array_union("title", "keys"), known).alias("entities"))
+    prefix = lambda c, least: rare_first_pairs(rows.select("id", F.col(c).alias("s")), least)
+    # two entities at least are shared where their scores, at most 1 each, reach 2
+    pairs = prefix("title", F.ceil(FRAGMENT_TITLE * F.col("n") - 1e-9)).union(prefix("keys", F.ceil(FRAGMENT_KEYS * F.col("n") - 1e-9))).union(prefix("entities", F.lit(2))).distinct()
+    side = lambda s: rows.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("category", "title", "keys", "entities")))
+    p = pairs.join(side("a"), "a").join(side("b"), "b")
+    score = F.aggregate(F.array_intersect("entities_a", "entities_b"), F.lit(0.0), lambda t, e: t + F.element_at(weights, e))
+    common = F.size(F.array_intersect("keys_a", "keys_b"))
+    classic = (T.jaccard(F.col("title_a"), F.col("title_b")) >= FRAGMENT_TITLE) | (T.jaccard(F.col("keys_a"), F.col("keys_b")) >= FRAGMENT_KEYS)
+    tiered = [(F.round(score, 6) >= least) & (common >= words) for least, words in FRAGMENT_ENTITIES]
+    one = F.col("category_a").isNull() | F.col("category_b").isNull() | (F.col("category_a") == F.col("category_b"))
+    return p.filter(one & (classic | tiered[0] | tiered[1] | tiered[2])).select("a", "b")
+
+
+@query(f"""WITH {STORY}, w AS (SELECT * FROM (VALUES {', '.join(f"('{e}', {v})" for e, v in TIERS)}) t(e, v)), n AS (SELECT *, list_filter(list_distinct(list_concat(title, keys)), lambda x: x IN {tuple(e for e, _ in TIERS)}) AS ents FROM s),
+    f AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.title, b.title)) / len(list_distinct(list_concat(a.title, b.title))) AS t, len(list_intersect(a.keys, b.keys)) AS k, len(list_distinct(list_concat(a.keys, b.keys))) AS ku, coalesce((SELECT sum(v) FROM w WHERE e IN (SELECT unnest(list_intersect(a.ents, b.ents)))), 0) AS score FROM n a JOIN n b ON a.id < b.id AND (a.category IS NULL OR b.category IS NULL OR a.category = b.category))
+    SELECT a, b FROM f WHERE t >= 0.5 OR k / ku >= 0.4 OR (score >= 2.0 AND k >= 5) OR (score >= 2.5 AND k >= 2) OR (score >= 3.0 AND k >= 1)""")
+def fragment_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fragment_links(story_threads(spark, sf_dir), TIERS)
+
+
 def attach_score(entities: Column, nations: Column, keys: Column, title_tokens: Column) -> Column:
     return ENTITY * F.least(entities, F.lit(6)) + NATION * F.least(nations, F.lit(2)) + KEY * F.least(keys, F.lit(8)) + TITLE_TOKEN * title_tokens
 
