@@ -18,9 +18,15 @@ def relevance(importance: Column, age_hours: Column, scale: float = 36.0) -> Col
     return F.round(F.least(F.greatest(importance / 10, F.lit(0.1)), F.lit(1.0)) * F.exp(-age_hours / scale), 4)
 
 
-def priority(base: Column, age_hours: Column, quality: Column, tier: Column, video: Column) -> Column:
+def priority(base: Column, age_hours: Column, quality: Column, tier: Column, video: Column, city: Column | None = None, thread: Column | None = None) -> Column:
+    """``city``: whether the source is a city's; ``thread``: the state of the article's story, null without one."""
     blended = 0.85 * decay(age_hours) + 0.15 * quality
-    return base * blended * F.when(tier == 4, 6.0).otherwise(1.0) * F.when(video, 1.18).otherwise(1.0)
+    score = base * blended * F.when(tier == 4, 6.0).otherwise(1.0) * F.when(video, 1.18).otherwise(1.0)
+    if city is not None:
+        score *= F.when(city, 0.01).otherwise(1.0)
+    if thread is not None:
+        score *= F.when(thread == "active", 3.0).when(thread == "dormant", 1.05).when(thread.isNotNull(), 1.55).otherwise(1.0)
+    return score
 
 
 def breaking(distinct_sources: Column, age_hours: Column, average: Column, most: Column) -> Column:

@@ -13,12 +13,13 @@ from presswave.operators import rerank
 
 @query("""WITH a AS (SELECT event_id, value, user_id, (epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', ts))) / 3600.0 AS age FROM events)
     SELECT event_id, round(greatest(0.05, pow(0.5, age / 24)), 6) AS decay, round(least(greatest(value / 10, 0.1), 1.0) * exp(-age / 36), 4) AS relevance,
-    round(value * (0.85 * greatest(0.05, pow(0.5, age / 24)) + 0.15 * 0.5) * CASE WHEN user_id % 4 = 0 THEN 6.0 ELSE 1.0 END * CASE WHEN user_id % 5 = 0 THEN 1.18 ELSE 1.0 END, 7) AS priority FROM a""")
+    round(value * (0.85 * greatest(0.05, pow(0.5, age / 24)) + 0.15 * 0.5) * CASE WHEN user_id % 4 = 0 THEN 6.0 ELSE 1.0 END * CASE WHEN user_id % 5 = 0 THEN 1.18 ELSE 1.0 END * CASE WHEN user_id % 6 = 0 THEN 0.01 ELSE 1.0 END * CASE event_id % 5 WHEN 0 THEN 3.0 WHEN 1 THEN 1.55 WHEN 2 THEN 1.05 ELSE 1.0 END, 7) AS priority FROM a""")
 def article_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     age = S.hours_between(F.expr("TIMESTAMP'2024-01-31 00:00:00'"), F.col("ts").cast("timestamp"))
     e = read(spark, sf_dir, "events").withColumn("age", age)
     tier = F.when(F.col("user_id") % 4 == 0, 4).otherwise(1)
-    return e.select("event_id", F.round(S.decay(F.col("age")), 6).alias("decay"), S.relevance(F.col("value"), F.col("age")).alias("relevance"), F.round(S.priority(F.col("value"), F.col("age"), F.lit(0.5), tier, F.col("user_id") % 5 == 0), 7).alias("priority"))
+    state = F.when(F.col("event_id") % 5 == 0, "active").when(F.col("event_id") % 5 == 1, "cooling").when(F.col("event_id") % 5 == 2, "dormant")
+    return e.select("event_id", F.round(S.decay(F.col("age")), 6).alias("decay"), S.relevance(F.col("value"), F.col("age")).alias("relevance"), F.round(S.priority(F.col("value"), F.col("age"), F.lit(0.5), tier, F.col("user_id") % 5 == 0, F.col("user_id") % 6 == 0, state), 7).alias("priority"))
 
 
 @query("""WITH a AS (SELECT event_type, count(DISTINCT user_id) FILTER (WHERE ts > TIMESTAMP '2024-01-30') AS d, avg(value) AS m, max(value) AS x, (epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', max(ts)))) / 3600.0 AS age FROM events GROUP BY 1)
@@ -84,6 +85,24 @@ def rule_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("event_type", "n", F.round("m", 6).alias("mean"), F.round(S.rule_confidence(F.col("m"), F.col("s")), 6).alias("confidence"))
 
 
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) AS folded, regexp_full_match(coalesce(text, ''), '[\\x00-\\x7F]*') AS ascii FROM documents WHERE lang IN ('es', 'fr', 'en') AND NOT contains(coalesce(text, ''), 'ß')""")
+def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts folded to plain letters, and whether they were ASCII."""
+    d = read(spark, sf_dir, "documents").filter(F.col("lang").isin("es", "fr", "en") & ~F.contains(F.coalesce("text", F.lit("")), F.lit("ß"))).withColumn("text", F.coalesce("text", F.lit("")))
+    return d.select("doc_id", T.fold("text").alias("folded"), T.is_ascii(F.regexp_replace("text", r"\s", " ")).alias("ascii"))
+
+
+@query("""WITH c AS (SELECT s_nationkey AS n, p_brand AS k, count(*)::DOUBLE AS w FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY ALL), p AS (SELECT a.n AS a, b.n AS b, k.k FROM (SELECT DISTINCT n FROM c) a JOIN (SELECT DISTINCT n FROM c) b ON a.n < b.n, (SELECT DISTINCT k FROM c) k)
+    SELECT p.a, p.b, round(sum(least(coalesce(x.w, 0), coalesce(y.w, 0))) / sum(greatest(coalesce(x.w, 0), coalesce(y.w, 0))), 6) AS similarity FROM p LEFT JOIN c x ON x.n = p.a AND x.k = p.k LEFT JOIN c y ON y.n = p.b AND y.k = p.k GROUP BY ALL""")
+def weighted_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted Jaccard of the keyword maps of countries (a few hundred of them)."""
+    l, s, p = (read(spark, sf_dir, t) for t in ("lineitem", "supplier", "part"))
+    counts = l.join(s, l.l_suppkey == s.s_suppkey).join(p, l.l_partkey == p.p_partkey).groupBy(F.col("s_nationkey").alias("n"), F.col("p_brand").alias("k")).agg(F.count("*").cast("double").alias("w"))
+    maps = counts.groupBy("n").agg(F.map_from_entries(F.collect_list(F.struct("k", "w"))).alias("m"))
+    pairs = maps.selectExpr("n AS a", "m AS x").join(maps.selectExpr("n AS b", "m AS y"), F.col("a") < F.col("b"))
+    return pairs.select("a", "b", F.round(T.weighted_jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
+
+
 @query(None)
 def diversity_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each day's feed reordered so that sources rest between picks; tested against a brute-force version."""
