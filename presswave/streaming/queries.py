@@ -16,9 +16,9 @@ def article_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFram
     return stream.parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there and read what it wrote."""
-    path = scratch_path(stream.sparkSession, name)
+def drained(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Run a stream over what is there and read what it wrote; with the ``path`` of an earlier run it goes on from there."""
+    path = path or scratch_path(stream.sparkSession, name)
     stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").format("parquet").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
 
@@ -112,3 +112,13 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.writeStream.outputMode("update").option("checkpointLocation", f"{path}/state").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
     every = spark.read.schema("day date, event_type string, n long, batch int").option("recursiveFileLookup", "true").parquet(f"{path}/out")
     return every.groupBy("day", "event_type").agg(F.max_by("n", "batch").alias("n"))
+
+
+@query("SELECT event_id, event_type FROM events")
+def stream_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream stopped after some files and started again when more have come: each file is read once, some files a batch."""
+    files, path, e = scratch_path(spark, "files"), scratch_path(spark, "resumed"), read(spark, sf_dir, "events")
+    for half in (0, 1):
+        e.filter(F.col("event_id") % 2 == half).repartition(3).write.mode("append").parquet(f"{files}/events.parquet")
+        out = drained(article_stream(spark, files, 2).select("event_id", "event_type"), "resumed", path=path)
+    return out
