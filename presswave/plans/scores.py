@@ -115,3 +115,17 @@ def variance_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each day's feed reordered so that categories alternate; tested on fixtures."""
     e = read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", "event_type", "value")
     return rerank.variance_rerank(e, "day", "value", "event_id", "event_type")
+
+
+@query(None)
+def combined_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's feed with sources and categories spread out at once; tested against a brute-force version."""
+    e = read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", "user_id", "event_type", "value", F.col("ts").cast("timestamp").alias("at"))
+    return rerank.combined_rerank(e, "day", "value", "event_id", "user_id", "event_type", "at")
+
+
+@query(None)
+def ranked_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's feed by score with resting sources and spread-out cities; tested on fixtures."""
+    e = read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", "user_id", (F.col("user_id") % 9 == 0).alias("city"), "value", F.col("ts").cast("timestamp").alias("at"))
+    return rerank.rank_feed(e, "day", "value", "event_id", "user_id", "city", "at")

@@ -1,6 +1,7 @@
 """Building blocks on hand-checked rows."""
 
 import time
+from datetime import datetime, timedelta
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -94,6 +95,34 @@ def test_rerank_equals_brute_force(spark):
         assert [i for _, i in sorted(got[feed])] == want
 
 
+def test_combined_rerank_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    start = datetime(2024, 1, 1)
+    rows = [(1, k, int(rng.integers(0, 9)), int(rng.integers(0, 4)), float(rng.integers(1, 30)), start + timedelta(hours=int(rng.integers(0, 50)))) for k in range(60)]
+    got = [r["id"] for r in rerank.combined_rerank(spark.createDataFrame(rows, "feed int, id long, src long, land long, score double, at timestamp"), "feed", "score", "id", "src", "land", "at").orderBy("place").collect()]
+    newest, oldest = max(r[5] for r in rows), min(r[5] for r in rows)
+    left, wait, fines, want, n = sorted(rows, key=lambda r: (-r[4], r[1])), {}, {}, [], len(rows)
+    while left:
+        wait = {k: v - 1 for k, v in wait.items() if v > 1}
+        value = lambda r: r[4] * (1.5 - 0.5 * ((newest - r[5]) / (newest - oldest))) * (1 - fines.get(r[3], 0))  # noqa: B023, E731
+        free = [r for r in left if r[2] not in wait and not (want and want[-1][3] == r[3])]
+        pick = max(free, key=value) if free else min(left, key=lambda r: (wait.get(r[2], 0), -value(r)))  # noqa: B023
+        left.remove(pick)
+        want.append(pick)
+        wait[pick[2]] = n
+        fines = {k: v * 0.85 for k, v in fines.items() if v * 0.85 >= 0.01}
+        fines[pick[3]] = 2.0
+    assert got == [r[1] for r in want]
+
+
+def test_cities_are_spread(spark):
+    kept, late = rerank.city_window([True, True] + [False] * 25 + [True, True], 20, 1)
+    assert kept == [0, *range(2, 28)] and late == [1, 28]
+    df = spark.createDataFrame([(1, k, k, k < 3, 10.0 - k / 1e5, datetime(2024, 1, 1) + timedelta(hours=k)) for k in range(6)], "feed int, id long, src long, city boolean, score double, at timestamp")
+    got = [r["id"] for r in rerank.rank_feed(df, "feed", "score", "id", "src", "city", "at").orderBy("place").collect()]
+    assert got[:1] == [0] and sorted(got) == list(range(6)) and set(got[-2:]) == {1, 2}
+
+
 def test_tokens_of_scripts_without_spaces(spark):
     df = spark.createDataFrame([("東京 都", "ja"), ("ab", "th"), ("x", "zh"), (None, "ja"), ("«Héllo», wörld - it's 12", "en"), ("a b", None)], "t string, lang string")
     got = [r["k"] for r in df.select(enrichment.tokenised(F.col("t"), F.coalesce("lang", F.lit(""))).alias("k")).collect()]
