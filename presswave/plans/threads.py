@@ -27,13 +27,18 @@ def group_means(vectors: DataFrame, key: str, v: str) -> DataFrame:
     return dims.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("c")).withColumn("c", T.unit(F.col("c")))
 
 
-def best_match(rows: DataFrame, targets: DataFrame, key: str, score: Column, least: float, order: str) -> DataFrame:
-    """Each row with its best target by ``score`` of at least ``least``, ties to the smaller ``order``.
+def best_match(rows: DataFrame, targets: DataFrame, key: str, target: str, least: float, block: int = 256) -> DataFrame:
+    """key, target, score: each row's best target (numbers) by cosine of v and c (unit vectors) of at least ``least``, ties to the smaller.
 
-    Targets are a bounded list (active threads, lines); every row meets all of them.
+    Targets are gathered into blocks of about ``block``, and a row meets blocks, so what is joined and grouped
+    is a row and the best of each block, not every pair.
     """
-    scored = rows.crossJoin(targets).withColumn("score", score).filter(F.col("score") >= least)
-    return R.top_k(scored, [key], [F.desc("score"), F.col(order)], 1)
+    blocks = max(1, -(-targets.count() // block))
+    listed = targets.groupBy(F.pmod(F.xxhash64(target), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct(target, "c")).alias("list"))
+    met = rows.select(key, "v", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).join(listed, "block")
+    best = F.array_max(F.transform("list", lambda t: F.struct(T.dot(F.col("v"), t["c"]).alias("score"), (-t[target]).alias("down"))))
+    top = met.select(key, best.alias("best")).groupBy(key).agg(F.max("best").alias("best"))
+    return top.filter(F.col("best.score") >= least).select(key, (-F.col("best.down")).alias(target), "best.score")
 
 
 UNIT = """u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y)))) AS v FROM embeddings)"""
@@ -48,7 +53,7 @@ def orphan_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "embeddings").select("vec_id", "label", T.unit(F.col("embedding").cast("array<double>")).alias("v"))
     newest = R.top_k(e.filter("vec_id % 3 > 0"), ["label"], [F.desc("vec_id")], 50)
     centroids = group_means(newest, "label", "v").withColumnRenamed("label", "thread")
-    near = best_match(e.filter("vec_id % 3 = 0").select("vec_id", "v"), centroids, "vec_id", T.dot(F.col("v"), F.col("c")), 0.12, "thread")
+    near = best_match(e.filter("vec_id % 3 = 0"), centroids, "vec_id", "thread", 0.12)
     return R.top_k(near, ["thread"], [F.desc("score"), F.col("vec_id")], 20).select("vec_id", "thread", F.round("score", 6).alias("score"))
 
 
