@@ -23,9 +23,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/presswave-{uuid.uuid4().hex[:12]}/{name}"
+    folder = f"{shared_dir(spark)}/presswave-{uuid.uuid4().hex[:12]}"
+    _made.append(folder)
+    return f"{folder}/{name}"
+
+
+def drop_working_tables(spark: SparkSession) -> int:
+    """Delete the working tables of this process and tell how many folders went; results read from them are gone too."""
+    gone = 0
+    while _made:
+        at = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+    return gone
 
 
 def materialize(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:

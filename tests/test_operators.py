@@ -1,11 +1,13 @@
 """Building blocks on hand-checked rows."""
 
+import os
 import time
 from datetime import datetime, timedelta
 
 import numpy as np
 from pyspark.sql import functions as F
 
+from presswave import storage
 from presswave.functions import scoring, text
 from presswave.operators import relational, rerank
 from presswave.operators.components import connected_components, extended_components
@@ -70,6 +72,15 @@ def test_upsert_is_idempotent(spark):
     assert rows(relational.insert_ignore(old, new, ["k"])) == [(1, "a"), (2, "b"), (3, "d")]
 
 
+def test_working_tables_can_be_dropped(spark, tmp_path):
+    before, storage._made[:] = list(storage._made), []
+    table = storage.materialize(spark.range(3), "some", 2)
+    path = storage._made[0].removeprefix("file://")
+    assert table.count() == 3 and os.path.isdir(path) and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000"
+    assert storage.drop_working_tables(spark) == 1 and not os.path.exists(path)
+    storage._made[:] = before
+
+
 def test_rerank_rests_sources(spark):
     df = spark.createDataFrame([(1, k, k % 3, float(20 - k)) for k in range(9)], "feed int, id long, src long, score double")
     order = [r["src"] for r in rerank.diversity_rerank(df, "feed", "score", "id", "src", cooldown=2).orderBy("place").collect()]
