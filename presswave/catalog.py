@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from presswave.functions.registry import QUERIES, SQL
-from presswave.plans import enrichment, feeds, graphs, keywords, relations, scores, sinks, threads  # noqa: F401
+from presswave.plans import articles, enrichment, feeds, graphs, keywords, relations, scores, sinks, threads  # noqa: F401
 from presswave.sources import queries as sources  # noqa: F401
 from presswave.streaming import queries as streams  # noqa: F401
 

@@ -58,6 +58,16 @@ def grams(text: Column, n: int) -> Column:
     return let(text, lambda t: F.when(F.length(t) >= n, run(t)).otherwise(F.array().cast("array<string>")))
 
 
+def parts(text: Column, sizes: Column) -> Column:
+    """Structs of i (from 1) and word: every run of ``sizes`` (an array) characters of a text.
+
+    The characters are taken apart once: places in a text of more than ASCII are found by counting from its start.
+    """
+    none = F.array().cast("array<struct<i:int,word:string>>")
+    runs = lambda c, k: F.when(F.size(c) >= k, F.transform(F.sequence(F.lit(1), F.size(c) - k + 1), lambda i: F.struct(i.alias("i"), F.array_join(F.slice(c, i, k), "").alias("word")))).otherwise(none)
+    return let(F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, "")), lambda c: F.flatten(F.transform(sizes, lambda k: runs(c, k))))
+
+
 def bigrams(words: Column) -> Column:
     """Neighbouring pairs of a word list, which is computed once."""
     pairs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))

@@ -1,7 +1,6 @@
-"""Article enrichment: classification, routing, keywords, sentiment, nations, entities, and text gates.
+"""Article enrichment: keywords, codes, dates, entities, and text gates.
 
-An article's title is the first line of a document, its summary the rest. Phrase tables, priors, lexicons and
-gazetteers are small dimension tables given as rows; Spark broadcasts them by size.
+An article's title is the first line of a document, its summary the rest.
 """
 
 from __future__ import annotations
@@ -14,25 +13,9 @@ from presswave.functions.expressions import let
 from presswave.functions.registry import query, read
 from presswave.operators import relational as R
 
-# Weights of the classification score.
-TITLE, PRIOR, KEYWORD, FLIP, LIFT = 1.8, 0.35, 0.65, 1.15, 1.1
 # Limits of keyword extraction.
 TITLE_BOOST, UNIGRAMS, BIGRAMS, KEYWORDS = 3, 15, 10, 25
-# Sentiment scaling.
-NEGATED, ALPHA = -0.75, 15.0
-
-#: tag, phrase, base score of the example dimension.
-PHRASES = ((1, "the", 0.4), (1, "the that", 0.9), (2, "que", 0.4), (2, "de la", 0.9), (3, "der", 0.4), (3, "und die", 0.9), (4, "les", 0.5), (4, "de la", 0.6))
-#: city, country, phrase, base score, threshold.
-PLACES = ((11, 1, "the", 0.5, 4.0), (11, 1, "that the", 1.0, 4.0), (12, 1, "and", 0.5, 6.0), (21, 2, "que", 0.5, 5.0), (31, 3, "ist der", 1.0, 1.5), (31, 3, "von", 0.5, 1.5))
 STOPWORDS = ("the", "and", "que", "der", "les", "los", "die")
-LEXICON = (("the", 0.5), ("que", -1.0), ("und", 1.2), ("les", -0.6), ("sch", 2.0))
-INTENSIFIERS = (("and", 1.5), ("ist", 1.5), ("la", 0.5), ("de", 0.5))  # factors above and below one
-NEGATORS = ("to", "no", "ein", "ne")
-
-
-def normalised(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s]", " "), r"\s+", " "))
 
 
 def titled(docs: DataFrame) -> DataFrame:
@@ -41,47 +24,7 @@ def titled(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"title": F.substring_index(text, "\n", 1), "summary": F.when(F.instr(text, "\n") > 0, F.expr("substring(text, instr(text, '\\n') + 1)")).otherwise("")})
 
 
-def word_grams(text: Column, most: int) -> Column:
-    """The runs of 1 to ``most`` words of a normalised text."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-    runs = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-    return let(words, lambda w: F.concat(w, *(runs(w, n) for n in range(2, most + 1))))
-
-
-def phrase_hits(docs: DataFrame, phrases: DataFrame, most: int = 2) -> DataFrame:
-    """doc_id, words, the columns of ``phrases`` and hits: how often each phrase is in the article, title uses counting ``TITLE``.
-
-    Runs of words meet the phrases in one equi-join, so a phrase table of any size costs no more scans.
-    """
-    rows = docs.select("doc_id", normalised(F.col("title")).alias("t"), normalised(F.col("summary")).alias("s"))
-    count = lambda c: F.size(F.filter(F.split(c, " "), lambda w: w != ""))
-    grams = rows.select("doc_id", (count("t") + count("s")).alias("words"), F.explode(F.array(F.struct(F.lit(TITLE).alias("w"), word_grams(F.col("t"), most).alias("g")), F.struct(F.lit(1.0).alias("w"), word_grams(F.col("s"), most).alias("g")))).alias("p"))
-    return grams.select("doc_id", "words", "p.w", F.explode("p.g").alias("phrase")).join(phrases, "phrase").groupBy("doc_id", "words", *phrases.columns).agg(F.sum("w").alias("hits"))
-
-
-def classified(docs: DataFrame, phrases: DataFrame, priors: DataFrame, top: int = 3) -> DataFrame:
-    """doc_id, rank, tag, score: the best tags by source prior and phrase intensity."""
-    intensity = phrase_hits(docs, phrases).groupBy("doc_id", "tag", "words").agg(F.sum(F.col("hits") * F.col("base")).alias("s"))
-    scored = intensity.select("doc_id", "tag", (F.col("s") / F.sqrt("words")).alias("keyword"), F.lit(0.0).alias("prior"))
-    sources = docs.select("doc_id", "source").join(priors, "source").select("doc_id", "tag", F.lit(0.0).alias("keyword"), F.col("weight").alias("prior"))
-    both = scored.unionByName(sources).groupBy("doc_id", "tag").agg((F.sum("keyword") * KEYWORD).alias("k"), (F.sum("prior") * PRIOR).alias("p"))
-    flips = (F.col("k") > F.col("p")) & (F.col("p") > 0) & (F.col("k") >= F.col("p") * FLIP)
-    score = F.round((F.col("k") + F.col("p")) * F.when(flips, LIFT).otherwise(1.0), 6)
-    return R.top_k(both.select("doc_id", "tag", score.alias("score")), ["doc_id"], [F.desc("score"), F.col("tag")], top, "rank")
-
-
-def tag_priors(docs: DataFrame) -> DataFrame:
-    """source, tag, weight: a source's share of documents in each language, the languages standing for tags."""
-    tag = F.when(F.col("lang") == "en", 1).when(F.col("lang") == "es", 2).when(F.col("lang") == "de", 3).otherwise(4)
-    counts = docs.filter("source IS NOT NULL").groupBy("source", tag.alias("tag")).agg(F.count("*").alias("n"))
-    return counts.join(docs.groupBy("source").agg(F.count("*").alias("total")), "source").select("source", "tag", F.round(F.col("n") / F.col("total"), 4).alias("weight"))
-
-
 TITLED = """t AS (SELECT *, string_split(coalesce(text, ''), chr(10))[1] AS title, CASE WHEN contains(text, chr(10)) THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END AS summary FROM documents)"""
-NORM = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda w: w <> '')"
-HITS = f"""{TITLED}, n AS (SELECT doc_id, source, {NORM.format('title')} AS a, {NORM.format('summary')} AS b FROM t),
-    g AS (SELECT doc_id, unnest(list_concat(a, list_transform(range(1, len(a)), lambda i: a[i] || ' ' || a[i + 1]))) AS phrase, 1.8::DOUBLE AS w, len(a) + len(b) AS words FROM n
-          UNION ALL SELECT doc_id, unnest(list_concat(b, list_transform(range(1, len(b)), lambda i: b[i] || ' ' || b[i + 1]))), 1.0, len(a) + len(b) FROM n)"""
 
 
 def values(rows) -> str:
@@ -89,33 +32,6 @@ def values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows) + ")"
 
 
-@query(f"""WITH {HITS}, p AS (SELECT * FROM {values(PHRASES)} v(tag, phrase, base)), k AS (SELECT doc_id, tag, sum(w * base) / sqrt(words) AS keyword FROM g JOIN p USING (phrase) GROUP BY doc_id, tag, words),
-    c AS (SELECT source, CASE lang WHEN 'en' THEN 1 WHEN 'es' THEN 2 WHEN 'de' THEN 3 ELSE 4 END AS tag, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY ALL),
-    q AS (SELECT source, tag, round(n / sum(n) OVER (PARTITION BY source), 4) AS weight FROM c), u AS (SELECT doc_id, tag, keyword, 0.0 AS prior FROM k UNION ALL SELECT doc_id, tag, 0.0, weight FROM documents JOIN q USING (source)),
-    b AS (SELECT doc_id, tag, sum(keyword) * 0.65 AS k, sum(prior) * 0.35 AS p FROM u GROUP BY ALL), s AS (SELECT doc_id, tag, round((k + p) * CASE WHEN k > p AND p > 0 AND k >= p * 1.15 THEN 1.1 ELSE 1.0 END, 6) AS score FROM b),
-    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, tag) AS rank FROM s) SELECT doc_id, rank, tag, score FROM r WHERE rank <= 3""")
-def article_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three best tags of every article: phrase intensity and source prior, lifted where the text outweighs the source."""
-    docs = titled(read(spark, sf_dir, "documents"))
-    phrases = spark.createDataFrame(PHRASES, "tag int, phrase string, base double")
-    return classified(docs, phrases, tag_priors(docs)).select("doc_id", "rank", "tag", "score")
-
-
-@query(f"""WITH {HITS}, p AS (SELECT * FROM {values(PLACES)} v(city, country, phrase, base, threshold)), c AS (SELECT doc_id, city, country FROM g JOIN p USING (phrase) GROUP BY doc_id, city, country HAVING sum(w * base) >= min(threshold)),
-    n2 AS (SELECT doc_id, country FROM g JOIN p USING (phrase) GROUP BY doc_id, country HAVING sum(w * base) >= max(threshold)),
-    s AS (SELECT doc_id, CAST(substr(source, 4) AS INT) AS city FROM documents WHERE source IS NOT NULL AND CAST(substr(source, 4) AS INT) % 3 = 1)
-    SELECT doc_id, country, city, 'content' AS routing FROM c UNION SELECT doc_id, country, NULL, 'content' FROM n2 UNION SELECT doc_id, city % 5, city, 'source' FROM s""")
-def location_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cities and countries whose phrases reach a threshold, and the source's own city where it has one."""
-    docs = titled(read(spark, sf_dir, "documents"))
-    hits = phrase_hits(docs, spark.createDataFrame(PLACES, "city int, country int, phrase string, base double, threshold double"))
-    score = F.sum(F.col("hits") * F.col("base"))
-    cities = hits.groupBy("doc_id", "country", "city").agg(score.alias("s"), F.min("threshold").alias("t")).filter("s >= t").select("doc_id", "country", "city", F.lit("content").alias("routing"))
-    countries = hits.groupBy("doc_id", "country").agg(score.alias("s"), F.max("threshold").alias("t")).filter("s >= t").select("doc_id", "country", F.lit(None).cast("int").alias("city"), F.lit("content").alias("routing"))
-    own = docs.select("doc_id", F.substring("source", 4, 9).cast("int").alias("city")).filter("city % 3 = 1").select("doc_id", (F.col("city") % 5).alias("country"), "city", F.lit("source").alias("routing"))
-    return cities.union(countries).union(own).distinct()
-
-
 def tokenised(text: Column, lang: Column, least: int = 3) -> Column:
     """Words without punctuation at their ends, of ``least`` characters; two- and three-character runs for scripts without spaces."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
@@ -149,86 +65,6 @@ def keyword_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted_keywords(titled(read(spark, sf_dir, "documents")), STOPWORDS)
 
 
-def window_sentiment(tokens: Column, lexicon: tuple, factors: tuple, negators: tuple) -> Column:
-    """Per token of the lexicon its weight, times the nearest factor within two words before, turned by a negator within three."""
-    table = lambda rows: F.create_map(*(F.lit(x) for r in rows for x in r))
-    weights, scale, turns = table(lexicon), table(factors), F.array(*map(F.lit, negators))
-
-    def one(tok: Column, i: Column, all_: Column) -> Column:
-        back = lambda k: F.when(i >= k, F.get(all_, i - k))
-        factor = F.coalesce(F.try_element_at(scale, back(1)), F.try_element_at(scale, back(2)), F.lit(1.0))
-        negated = F.coalesce(F.array_contains(turns, back(1)), F.lit(False)) | F.coalesce(F.array_contains(turns, back(2)), F.lit(False)) | F.coalesce(F.array_contains(turns, back(3)), F.lit(False))
-        w = F.try_element_at(weights, tok) * factor
-        return F.struct(tok.alias("word"), F.when(negated, w * NEGATED).otherwise(w).alias("w"))
-
-    return F.filter(let(tokens, lambda a: F.transform(a, lambda t, i: one(t, i, a))), lambda s: s["w"].isNotNull())
-
-
-WINDOW = f"""d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS k FROM documents), t AS (SELECT doc_id, unnest(k) AS word, generate_subscripts(k, 1) AS i, k FROM d),
-    l AS (SELECT * FROM {values(LEXICON)} v(word, w)), f AS (SELECT * FROM {values(INTENSIFIERS)} v(word, f)),
-    s AS (SELECT t.doc_id, t.word, t.i, l.w * coalesce(f1.f, f2.f, 1.0) * CASE WHEN list_has_any(k[greatest(1, i - 3):i - 1], {list(NEGATORS)}) THEN -0.75 ELSE 1 END AS w FROM t JOIN l USING (word) LEFT JOIN f f1 ON t.i > 1 AND f1.word = t.k[greatest(1, t.i - 1)] LEFT JOIN f f2 ON t.i > 2 AND f2.word = t.k[greatest(1, t.i - 2)])"""
-
-
-def scored_words(docs: DataFrame) -> DataFrame:
-    words = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return docs.select("doc_id", window_sentiment(words, LEXICON, INTENSIFIERS, NEGATORS).alias("s"))
-
-
-@query(f"""WITH {WINDOW} SELECT doc_id, round(sum(w) / sqrt(sum(w) * sum(w) + 15), 6) AS sentiment, count(*) AS matched FROM s GROUP BY 1""")
-def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentiment of every article that has words of the lexicon."""
-    rows = scored_words(read(spark, sf_dir, "documents")).filter(F.size("s") > 0)
-    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["w"])
-    return rows.select("doc_id", total.alias("t"), F.size("s").cast("long").alias("matched")).select("doc_id", F.round(F.col("t") / F.sqrt(F.col("t") * F.col("t") + ALPHA), 6).alias("sentiment"), "matched")
-
-
-@query(f"""WITH {WINDOW}, c AS (SELECT doc_id, word, round(sum(w), 6) AS weight FROM s GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(weight) DESC, word) AS rn FROM c) SELECT doc_id, word, weight FROM r WHERE rn <= 2""")
-def signal_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each article's two heaviest words of the lexicon by absolute weight."""
-    words = scored_words(read(spark, sf_dir, "documents")).select("doc_id", F.explode("s").alias("s")).groupBy("doc_id", "s.word").agg(F.round(F.sum("s.w"), 6).alias("weight"))
-    return R.top_k(words, ["doc_id"], [F.abs("weight").desc(), F.col("word")], 2)
-
-
-def substring_sentiment(text: Column, lexicon: tuple) -> Column:
-    """For scripts without spaces: uses of each key, nine at most, times its weight, scaled."""
-    count = lambda k: F.least(F.regexp_count(text, F.lit(r"\Q" + k + r"\E")), F.lit(9))
-    total = sum((count(k) * w for k, w in lexicon), F.lit(0.0))
-    matched = sum((count(k) for k, _ in lexicon), F.lit(0))
-    return F.when(matched > 0, total / F.sqrt(total * total + ALPHA))
-
-
-@query(f"""WITH c AS (SELECT doc_id, {' + '.join(f"least(9, len(string_split(coalesce(text, ''), '{k}')) - 1) * {w}" for k, w in LEXICON)} AS total, {' + '.join(f"least(9, len(string_split(coalesce(text, ''), '{k}')) - 1)" for k, w in LEXICON)} AS m FROM documents)
-    SELECT doc_id, round(total / sqrt(total * total + 15), 6) AS sentiment FROM c WHERE m > 0""")
-def spaceless_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read(spark, sf_dir, "documents").select("doc_id", F.round(substring_sentiment(F.coalesce("text", F.lit("")), LEXICON), 6).alias("sentiment"))
-    return rows.filter("sentiment IS NOT NULL")
-
-
-def nations_named(text: Column, aliases: tuple[tuple[str, str], ...]) -> Column:
-    """Sorted codes of the names in a text: at each place the longest name between word bounds, so that it covers shorter ones."""
-    import re
-
-    names = sorted((a for a, _ in aliases), key=lambda a: (-len(a), a))
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b(" + "|".join(map(re.escape, names)) + r")\b"), F.lit(1))
-    codes = F.create_map(*(F.lit(x) for pair in aliases for x in pair))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda n: F.try_element_at(codes, n))))
-
-
-#: name and code; one name lies inside a longer one.
-ALIASES = (*((f"nation_{k}", "A" + "BCDEFGHIJKLMNOPQRSTU"[k]) for k in range(20)), ("new nation_3", "XN"))
-
-
-@query(f"""WITH a AS (SELECT * FROM {values(ALIASES)} v(name, code)), t AS (SELECT s_suppkey, lower(x.n_name) AS one, lower(y.n_name) AS two FROM supplier JOIN nation x ON x.n_nationkey = s_nationkey JOIN nation y ON y.n_nationkey = (s_nationkey + s_suppkey) % 25),
-    m AS (SELECT s_suppkey, code FROM t JOIN a ON name = one UNION SELECT s_suppkey, code FROM t JOIN a ON name = CASE two WHEN 'nation_3' THEN 'new nation_3' ELSE two END) SELECT t.s_suppkey, coalesce(string_agg(code, ',' ORDER BY code), '') AS nations FROM t LEFT JOIN m USING (s_suppkey) GROUP BY 1""")
-def nation_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Codes of the nations named in a sentence."""
-    s, n = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), read(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    one = s.join(n, s.s_nationkey == n.n_nationkey).withColumnRenamed("n_name", "one").drop("n_nationkey")
-    both = one.join(n, (F.col("s_nationkey") + F.col("s_suppkey")) % 25 == F.col("n_nationkey"))
-    told = F.concat(F.lit("Talks of "), "one", F.lit(" with New "), "n_name", F.lit(" end; subnation_4 and nation_5s wait."))
-    return both.select("s_suppkey", F.array_join(nations_named(told, ALIASES), ",").alias("nations"))
-
-
 def clean_codes(codes: Column, aliases: tuple[tuple[str, str], ...] = ()) -> Column:
     """Two-letter codes in order without repeats: names become codes, UK becomes GB, what is neither goes."""
     table = F.create_map(*(F.lit(x) for pair in (("UK", "GB"), *((a.upper(), c) for a, c in aliases)) for x in pair))

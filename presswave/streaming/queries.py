@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from presswave.functions.registry import query, read
+from presswave.functions.registry import SQL, query, read
+from presswave.operators import phrases, sentiment
+from presswave.plans import articles as A
+from presswave.plans.enrichment import titled
 from presswave.storage import scratch_path
+from presswave.streaming import operators as S
 
 
 def article_stream(spark: SparkSession, sf_dir: str, files: int = 1) -> DataFrame:
@@ -35,9 +39,9 @@ def uneven_files(spark: SparkSession, sf_dir: str) -> str:
 
 @query("SELECT event_id, event_type, value FROM events")
 def stream_deduplicated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Repeats of an id, in whatever file, are dropped. No watermark: every id stays in the state, so no file comes too late."""
-    new = article_stream(spark, uneven_files(spark, sf_dir)).dropDuplicates(["event_id"])
-    return drained(new.select("event_id", "event_type", "value"), "dedup")
+    """Repeats of an id, in whatever file: those that come soon are dropped by a state that forgets, later ones by the stored rows."""
+    rows = S.deduplicated(article_stream(spark, uneven_files(spark, sf_dir)), scratch_path(spark, "dedup"), "event_id", "ts")
+    return rows.select("event_id", "event_type", "value")
 
 
 @query("""SELECT day, count(*) AS n FROM (SELECT unnest(range(greatest(DATE '2024-01-05', ts::DATE - 6), least(DATE '2024-01-25', ts::DATE) + 1, INTERVAL 1 DAY))::DATE AS day FROM events) GROUP BY 1""")
@@ -54,49 +58,47 @@ def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy("day").agg(F.max_by("n", "batch").alias("n")).filter("day BETWEEN DATE'2024-01-05' AND DATE'2024-01-25'")
 
 
-@query("""SELECT event_id, value >= 50 AS hot, CASE WHEN user_id % 7 = 0 THEN 'failed' ELSE 'succeeded' END AS outcome FROM events""")
+ENRICHED = f"""WITH c AS ({SQL['article_classification']}), r AS ({SQL['location_routing']}), s AS ({SQL['lexicon_sentiment']}), k AS (SELECT doc_id, count(*) AS tags, max(score) AS priority, arg_min(tag, rank) AS tag FROM c GROUP BY 1), n AS (SELECT doc_id, count(*) AS routes FROM r GROUP BY 1)
+    SELECT doc_id, coalesce(tags, 0) AS tags, tag, priority, coalesce(routes, 0) AS routes, sentiment FROM documents LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN s USING (doc_id)"""
+
+
+@query(ENRICHED)
 def stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pipeline for each event inside foreachBatch; a batch that is run again replaces its own output."""
+    """Each article is classified, routed and scored as it comes: the batch operators on every batch, beside static tables."""
+    docs = read(spark, sf_dir, "documents")
+    priors, tags, cities, countries, lexicon = A.tag_priors(docs), A.tag_phrases(spark, sf_dir), A.city_phrases(spark, sf_dir), A.country_phrases(spark, sf_dir), A.lexicon(spark, sf_dir)
     path = scratch_path(spark, "enriched")
+    for k in (2, 0, 3, 1):  # four files of uneven sizes
+        docs.filter(F.least(F.pmod(F.xxhash64("doc_id"), F.lit(7)), F.lit(3)) == k).coalesce(1).write.mode("append").parquet(f"{path}/files")
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/files")
 
-    def save(batch: DataFrame, number: int) -> None:
-        told = batch.select("event_id", (F.col("value") >= 50).alias("hot"), F.when(F.col("user_id") % 7 == 0, "failed").otherwise("succeeded").alias("outcome"))
-        told.write.mode("overwrite").parquet(f"{path}/out/b={number}")
+    def enrich(batch: DataFrame) -> DataFrame:
+        new = titled(batch)
+        best = phrases.classified(new, tags, priors).groupBy("doc_id").agg(F.count("*").alias("tags"), F.min_by("tag", "rank").alias("tag"), F.max("score").alias("priority"))
+        placed = A.routes(new, cities, countries).groupBy("doc_id").agg(F.count("*").alias("routes"))
+        felt = sentiment.sentiment(A.read_articles(new), lexicon).select("doc_id", "sentiment")
+        told = new.select("doc_id").join(best, "doc_id", "left").join(placed, "doc_id", "left").join(felt, "doc_id", "left")
+        return told.select("doc_id", F.coalesce("tags", F.lit(0)).alias("tags"), "tag", "priority", F.coalesce("routes", F.lit(0)).alias("routes"), "sentiment")
 
-    article_stream(spark, sf_dir).writeStream.option("checkpointLocation", f"{path}/state").foreachBatch(save).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema("event_id long, hot boolean, outcome string").option("recursiveFileLookup", "true").parquet(f"{path}/out")
+    return S.enriched(stream, path, enrich)
 
 
 @query("SELECT count(*) AS attempted, count(*) FILTER (WHERE user_id % 7 <> 0) AS succeeded, count(*) FILTER (WHERE user_id % 7 = 0) AS failed FROM events")
 def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of a run, added up over the batches that the stream's progress reports."""
-    path = scratch_path(spark, "counters")
-    bad = F.col("user_id") % 7 == 0
-    told = article_stream(spark, sf_dir).observe("run", F.count("*").alias("attempted"), F.count_if(~bad).alias("succeeded"), F.count_if(bad).alias("failed"))
-    stream = told.writeStream.option("checkpointLocation", f"{path}/state").format("noop").trigger(availableNow=True).start()
-    stream.awaitTermination()
-    # one row for each batch that had rows
-    seen = [p.observedMetrics["run"] for p in stream.recentProgress if "run" in p.observedMetrics]
-    return spark.createDataFrame([tuple(sum(r[c] for r in seen) for c in ("attempted", "succeeded", "failed"))], "attempted long, succeeded long, failed long")
-
-
-@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+    """Counters of a run, added up over a ledger of its batches."""
+    return S.counted(article_stream(spark, sf_dir), scratch_path(spark, "counters"), F.col("user_id") % 7 == 0, "event_id")[0]
+
+
+@query("SELECT event_id FROM events WHERE user_id % 7 = 0")
+def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keys that failed in a run."""
+    return S.counted(article_stream(spark, sf_dir), scratch_path(spark, "failures"), F.col("user_id") % 7 == 0, "event_id")[1]
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 10 = 0) GROUP BY ALL")
 def stream_hot_edge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily counts with a watermark of two days; what came later than that is recomputed as whole days in a batch.
-
-    The stream appends finished days; days that late rows touch, and the open edge, are written over by partition.
-    """
-    path, files = scratch_path(spark, "edge"), sf_dir
-    counts = article_stream(spark, files).withWatermark("ts", "2 days").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
-    rows = counts.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
-    rows.writeStream.outputMode("append").option("checkpointLocation", f"{path}/state").option("path", f"{path}/stream").format("parquet").trigger(availableNow=True).start().awaitTermination()
-    done = spark.read.schema(rows.schema).parquet(f"{path}/stream")
-    done.write.partitionBy("day").parquet(f"{path}/days")
-    exact = read(spark, files, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("n"))
-    had = done.groupBy("day").agg(F.sum("n").alias("had"))
-    stale = exact.groupBy("day").agg(F.sum("n").alias("has")).join(had, "day", "left").filter("had IS NULL OR had != has").select("day")
-    exact.join(stale, "day").select("event_type", "n", "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{path}/days")
-    return spark.read.schema("event_type string, n long, day string").parquet(f"{path}/days").select("day", "event_type", "n")
+    """Daily counts over files out of order: days that late rows touch are counted anew from their partitions, others come from the stream."""
+    return S.hot_edge(article_stream(spark, uneven_files(spark, sf_dir)), scratch_path(spark, "edge"), "ts", "event_type").counts.withColumnRenamed("kind", "event_type")
 
 
 @query("SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
