@@ -6,7 +6,8 @@ the largest sum is found, and the least density on its path to the body is the t
 choice climbs the path, below the body, as long as what a parent adds (taken as one node) has ``CLIMB`` of
 the threshold: an article in several sections is whole, menus and notes beside it stay out. Elsewhere in
 the body the largest-sum subtrees of nodes that reach the threshold are content too. Elements that are
-furniture by tag, role or class (menus, adverts, sidebars, comments, forms ...) take no part. Formatting
+furniture by tag, role or class (menus, adverts, sidebars, comments, forms ...) take no part; a name marks only if all its words
+do (``social-share``, not ``social-policy``), and no name or form takes away nearly all text of a page. Formatting
 elements (b, span ...) are text of their block, neither tags nor nodes; references count as what they stand for.
 
 Python runs inside tasks on one page at a time (mapInArrow, slices of a bounded number of bytes); there is
@@ -50,13 +51,23 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbod
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 STOPS = {"article", "section", "div", "body", "table", "blockquote", "aside", "main"}
 
-# Words in class, id and role that mark furniture.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
-    r"nav|navigation|navbar|menu|breadcrumbs?|sidebar|side|aside|footer|foot|masthead|header|head|topbar|toolbar|comments?|disqus|replies|respond|"
-    r"related|recommend(?:ed|ations)?|share|sharing|social|subscribe|newsletter|signup|login|search|widget|pagination|pager|tags|copyright|skip|contentinfo|complementary)(?:$|[\s_-])",
-    re.I,
+# Words that mark furniture in class, id and role, and words of place that may stand beside them in one name.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion promotions banner cookie cookies consent gdpr "
+    "notice notices alert popup modal overlay nav navigation navbar menu breadcrumb breadcrumbs sidebar side aside footer foot masthead header head topbar toolbar "
+    "comment comments disqus replies respond related recommend recommended recommendation recommendations share sharing social subscribe newsletter signup login "
+    "search widget pagination pager tags copyright skip contentinfo complementary".split()
 )
+PLACES = frozenset(
+    "area bar block bottom box button buttons center col column container desktop fixed form group inner item items left level link links list main mobile outer page panel "
+    "primary right row secondary section site slot space sticky top unit wrap wrapper".split()
+)
+#: Names of an article's own head.
+HEADS = frozenset(("header", "head", "masthead"))
+PARTS = re.compile(r"[-_]+")
+#: A form or a named element that holds nearly all text of a page is no furniture: what is outside has less than this
+#: share of its characters (links do not count), and it has at least so many.
+OUTSIDE, AT_LEAST = 0.05, 250
 OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
 REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
@@ -65,10 +76,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("chars", "density", "furniture", "items", "link_chars", "link_tags", "near", "parent", "tag", "tags", "total")
+    __slots__ = ("chars", "density", "doubtful", "furniture", "items", "link_chars", "link_tags", "near", "parent", "tag", "tags", "total")
 
-    def __init__(self, tag: str, parent: Node | None, furniture: bool = False) -> None:
-        self.tag, self.parent, self.furniture, self.items = tag, parent, furniture, []
+    def __init__(self, tag: str, parent: Node | None, furniture: bool = False, doubtful: bool = False) -> None:
+        self.tag, self.parent, self.furniture, self.doubtful, self.items = tag, parent, furniture, doubtful, []
         #: The node itself if a start tag may end it or stop at it, else the next such ancestor.
         self.near = self if parent is None or tag in BLOCK or tag in ENDS else parent.near
         if parent is not None:
@@ -78,17 +89,66 @@ class Node:
         return [c for c in self.items if isinstance(c, Node) and not c.furniture]
 
 
-def furniture(tag: str, attributes: str, inside_article: bool) -> bool:
-    """Whether an element is no part of an article. An article's own header holds its title and stays."""
+def marked(value: str, inside_article: bool) -> bool:
+    """Whether one of the names in a class, id or role is made of words of furniture and of place alone."""
+    for name in value.lower().split():
+        parts = [x for x in PARTS.split(name) if x]
+        marks = MARKS.intersection(parts) - (HEADS if inside_article else frozenset())
+        if marks and all(x in MARKS or x in PLACES for x in parts):
+            return True
+    return False
+
+
+def furniture(tag: str, attributes: str, inside_article: bool) -> tuple[bool, bool]:
+    """Whether an element is no part of an article, and whether its content may overrule that.
+
+    An article's own header holds its title and stays.
+    """
     if tag in FURNITURE or tag == "header" and not inside_article:
-        return True
+        return True, tag == "form"
+    doubtful = False
     for name, *values in ATTRIBUTE.findall(attributes):  # from the left, so that values are never names
         name, value = name.lower(), next(filter(None, values), "")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and NAMES.search(value) and not (inside_article and tag == "header"):
-            return True
-    return False
+            return True, False
+        if name in ("class", "id", "role") and tag not in ("html", "body", "article", "main") and not (inside_article and tag == "header"):
+            doubtful = doubtful or marked(value, inside_article)
+    return doubtful, doubtful
+
+
+def release(root: Node) -> None:
+    """Take back doubtful furniture that holds nearly all text of the page, from the outside in."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        if not x.furniture or x.doubtful:
+            order.append(x)
+            stack += [c for c in x.items if isinstance(c, Node)]
+    for x in reversed(order):  # all characters, and those that no furniture holds
+        own = 0 if x.tag == "a" else sum(len(c.strip()) for c in x.items if isinstance(c, str))
+        inside = [c for c in x.items if isinstance(c, Node) and (not c.furniture or c.doubtful)]
+        x.chars = own + (0 if x.tag == "a" else sum(c.chars for c in inside))
+        x.tags = own + (0 if x.tag == "a" else sum(c.tags for c in inside if not c.furniture))
+    seen = root.tags
+
+    def outermost(x: Node) -> list[Node]:
+        found, stack = [], [c for c in x.items if isinstance(c, Node)]
+        while stack:
+            c = stack.pop()
+            if not c.furniture:
+                stack += [d for d in c.items if isinstance(d, Node)]
+            elif c.doubtful:
+                found.append(c)
+        return found
+
+    doubtful = outermost(root)
+    while doubtful:
+        most = max(doubtful, key=lambda x: x.chars)
+        if most.chars < AT_LEAST or seen >= OUTSIDE * most.chars:
+            break
+        most.furniture = False
+        seen += most.tags
+        doubtful = outermost(most)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str, int]]:
@@ -160,7 +220,7 @@ def parse(page: str) -> Node:
                 while at is not x.parent:
                     opened[at.tag] -= 1
                     at = at.parent
-        node = Node(tag, at, furniture(tag, attributes, opened["article"] + opened["main"] > 0))
+        node = Node(tag, at, *furniture(tag, attributes, opened["article"] + opened["main"] > 0))
         if tag in VOID or attributes.rstrip().endswith("/") and tag not in BLOCK:
             continue
         if tag in RAW:
@@ -216,6 +276,7 @@ def measure(root: Node) -> tuple[list[Node], float]:
 
 def content(root: Node) -> list[Node]:
     """The content subtrees in page order."""
+    release(root)
     order, ratio = measure(root)
     peak: dict[Node, Node] = {}
     for x in order:

@@ -332,12 +332,37 @@ def test_extract_pages_rows(spark):
 
 def test_furniture_is_told_by_whole_attributes():
     plain = [' href="/news/hidden-gems"', ' title="The hidden cost"', ' data-id="header"', ' href="/p?id=comments"', " data-x='class=\"menu\"'", " href=/a/hidden id=x", ' aria-label="role=search"', ' data-hidden', ""]
-    assert not [x for x in plain if html_extract.furniture("p", x, False)]
+    assert not [x for x in plain if html_extract.furniture("p", x, False)[0]]
     gone = [" hidden", ' HIDDEN=""', " class=menu", ' data-a="b"class="x sidebar"', " title='a' id = 'comments'", ' aria-hidden="true"', ' style="display: none"', ' href="/x" role=search']
-    assert all(html_extract.furniture("p", x, False) for x in gone)
+    assert all(html_extract.furniture("p", x, False)[0] for x in gone)
     assert html_extract.extract('<body><p>Read <a href="/news/hidden-gems">these gems</a> now.</p></body>') == "Read these gems now."
 
 
+WRAPPERS = ["<form action=/x>", "<div class='content-with-sidebar'>", "<div class=has-sidebar>", "<div id='site-header'>", "<section class='restaurant-menu'>", "<div class=sidebar><form>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_wrappers_do_not_take_articles_away(wrapper):
+    for k in range(20):
+        page, want = planted("div", k)
+        if len(want) < 600:
+            continue
+        page = page.replace("<body>", f"<body>{wrapper}").replace("</body>", "</form></section></div></div></body>")
+        assert html_extract.extract(page) == want
+
+
+def test_names_of_topics_stay_and_names_of_furniture_go():
+    a, b = ("Some words of text for the first. " * 12).strip(), "A shorter one, of this topic."
+    for named in ("section class='side-effects'", "h2 id='social-policy'", "p class='share-price up'", "div class='article-header'", "div class=header", "section class='restaurant-menu'", "p class='header-bidding'"):
+        page = f"<body><nav>Home</nav><article><{named}>{b}</{named.split()[0]}><p>{a}</p><p>{a}</p></article></body>"
+        assert html_extract.extract(page).split("\n") == [b, a, a], named
+    for named in ("div class='social-share'", "div id=comments", "section class='x comment-list'", "div class='cookie-notice-bar'", "div class='sidebar-left'", "div class='ad_slot'", "form", "div role=complementary"):
+        page = f"<body><nav>Home</nav><article><p>{a}</p><p>{a}</p><{named}>{a} {b}</{named.split()[0]}></article></body>"
+        assert html_extract.extract(page).split("\n") == [a, a], named
+    comments = f"<body><article><p>{a}</p></article><div class=comments>{f'<p>{a} {b}</p>' * 15}</div></body>"
+    assert html_extract.extract(comments) == a
+
+
 def test_warc(spark, tmp_path):
     rows = [(k, f"http://x/{k}", f"<p>{k % 3}</p>" * 50) for k in range(1, 40)] + [(50, None, None), (51, "u", ""), (2, "again", "other"), (None, "u", "nobody")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit("clash"))
