@@ -2,13 +2,12 @@
 
 Texts are tokenised in tasks and cut into pieces of at most ``LIMIT`` ids. The histogram of piece lengths
 (``LIMIT`` numbers, whatever the input's size) goes to the driver, which solves the configuration program
-over it. Prices of the lengths give a lower bound on the sequences (a knapsack by dynamic programming finds
-the dearest configuration). Two plans come first: best fit decreasing, and growth of the dearest
-configurations at prices near the volume bound. Unless one is within ``GAP`` of that bound, multiplicative
-weights run: prices start at one over need and fall exponentially with coverage, the dearest configurations
-get shares, and the scaled average of the shares is rounded down to whole sequences, with what is left packed
-by the better of best fit and growth at the prices of the bound. They stop at the gap or after ``ROUNDS``
-rounds, and the least plan is taken. It is a table of at most a few thousand ranges: the pieces number r to s
+over it by multiplicative weights: prices start at one over need and fall exponentially with coverage, a knapsack
+by dynamic programming finds the dearest configurations, which get shares, and the scaled average of the shares is
+rounded down to whole sequences; best fit packs what that leaves. Prices give a lower bound on the sequences of any
+plan. The rounds stop within ``GAP`` of the bound or after ``ROUNDS``. Only a plan that ends above the gap is
+held against greedy growth of the dearest configurations and best fit of all pieces, and the least is
+taken. It is a table of at most a few thousand ranges: the pieces number r to s
 of a length go to these sequences at this offset. Pieces are numbered within their length in salted groups, so a length
 that a third of all pieces share is spread over ``SALTS`` tasks, and each finds its place by a join.
 
@@ -53,7 +52,8 @@ class Words:
     """Ids of texts by the word vocabulary.
 
     No token spans white space, so a text's ids are its blank-separated words' ids. A new word is split
-    like the vocabulary does, its parts are encoded by the tokenizer, and the result is remembered.
+    like the vocabulary does. Words and their parts (the same with other punctuation around them) are remembered;
+    only new parts meet the tokenizer.
     """
 
     def __init__(self, path: str) -> None:
@@ -64,19 +64,19 @@ class Words:
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for piece, k in self.tokenizer.get_vocab().items():
             self.ends[k] = piece.endswith("</w>")
+        self.parts = Remembered(self.encode_parts, REMEMBERED)
         self.known = Remembered(self.encode_words, REMEMBERED)
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Encode the words' parts as one text and cut its ids at the ends of parts."""
-        parts = list(map(WORD.findall, words))
-        told = dict.fromkeys(chain.from_iterable(parts))
-        ids = self.tokenizer.encode_batch_fast([" ".join(told)], add_special_tokens=False)[0].ids
+    def encode_parts(self, parts: list[str]) -> list[list[int]]:
+        """Encode different parts as one text and cut its ids at the ends of parts."""
+        ids = self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids
         cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist() if ids else []
-        if len(cuts) == len(told):
-            told = dict(zip(told, (ids[i:j] for i, j in zip([0, *cuts], cuts, strict=False)), strict=True))
-        else:
-            told = {k: x.ids for k, x in zip(told, self.tokenizer.encode_batch_fast(list(told), add_special_tokens=False), strict=True)}
-        return [list(chain.from_iterable(map(told.__getitem__, word))) for word in parts]
+        if len(cuts) == len(parts):
+            return [ids[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
+        return [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def encode_words(self, words: list[str]) -> list[np.ndarray]:
+        return list(self.parts.ids(list(map(WORD.findall, words))))
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
@@ -202,20 +202,20 @@ def sequences(plan: list[tuple[dict[int, int], int]]) -> int:
 
 
 def program(histogram: dict[int, int], limit: int = LIMIT, gap: float = GAP, rounds: int = ROUNDS, slack: float = 1e-2) -> tuple[list[tuple[dict[int, int], int]], float]:
-    """The least plan found and a lower bound on the sequences of any plan.
+    """The program's rounded plan and a lower bound on the sequences of any plan.
 
     A round adds shares of all configurations within ``slack`` of the dearest, in one step by which no
     length is covered more than once over. Averages start anew when the number of rounds has doubled, so
-    that early prices do not stay in them.
+    that early prices do not stay in them; then the average is rounded. The rounds end within ``gap`` of the bound.
+    Greedy growth at the bound's prices and best fit decreasing replace the plan only where they need fewer sequences.
     """
     lengths = np.array(sorted(k for k, n in histogram.items() if n > 0), dtype=np.int64)
     need = np.array([histogram[k] for k in lengths], dtype=float)
+    if not len(lengths):
+        return [], 0.0
     bound, dual = float(lengths @ need) / limit, lengths / limit
-    plan = min(best_fit(histogram, limit), rounded(histogram, solve(histogram, limit), limit), key=sequences)
-    log_prices, shares = -np.log(need), Counter()
+    log_prices, shares, plans = -np.log(need), Counter(), []
     for t in range(1, rounds + 1):
-        if sequences(plan) <= np.ceil(bound - 1e-6) * (1 + gap):
-            break
         prices = np.exp(log_prices - log_prices.max())
         found = knapsack(lengths, prices, limit, len(lengths), slack)
         dearest = prices[found[0]].sum()
@@ -231,13 +231,20 @@ def program(histogram: dict[int, int], limit: int = LIMIT, gap: float = GAP, rou
             shares[items] += eta * share
         log_prices -= eta * covered
         if t >= 8 and t & (t - 1) == 0 or t == rounds:
-            plan = min(plan, _whole(histogram, shares, lengths, bound, dual, limit), key=sequences)
+            near = np.ceil(bound - 1e-6) * (1 + gap)
+            plan, left = _whole(histogram, shares, lengths, bound)
+            plans.append(plan + best_fit(left, limit))
+            if sequences(plans[-1]) > near:
+                priced = dict(zip(lengths.tolist(), dual.tolist(), strict=True))
+                plans.append(plan + rounded(left, solve(left, limit, dual=priced), limit))
+            if min(map(sequences, plans)) <= near:
+                return min(plans, key=sequences), bound
             shares = Counter()
-    return plan, bound
+    return min(*plans, rounded(histogram, solve(histogram, limit), limit), best_fit(histogram, limit), key=sequences), bound
 
 
-def _whole(histogram: dict[int, int], shares: Counter, lengths: np.ndarray, bound: float, dual: np.ndarray, limit: int) -> list[tuple[dict[int, int], int]]:
-    """The average of ``shares`` scaled to ``bound`` sequences as a plan of whole sequences."""
+def _whole(histogram: dict[int, int], shares: Counter, lengths: np.ndarray, bound: float) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """The average of ``shares`` scaled to ``bound`` sequences and rounded down to whole ones, and what it leaves."""
     scale, left, plan = bound / sum(shares.values()), dict(histogram), []
     for config, share in shares.most_common():
         items = Counter(int(lengths[k]) for k in config)
@@ -245,8 +252,7 @@ def _whole(histogram: dict[int, int], shares: Counter, lengths: np.ndarray, boun
             plan.append((dict(items), times))
             for k, n in items.items():
                 left[k] -= n * times
-    priced = dict(zip(lengths.tolist(), dual.tolist(), strict=True))
-    return plan + min(best_fit(left, limit), rounded(left, solve(left, limit, dual=priced), limit), key=sequences)
+    return plan, left
 
 
 def ranges(plan: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
