@@ -19,10 +19,10 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 class Remembered(dict):
     """Words and their numbers; the ids of word n are ``flat[bounds[n]:bounds[n + 1]]``.
 
-    ``encode_words`` gives the ids of new words. Beyond ``most`` words all are forgotten.
+    ``encode_words`` gives the ids of new words: a list for each, or all in one array and how many each has. Beyond ``most`` words all are forgotten.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], list[list[int]]], most: int) -> None:
+    def __init__(self, encode_words: Callable[[list[str]], list[list[int]] | tuple[np.ndarray, np.ndarray]], most: int) -> None:
         self.encode_words, self.most = encode_words, most
         self.forget()
 
@@ -39,15 +39,30 @@ class Remembered(dict):
 
     def learn(self) -> None:
         new = self.encode_words(self.new)
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
+        if isinstance(new, tuple):
+            flat, sizes = new
+        else:
+            sizes = np.fromiter(map(len, new), np.int64, len(new))
+            flat = np.fromiter(chain.from_iterable(new), "<u4", int(sizes.sum()))
         ends = self.used + sizes.cumsum()
         while ends[-1] > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.known + len(new) + 1 > len(self.bounds):
+        while self.known + len(sizes) + 1 > len(self.bounds):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
-        self.flat[self.used : ends[-1]] = np.fromiter(chain.from_iterable(new), "<u4", int(sizes.sum()))
-        self.bounds[self.known + 1 : self.known + 1 + len(new)] = ends
-        self.used, self.known, self.new = int(ends[-1]), self.known + len(new), []
+        self.flat[self.used : ends[-1]] = flat
+        self.bounds[self.known + 1 : self.known + 1 + len(sizes)] = ends
+        self.used, self.known, self.new = int(ends[-1]), self.known + len(sizes), []
+
+    def flat_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``words`` one after another, and how many each has."""
+        if len(self) > self.most:
+            self.forget()
+        numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        if self.new:
+            self.learn()
+        starts = self.bounds[numbers]
+        sizes = self.bounds[numbers + 1] - starts
+        return gathered(self.flat, starts, sizes), sizes
 
     def ids(self, texts: list[list[str] | None]) -> Iterator[np.ndarray | None]:
         """The ids of each text, given as its words (None stays None)."""

@@ -37,7 +37,7 @@ LIMIT, END, SALTS = 2048, 0, 256
 #: Where the configuration program stops: relative distance of the plan from the bound, and rounds at most.
 GAP, ROUNDS = 1e-3, 256
 #: Unique words that a worker remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 3 << 19
 
 _LETTER = "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "L")
 _DIGIT = "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "N")
@@ -75,8 +75,13 @@ class Words:
             return [ids[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
         return [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        return list(self.parts.ids(list(map(WORD.findall, words))))
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words one after another, and how many each has."""
+        parts = list(map(WORD.findall, words))
+        ends = np.fromiter(map(len, parts), np.int64, len(parts)).cumsum()
+        flat, sizes = self.parts.flat_ids(list(chain.from_iterable(parts)))
+        before = np.append(0, sizes.cumsum())
+        return flat, np.diff(before[np.append(0, ends)])
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
