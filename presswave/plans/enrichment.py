@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from presswave.functions import text as T
 from presswave.functions.expressions import let
 from presswave.functions.registry import query, read
+from presswave.operators import names
 from presswave.operators import relational as R
 
 # Limits of keyword extraction.
@@ -148,22 +149,19 @@ def entity_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(best, ["article"], [F.desc("relevance"), F.col("type"), F.col("entity")], 12)
 
 
-def years_agree(a: Column, b: Column) -> Column:
-    """Not both hold years without one in common."""
-    years = lambda c: F.regexp_extract_all(c, F.lit(r"\b((?:19|20)\d\d)\b"), F.lit(1))
-    return (F.size(years(a)) == 0) | (F.size(years(b)) == 0) | F.arrays_overlap(years(a), years(b))
-
-
-@query("""WITH p AS (SELECT p_partkey, p_brand, p_size, lower(p_name) || ' ' || (1990 + p_partkey % 30) AS name FROM part), g AS (SELECT p_partkey, list_distinct(flatten(list_transform(string_split(name, ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS t FROM p),
-    j AS (SELECT a.p_partkey AS a, b.p_partkey AS b, a.name AS n, b.name AS m FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey), s AS (SELECT a, b, n, m, len(list_intersect(x.t, y.t)) / len(list_distinct(list_concat(x.t, y.t))) AS sim FROM j JOIN g x ON x.p_partkey = a JOIN g y ON y.p_partkey = b),
-    r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS rn FROM s WHERE sim >= 0.2 AND right(n, 4) = right(m, 4)) SELECT a, b, round(sim, 6) AS sim FROM r WHERE rn <= 5""")
+@query(f"""WITH e AS (SELECT p_partkey AS id, lower(p_name) || ' ' || (1990 + p_partkey % 30) AS name, lower(p_brand || ' ' || p_type) AS alias FROM part), q AS (SELECT DISTINCT CASE WHEN p_partkey % 10 = 0 THEN upper(p_brand || ' ' || p_type) ELSE lower(p_name) || ' ' || (1990 + p_partkey % 31) END AS name FROM part),
+    n AS (SELECT name FROM e UNION SELECT name FROM q), g AS (SELECT name, list_distinct(flatten(list_transform(list_filter(string_split_regex(lower(name), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS t FROM n),
+    s AS (SELECT q.name, d.name AS entity, len(list_intersect(x.t, y.t)) AS i, i / (len(x.t) + len(y.t) - i) AS sim FROM q JOIN g x ON x.name = q.name, (SELECT DISTINCT name FROM e) d JOIN g y ON y.name = d.name),
+    f AS (SELECT s.name, e.id, s.entity, sim, lower(s.name) = alias AS by_alias FROM s JOIN e ON e.name = s.entity WHERE sim >= 0.55 OR lower(s.name) = alias),
+    r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY sim DESC, id) AS rank FROM f), y AS (SELECT *, regexp_extract_all(name, '{names.YEARS}', 1) AS a, regexp_extract_all(entity, '{names.YEARS}', 1) AS b FROM r WHERE rank <= 5)
+    SELECT name, rank, id, round(sim, 6) AS sim, by_alias, len(a) = 0 OR len(b) = 0 OR list_has_any(a, b) AS fits FROM y""")
 def alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five nearest names by trigram similarity, without those of another year."""
-    p = read(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", F.concat_ws(" ", F.lower("p_name"), (1990 + F.col("p_partkey") % 30).cast("string")).alias("name"))
-    g = p.select("p_brand", "p_size", "p_partkey", "name", T.trigrams(F.col("name")).alias("t"))
-    pairs = g.selectExpr("p_brand", "p_size", "p_partkey AS a", "name AS n", "t AS x").join(g.selectExpr("p_brand", "p_size", "p_partkey AS b", "name AS m", "t AS y"), ["p_brand", "p_size"]).filter("a < b")
-    near = pairs.select("a", "b", "n", "m", T.jaccard(F.col("x"), F.col("y")).alias("s")).filter((F.col("s") >= 0.2) & years_agree(F.col("n"), F.col("m")))
-    return R.top_k(near, ["a"], [F.desc("s"), F.col("b")], 5).select("a", "b", F.round("s", 6).alias("sim"))
+    """The five nearest entities of every different name asked for, by trigram similarity or alias, among all names."""
+    p = read(spark, sf_dir, "part")
+    name = lambda of: F.concat_ws(" ", F.lower("p_name"), (1990 + F.col("p_partkey") % of).cast("string"))
+    alias = F.concat_ws(" ", "p_brand", "p_type")
+    asked = p.select(F.when(F.col("p_partkey") % 10 == 0, F.upper(alias)).otherwise(name(31)).alias("name"))
+    return names.find_names(asked, p.select(F.col("p_partkey").alias("id"), name(30).alias("name"), F.array(alias).alias("aliases")))
 
 
 @query("""SELECT lang AS k, list(DISTINCT source ORDER BY source)[1:10] AS first_ten FROM documents WHERE source IS NOT NULL GROUP BY 1""")

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from presswave.functions import text as T
 from presswave.functions.registry import query, read
+from presswave.operators import edges, stories
 from presswave.operators import relational as R
 from presswave.operators.components import connected_components
+from presswave.operators.lookup import sized
 
 # Thresholds of duplicate threads, and the categories that may mix.
 TITLE_J, CONTAINED, KEYWORD_J, HINT_TITLE_J, HINT_KEYWORD_J, COMMON = 0.40, 0.55, 0.55, 0.30, 0.35, 3
@@ -87,18 +89,27 @@ def duplicate_links(threads: DataFrame) -> DataFrame:
 
 
 def story_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as threads: their names and three made-up words are titles, brand, type and two more are keywords, the size a nation."""
-    category = F.when(F.col("p_partkey") % 5 == 0, "politics").when(F.col("p_partkey") % 5 == 1, "military").when(F.col("p_partkey") % 5 == 2, "sports").when(F.col("p_partkey") % 5 == 3, "culture")
-    word = lambda letter, by, of: F.concat(F.lit(letter), (F.col("p_partkey") * by % of).cast("string"))
-    keys = F.array_distinct(F.concat(F.array(F.lower("p_brand"), word("k", 1, 3), word("m", 1, 6)), F.split(F.lower("p_type"), " ")))
-    title = F.array_distinct(F.concat(F.split(F.lower("p_name"), " "), F.array(word("a", 1, 14), word("b", 1, 16), word("c", 7, 19))))
-    return read(spark, sf_dir, "part").filter("p_size <= 8").select(F.col("p_partkey").alias("id"), category.alias("category"), title.alias("title"), keys.alias("keys"), F.array(F.col("p_size").cast("string")).alias("nations"), "p_retailprice")
+    """Parts as threads: their names and three made-up words are titles, brand, type and three more are keywords, size and a number are nations.
 
-
-STORY = """s AS (SELECT p_partkey AS id, CASE p_partkey % 5 WHEN 0 THEN 'politics' WHEN 1 THEN 'military' WHEN 2 THEN 'sports' WHEN 3 THEN 'culture' END AS category, list_distinct(list_concat(string_split(lower(p_name), ' '), ['a' || p_partkey % 14, 'b' || p_partkey % 16, 'c' || p_partkey * 7 % 19])) AS title, list_distinct(list_concat([lower(p_brand), 'k' || p_partkey % 3, 'm' || p_partkey % 6], string_split(lower(p_type), ' '))) AS keys, p_size AS nation, p_retailprice FROM part WHERE p_size <= 8),
-    j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.title, b.title)) AS t, len(list_distinct(list_concat(a.title, b.title))) AS tu, least(len(a.title), len(b.title)) AS tm, len(list_intersect(a.keys, b.keys)) AS k, len(list_distinct(list_concat(a.keys, b.keys))) AS ku, a.nation = b.nation AS same
+    Neighbours by number share made-up words, so stories grow in number with the table, not in size.
+    """
+    k = F.col("p_partkey")
+    kind = F.floor(k / 50) % 5
+    category = F.when(kind == 0, "politics").when(kind == 1, "military").when(kind == 2, "sports").when(kind == 3, "culture")
+    word = lambda letter, by: F.concat(F.lit(letter), F.floor(k / by).cast("string"))
+    keys = F.array_distinct(F.array(F.lower("p_brand"), F.concat(word("k", 6), F.lit(" story")), F.concat(word("m", 10), F.lit(" case")), word("n", 4), F.lower("p_type")))
+    title = F.array_distinct(F.concat(F.split(F.lower("p_name"), " "), F.array(word("a", 5), word("b", 7), word("c", 9))))
+    nations = F.array(F.concat(F.lit("s"), F.col("p_size").cast("string")), word("r", 8))
+    return read(spark, sf_dir, "part").select(k.alias("id"), category.alias("category"), title.alias("title"), keys.alias("keys"), nations.alias("nations"), "p_retailprice")
+
+
+STORY_ROWS = """s AS (SELECT p_partkey AS id, CASE p_partkey // 50 % 5 WHEN 0 THEN 'politics' WHEN 1 THEN 'military' WHEN 2 THEN 'sports' WHEN 3 THEN 'culture' END AS category, list_distinct(list_concat(string_split(lower(p_name), ' '), ['a' || p_partkey // 5, 'b' || p_partkey // 7, 'c' || p_partkey // 9])) AS title,
+      ([lower(p_brand), 'k' || p_partkey // 6 || ' story', 'm' || p_partkey // 10 || ' case', 'n' || p_partkey // 4, lower(p_type)]) AS keys, ['s' || p_size, 'r' || p_partkey // 8] AS nations, p_retailprice FROM part)"""
+STORY = f"""{STORY_ROWS}, j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.title, b.title)) AS t, len(a.title) + len(b.title) - t AS tu, least(len(a.title), len(b.title)) AS tm, len(list_intersect(a.keys, b.keys)) AS k, len(a.keys) + len(b.keys) - k AS ku, list_has_any(a.nations, b.nations) AS same
       FROM s a JOIN s b ON a.id < b.id AND (a.category IS NULL OR b.category IS NULL OR a.category = b.category OR (a.category IN ('politics', 'military') AND b.category IN ('politics', 'military')))),
     e AS (SELECT a, b FROM j WHERE (t >= 3 AND (t / tu >= 0.40 OR t / tm >= 0.55)) OR k / ku >= 0.55 OR (same AND t >= 3 AND (t / tu >= 0.30 OR k / ku >= 0.35)))"""
+#: m: each linked thread and the least of its component; the least label goes on along the links until nothing changes.
+STORIES = f"""{STORY}, y AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), c(x, y) USING KEY (x) AS (SELECT DISTINCT x, x AS y FROM y UNION SELECT y.x, min(c.y) FROM c JOIN y ON y.y = c.x JOIN recurring.c AS o ON o.x = y.x WHERE c.y < o.y GROUP BY y.x), m AS (SELECT x AS id, y AS story FROM c)"""
 
 
 @query(f"WITH {STORY} SELECT a, b FROM e")
@@ -106,50 +117,92 @@ def duplicate_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_links(story_threads(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE {STORY}, y AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), c(x, y) AS (SELECT x, x FROM y UNION SELECT c.x, y.y FROM c JOIN y ON c.y = y.x), m AS (SELECT x AS id, min(y) AS story FROM c GROUP BY x),
-    w AS (SELECT story, id, p_retailprice, row_number() OVER (PARTITION BY story ORDER BY p_retailprice DESC, id) AS rn FROM m JOIN s USING (id))
-    SELECT id, max(CASE WHEN rn = 1 THEN id END) OVER (PARTITION BY story) AS winner, CASE WHEN rn = 1 THEN max(p_retailprice) OVER (PARTITION BY story) ELSE p_retailprice END AS importance, CASE WHEN rn = 1 THEN 'active' ELSE 'dormant' END AS status, CASE WHEN rn = 1 THEN count(*) OVER (PARTITION BY story) ELSE 0 END AS articles FROM w""")
+def thread_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Threads, links and ejections: an order's lines link it to their parts; a returned line ejects it from the part before."""
+    line = read(spark, sf_dir, "lineitem")
+    links = line.groupBy(F.col("l_partkey").alias("thread_id"), F.col("l_orderkey").alias("article_id")).agg(F.max("l_discount").alias("relevance"), F.bool_or(F.col("l_linenumber") == 1).alias("is_anchor"))
+    ejections = line.filter("l_returnflag = 'R'").select((F.col("l_partkey") - 1).alias("thread_id"), F.col("l_orderkey").alias("article_id"))
+    counts = links.groupBy(F.col("thread_id").alias("id")).agg(F.count("*").alias("n"))
+    t = story_threads(spark, sf_dir).join(counts, "id", "left")
+    rows = t.select("id", F.lit("active").alias("status"), (F.floor("p_retailprice") % 7).cast("double").alias("importance"), F.coalesce("n", F.lit(0)).alias("article_count"), (F.col("id") % 11).alias("updated"), F.col("keys").alias("keywords"), "nations")
+    return rows, links, ejections
+
+
+MERGED = f"""WITH RECURSIVE {STORIES}, l AS (SELECT l_partkey AS thread_id, l_orderkey AS article_id, max(l_discount) AS relevance, bool_or(l_linenumber = 1) AS is_anchor FROM lineitem GROUP BY ALL), x AS (SELECT DISTINCT l_partkey - 1 AS thread_id, l_orderkey AS article_id FROM lineitem WHERE l_returnflag = 'R'),
+    t AS (SELECT id, floor(p_retailprice) % 7 AS importance, (SELECT count(*) FROM l WHERE thread_id = id) AS n, id % 11 AS updated, keys, nations FROM s), p AS (SELECT t.*, story, row_number() OVER w AS place, first_value(id) OVER w AS winner FROM m JOIN t USING (id) WINDOW w AS (PARTITION BY story ORDER BY importance DESC, n DESC, updated DESC, id)),
+    q AS (SELECT thread_id, article_id, 1 AS place, relevance, is_anchor FROM l WHERE thread_id NOT IN (SELECT id FROM p WHERE place > 1) UNION ALL SELECT winner, article_id, place, relevance, false FROM l JOIN p ON thread_id = id AND place > 1 WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.thread_id = winner AND x.article_id = l.article_id)),
+    v AS (SELECT thread_id, article_id, relevance, is_anchor FROM q QUALIFY row_number() OVER (PARTITION BY thread_id, article_id ORDER BY place) = 1)"""
+
+
+def merged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    threads, links, ejections = thread_table(spark, sf_dir)
+    return stories.merge_threads(threads, links, ejections, duplicate_links(story_threads(spark, sf_dir)), F.lit(99))
+
+
+def _united_sql(values: str, norm: str) -> str:
+    return f"(SELECT string_agg(v, ',' ORDER BY place, pos) FROM (SELECT v, place, pos FROM (SELECT place, unnest({values}) AS v, generate_subscripts({values}, 1) AS pos FROM p WHERE p.winner = t.id) QUALIFY row_number() OVER (PARTITION BY {norm} ORDER BY place, pos) = 1))"
+
+
+@query(f"""{MERGED} SELECT t.id, CASE WHEN place > 1 THEN 'dormant' ELSE 'active' END AS status, CASE WHEN place = 1 THEN (SELECT max(importance) FROM p z WHERE z.winner = t.id) ELSE t.importance END AS importance, CASE WHEN place > 1 THEN 0 WHEN place = 1 THEN (SELECT count(*) FROM v WHERE thread_id = t.id) ELSE t.n END AS article_count, CASE WHEN place IS NULL THEN t.updated ELSE 99 END AS updated,
+    CASE WHEN place = 1 THEN {_united_sql('keys', 'lower(trim(v))')} ELSE array_to_string(t.keys, ',') END AS keywords, CASE WHEN place = 1 THEN {_united_sql('nations', 'upper(trim(v))')} ELSE array_to_string(t.nations, ',') END AS nations FROM t LEFT JOIN (SELECT id, place FROM p) USING (id)""")
 def thread_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Duplicates move to the most important thread of their group; the others become dormant and empty."""
-    threads = story_threads(spark, sf_dir)
-    parts = connected_components(duplicate_links(threads).selectExpr("a AS u", "b AS v")).select(F.col("node").alias("id"), F.col("component").alias("story"))
-    members = parts.join(threads.select("id", "p_retailprice"), "id")
-    best = members.groupBy("story").agg(F.max(F.struct("p_retailprice", -F.col("id"))).alias("best"), F.count("*").alias("n"))
-    wins = F.col("id") == F.col("winner")
-    return members.join(best.select("story", (-F.col("best.col2")).alias("winner"), F.col("best.p_retailprice").alias("most"), "n"), "story").select(
-        "id", "winner", F.when(wins, F.col("most")).otherwise(F.col("p_retailprice")).alias("importance"), F.when(wins, "active").otherwise("dormant").alias("status"), F.when(wins, F.col("n")).otherwise(0).alias("articles")
-    )
+    """Threads after duplicates moved to the most important of their group: united keywords and nations, articles counted anew."""
+    rows = merged(spark, sf_dir)[0]
+    return rows.withColumns({"keywords": F.array_join("keywords", ","), "nations": F.array_join("nations", ",")})
+
+
+@query(f"{MERGED} SELECT * FROM v")
+def thread_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of threads to articles after the merge: moved, without ejected ones and repeats."""
+    return merged(spark, sf_dir)[1]
 
 
 # Thresholds of fragments of one story: (least entity score, least shared keyword words).
 FRAGMENT_TITLE, FRAGMENT_KEYS, FRAGMENT_ENTITIES = 0.50, 0.40, ((2.0, 5), (2.5, 2), (3.0, 1))
-#: Entity and tier score of the example dimension.
-TIERS = (("a1", 1.0), ("b2", 1.0), ("c3", 0.7), ("a5", 0.7), ("b4", 1.0), ("m1", 1.0), ("m2", 0.4), ("k0", 1.0), ("k1", 0.4), ("economy", 0.7))
+TIER_SCORES = (("b", 3, 1.0), ("a", 4, 0.7), ("c", 1, 0.4), ("n", 2, 1.0))
+"""The example dimension: a made-up word of this letter whose number is divisible by this has this score."""
+
+
+def keyword_words(keys: Column) -> Column:
+    """The different words of keywords, of three characters or more."""
+    return F.array_distinct(F.filter(F.split(F.array_join(keys, " "), r"\s+"), lambda w: F.length(w) >= 3))
+
 
+def entity_tiers(threads: DataFrame) -> DataFrame:
+    """entity, score of the words of titles and keywords that stand for entities."""
+    words = threads.select(F.explode(F.array_union("title", keyword_words(F.col("keys")))).alias("entity")).distinct()
+    letter, number = F.substring("entity", 1, 1), F.regexp_extract("entity", r"^[a-z](\d+)$", 1).try_cast("long")
+    score = F.coalesce(*(F.when((letter == x) & (number % by == 0), F.lit(v)) for x, by, v in TIER_SCORES))
+    return words.withColumn("score", score).filter("score IS NOT NULL")
 
-def fragment_links(threads: DataFrame, tiers: tuple[tuple[str, float], ...]) -> DataFrame:
-    """Pairs (a < b) of threads of one category that share titles, keywords, or entities of enough weight with some keywords."""
-    known = F.array(*(F.lit(e) for e, _ in tiers))
-    weights = F.create_map(*(F.lit(x) for t in tiers for x in t))
-    rows = threads.select("id", "category", "title", "keys", F.array_intersect(F.array_union("title", "keys"), known).alias("entities"))
+
+def fragment_links(threads: DataFrame, tiers: DataFrame) -> DataFrame:
+    """Pairs (a < b) of threads of one category that share titles, keywords, or entities (entity, score) of enough weight with some words of keywords."""
+    rows = threads.select("id", "category", "title", "keys", keyword_words(F.col("keys")).alias("words"))
+    held = rows.select("id", F.explode(F.array_union("title", "words")).alias("entity")).join(sized(tiers, "tiers"), "entity")
+    scores = held.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("entity", "score"))).alias("scores"))
+    rows = rows.join(scores, "id", "left").withColumn("entities", F.coalesce(F.map_keys("scores"), F.array().cast("array<string>")))
     prefix = lambda c, least: rare_first_pairs(rows.select("id", F.col(c).alias("s")), least)
     # two entities at least are shared where their scores, at most 1 each, reach 2
     pairs = prefix("title", F.ceil(FRAGMENT_TITLE * F.col("n") - 1e-9)).union(prefix("keys", F.ceil(FRAGMENT_KEYS * F.col("n") - 1e-9))).union(prefix("entities", F.lit(2))).distinct()
-    side = lambda s: rows.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("category", "title", "keys", "entities")))
+    side = lambda s: rows.select(F.col("id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("category", "title", "keys", "words", "entities", "scores")))
     p = pairs.join(side("a"), "a").join(side("b"), "b")
-    score = F.aggregate(F.array_intersect("entities_a", "entities_b"), F.lit(0.0), lambda t, e: t + F.element_at(weights, e))
-    common = F.size(F.array_intersect("keys_a", "keys_b"))
-    classic = (T.jaccard(F.col("title_a"), F.col("title_b")) >= FRAGMENT_TITLE) | (T.jaccard(F.col("keys_a"), F.col("keys_b")) >= FRAGMENT_KEYS)
+    score = F.aggregate(F.array_intersect("entities_a", "entities_b"), F.lit(0.0), lambda t, e: t + F.element_at("scores_a", e))
+    common = F.size(F.array_intersect("words_a", "words_b"))
+    classic = (T.jaccard(F.col("title_a"), F.col("title_b"), 1.0) >= FRAGMENT_TITLE) | (T.jaccard(F.col("keys_a"), F.col("keys_b")) >= FRAGMENT_KEYS)
     tiered = [(F.round(score, 6) >= least) & (common >= words) for least, words in FRAGMENT_ENTITIES]
     one = F.col("category_a").isNull() | F.col("category_b").isNull() | (F.col("category_a") == F.col("category_b"))
     return p.filter(one & (classic | tiered[0] | tiered[1] | tiered[2])).select("a", "b")
 
 
-@query(f"""WITH {STORY}, w AS (SELECT * FROM (VALUES {', '.join(f"('{e}', {v})" for e, v in TIERS)}) t(e, v)), n AS (SELECT *, list_filter(list_distinct(list_concat(title, keys)), lambda x: x IN {tuple(e for e, _ in TIERS)}) AS ents FROM s),
-    f AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.title, b.title)) / len(list_distinct(list_concat(a.title, b.title))) AS t, len(list_intersect(a.keys, b.keys)) AS k, len(list_distinct(list_concat(a.keys, b.keys))) AS ku, coalesce((SELECT sum(v) FROM w WHERE e IN (SELECT unnest(list_intersect(a.ents, b.ents)))), 0) AS score FROM n a JOIN n b ON a.id < b.id AND (a.category IS NULL OR b.category IS NULL OR a.category = b.category))
-    SELECT a, b FROM f WHERE t >= 0.5 OR k / ku >= 0.4 OR (score >= 2.0 AND k >= 5) OR (score >= 2.5 AND k >= 2) OR (score >= 3.0 AND k >= 1)""")
+@query(f"""WITH {STORY_ROWS}, r AS (SELECT *, list_filter(list_distinct(string_split(array_to_string(keys, ' '), ' ')), lambda w: length(w) >= 3) AS words FROM s), d AS (SELECT DISTINCT unnest(list_concat(title, words)) AS e FROM r),
+    g AS (SELECT e, CASE {' '.join(f"WHEN e[1] = '{x}' AND n % {by} = 0 THEN {v}" for x, by, v in TIER_SCORES)} END AS score FROM (SELECT e, try_cast(regexp_extract(e, '^[a-z]([0-9]+)$', 1) AS BIGINT) AS n FROM d)), h AS (SELECT id, e, any_value(score) AS score FROM (SELECT id, unnest(list_concat(title, words)) AS e FROM r) JOIN g USING (e) WHERE score IS NOT NULL GROUP BY ALL),
+    z AS (SELECT x.id AS a, y.id AS b, sum(x.score) AS score FROM h x JOIN h y USING (e) WHERE x.id < y.id GROUP BY ALL), f AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.title, b.title)) AS t, len(a.title) + len(b.title) - t AS tu, len(list_intersect(a.keys, b.keys)) AS k, len(a.keys) + len(b.keys) - k AS ku, len(list_intersect(a.words, b.words)) AS w
+      FROM r a JOIN r b ON a.id < b.id AND (a.category IS NULL OR b.category IS NULL OR a.category = b.category))
+    SELECT a, b FROM f LEFT JOIN z USING (a, b) WHERE t / tu >= 0.5 OR k / ku >= 0.4 OR (round(score, 6) >= 2.0 AND w >= 5) OR (round(score, 6) >= 2.5 AND w >= 2) OR (round(score, 6) >= 3.0 AND w >= 1)""")
 def fragment_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fragment_links(story_threads(spark, sf_dir), TIERS)
+    rows = story_threads(spark, sf_dir)
+    return fragment_links(rows, entity_tiers(rows))
 
 
 def attach_score(entities: Column, nations: Column, keys: Column, title_tokens: Column) -> Column:
@@ -239,29 +292,47 @@ def entity_gated_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.filter(gate).select(F.col("seed").alias("a"), F.col("other").alias("b"), F.round("sim", 6).alias("sim"))
 
 
-def edge_weight(kw: Column, canon: Column, foreign: Column, sem: Column, cat: Column, geo: Column, lang: Column, title: Column, bonus: Column, hint: Column) -> Column:
-    """A thread graph edge: similarities by fixed weights, a bonus, and a little of the bucket hint, within [0, 1]."""
-    total = 0.28 * F.greatest(kw, canon) + 0.22 * foreign + 0.12 * sem + 0.08 * kw + 0.12 * cat + 0.09 * geo + 0.05 * lang + 0.13 * title + bonus + F.least(F.lit(0.10), 0.012 * hint)
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), total))
+def graph_threads(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Story threads with what the edges of their graph need: threads, vectors and buckets."""
+    k = F.col("id")
+    t = story_threads(spark, sf_dir).withColumn("words", keyword_words(F.col("keys")))
+    word = lambda letter, by: F.concat(F.lit(letter), F.floor(k / by).cast("string"))
+    t = t.withColumn("native", F.when(k % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(word("x", 6), word("y", 4))))
+    threads = t.select(
+        "id", "category", (k % 10).alias("importance"), (8 + k % 9).alias("article_count"), (k % 7).alias("raw_hits"), (k % 5).alias("normalized_hits"), F.when(k % 2 == 0, F.floor(k / 5)).alias("identity"),
+        F.col("nations").alias("countries"), F.array_distinct(F.array(F.concat(F.lit("l"), (k % 4).cast("string")), F.concat(F.lit("l"), (F.floor(k / 3) % 3).cast("string")))).alias("languages"),
+        "title", F.concat("title", F.array(word("d", 6), word("e", 12))).alias("summary"),
+    )
+    vector = lambda kind, terms, by: t.select("id", F.lit(kind).alias("kind"), F.explode(terms).alias("term")).withColumn("weight", (1 + (k + F.length("term")) % by).cast("double"))
+    vectors = vector("keyword", "keys", 3).union(vector("canonical", "words", 2)).union(vector("semantic", "title", 4)).union(vector("native", "native", 3))
+    post = lambda family, keys: t.select(F.lit(family).alias("family"), F.explode(keys).alias("key"), "id")
+    posts = post("keyword", "keys").union(post("canonical", "words")).union(post("native", "native")).union(post("category", F.concat(F.array("category"), "nations"))).union(post("title", "title"))
+    return threads, vectors, posts.union(threads.select(F.lit("identity"), F.col("identity").cast("string"), "id"))
+
+
+_SIMS = ", ".join(f"coalesce(s_{k} / nullif(coalesce(x.{k}, 0) + coalesce(y.{k}, 0) - s_{k}, 0), 0) AS {k}" for k in edges.KINDS)
+_JACCARD = "len(list_intersect(a.{0}, b.{0})) / (len(a.{0}) + len(b.{0}) - len(list_intersect(a.{0}, b.{0})))"
+
+
+@query(f"""WITH {STORY_ROWS}, r AS (SELECT *, list_filter(list_distinct(string_split(array_to_string(keys, ' '), ' ')), lambda w: length(w) >= 3) AS words, CASE WHEN id % 3 = 0 THEN [] ELSE ['x' || id // 6, 'y' || id // 4] END AS native, CASE WHEN id % 2 = 0 THEN id // 5 END AS ident,
+      list_distinct(['l' || id % 4, 'l' || id // 3 % 3]) AS languages, list_concat(title, ['d' || id // 6, 'e' || id // 12]) AS summary FROM s),
+    v AS (SELECT id, kind, term, sum(1 + (id + length(term)) % md) AS weight FROM (SELECT id, 'keyword' AS kind, unnest(keys) AS term, 3 AS md FROM r UNION ALL SELECT id, 'canonical', unnest(words), 2 FROM r UNION ALL SELECT id, 'semantic', unnest(title), 4 FROM r UNION ALL SELECT id, 'native', unnest(native), 3 FROM r) GROUP BY ALL),
+    f AS (SELECT * FROM (VALUES {', '.join(f"('{k}', {n}, {b})" for k, (n, b) in edges.FAMILIES.items())}) f(family, most, boost)),
+    o AS (SELECT DISTINCT * FROM (SELECT 'keyword' AS family, unnest(keys) AS key, id FROM r UNION ALL SELECT 'canonical', unnest(words), id FROM r UNION ALL SELECT 'native', unnest(native), id FROM r UNION ALL SELECT 'category', unnest(list_concat([category], nations)), id FROM r UNION ALL SELECT 'title', unnest(title), id FROM r UNION ALL SELECT 'identity', ident::VARCHAR, id FROM r) WHERE key IS NOT NULL),
+    u AS (SELECT family, key, boost FROM o JOIN f USING (family) GROUP BY family, key, boost, most HAVING count(*) BETWEEN 2 AND most), q AS (SELECT * FROM o JOIN u USING (family, key)), p AS (SELECT x.id AS a, y.id AS b, sum(x.boost) AS hint FROM q x JOIN q y USING (family, key) WHERE x.id < y.id GROUP BY ALL),
+    n AS (SELECT id, {', '.join(f"sum(weight) FILTER (WHERE kind = '{k}') AS {k}" for k in edges.KINDS)} FROM v GROUP BY 1), l AS (SELECT a, b, {', '.join(f"coalesce(sum(least(x.weight, y.weight)) FILTER (WHERE y.kind = '{k}'), 0) AS s_{k}" for k in edges.KINDS)} FROM p LEFT JOIN v x ON x.id = a LEFT JOIN v y ON y.id = b AND y.kind = x.kind AND y.term = x.term GROUP BY ALL),
+    m AS (SELECT l.a, l.b, hint, {_SIMS} FROM l JOIN p USING (a, b) LEFT JOIN n x ON x.id = l.a LEFT JOIN n y ON y.id = l.b),
+    w AS (SELECT m.*, coalesce(a.category = b.category, false) AS cat, {_JACCARD.format('nations')} AS geo, {_JACCARD.format('languages')} AS lang, {_JACCARD.format('title')} AS tit, {_JACCARD.format('summary')} AS summ, coalesce(a.ident = b.ident, false)::INT AS ident,
+      (a.id % 7 / greatest(1, a.id % 7 + a.id % 5) + b.id % 7 / greatest(1, b.id % 7 + b.id % 5)) / 2 AS fc, a.id % 10 >= 8 AND b.id % 10 >= 8 AS imp, 8 + a.id % 9 >= 12 AND 8 + b.id % 9 >= 12 AS many FROM m JOIN r a ON a.id = m.a JOIN r b ON b.id = m.b),
+    e AS (SELECT a, b, round(least(1.0, greatest(0.0, 0.28 * greatest(keyword, canonical) + 0.22 * greatest(native, canonical * fc) + 0.12 * semantic + 0.08 * keyword + 0.12 * cat::INT + 0.09 * geo + 0.05 * lang + 0.13 * greatest(tit, summ, ident)
+      + 0.03 * (imp AND cat)::INT + 0.025 * (many AND summ >= 0.12)::INT + 0.02 * (geo >= 0.34)::INT + 0.015 * (semantic >= 0.22)::INT + 0.04 * (native >= 0.18)::INT + 0.03 * (canonical >= 0.25 AND fc >= 0.4)::INT + least(0.10, 0.012 * hint::DOUBLE))), 4) AS weight FROM w),
+    k AS (SELECT *, a AS node FROM e WHERE weight >= 0.26 UNION ALL SELECT *, b FROM e WHERE weight >= 0.26) SELECT DISTINCT a, b, weight FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, a, b) AS rn FROM k) WHERE rn <= 12""")
+def thread_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weighted edges of the thread graph: ten terms over four sparse vectors, sets, identity and shared buckets; each thread keeps its twelve best."""
+    return edges.edge_weights(*graph_threads(spark, sf_dir))
 
 
-@query(f"""WITH {STORY}, w AS (SELECT a, b, least(1.0, greatest(0.0, 0.28 * k / ku + 0.08 * k / ku + 0.12 * (x.category IS NOT DISTINCT FROM y.category)::INT + 0.09 * same::INT + 0.05 + 0.13 * t / tu + least(0.10, 0.012 * (k + t)))) AS weight FROM j JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE k + t > 0) SELECT a, b, round(weight, 6) AS weight FROM w WHERE weight >= 0.26""")
-def thread_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weighted edges of the thread graph of at least 0.26 among threads whose categories may mix."""
-    t = story_threads(spark, sf_dir)
-    words = t.select("id", F.explode(F.concat(F.transform("title", lambda w: F.struct(F.lit("t").alias("kind"), w.alias("w"))), F.transform("keys", lambda w: F.struct(F.lit("k").alias("kind"), w.alias("w"))))).alias("x")).select("id", "x.kind", "x.w")
-    shared = words.selectExpr("kind", "w", "id AS a").join(words.selectExpr("kind", "w", "id AS b"), ["kind", "w"]).filter("a < b").groupBy("a", "b").agg(F.count_if(F.col("kind") == "t").alias("t"), F.count_if(F.col("kind") == "k").alias("k"))
-    n = t.select("id", "category", F.size("title").alias("nt"), F.size("keys").alias("nk"), "nations")
-    side = lambda s: n.select(*(F.col(c).alias(f"{c}_{s}") for c in n.columns)).withColumnRenamed(f"id_{s}", s)
-    p = shared.join(side("a"), "a").join(side("b"), "b")
-    mixes = F.col("category_a").isNull() | F.col("category_b").isNull() | (F.col("category_a") == F.col("category_b")) | (F.col("category_a").isin(*RELATED) & F.col("category_b").isin(*RELATED))
-    kw, title = F.col("k") / (F.col("nk_a") + F.col("nk_b") - F.col("k")), F.col("t") / (F.col("nt_a") + F.col("nt_b") - F.col("t"))
-    zero = F.lit(0.0)
-    weight = edge_weight(kw, zero, zero, zero, F.col("category_a").eqNullSafe(F.col("category_b")).cast("int"), F.arrays_overlap("nations_a", "nations_b").cast("int"), F.lit(1), title, zero, F.col("k") + F.col("t"))
-    return p.filter(mixes).select("a", "b", F.round(weight, 6).alias("weight"), weight.alias("w")).filter("w >= 0.26").drop("w")
-
-
-@query(f"""WITH RECURSIVE {STORY}, y AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), c(x, y) AS (SELECT x, x FROM y UNION SELECT c.x, y.y FROM c JOIN y ON c.y = y.x), m AS (SELECT x AS id, min(y) AS story FROM c GROUP BY x), t AS (SELECT story, count(*) AS threads, sum(p_retailprice) AS importance FROM m JOIN s USING (id) GROUP BY 1),
+@query(f"""WITH RECURSIVE {STORIES}, t AS (SELECT story, count(*) AS threads, sum(p_retailprice) AS importance FROM m JOIN s USING (id) GROUP BY 1),
     k AS (SELECT story, category, count(*) AS n FROM m JOIN s USING (id) WHERE category IS NOT NULL GROUP BY ALL), kc AS (SELECT story, category, row_number() OVER (PARTITION BY story ORDER BY n DESC, category) AS rn FROM k),
     w AS (SELECT story, key, count(*) AS n FROM (SELECT story, unnest(keys) AS key FROM m JOIN s USING (id)) GROUP BY ALL), wk AS (SELECT *, row_number() OVER (PARTITION BY story ORDER BY n DESC, key) AS rn FROM w)
     SELECT row_number() OVER (ORDER BY round(importance, 2) DESC, t.story) AS id, threads, round(importance, 2) AS importance, kc.category, (SELECT string_agg(key, ',' ORDER BY rn) FROM wk WHERE wk.story = t.story AND rn <= 5) AS keywords FROM t LEFT JOIN kc ON kc.story = t.story AND kc.rn = 1""")
