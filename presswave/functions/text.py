@@ -125,9 +125,9 @@ def domain(url: Column) -> Column:
 
 
 def number(cell: Column) -> Column:
-    """A table cell as a number: footnotes, parentheses, group separators and the Unicode minus are dropped."""
-    bare = F.regexp_replace(F.regexp_replace(F.translate(cell, "−–", "--"), r"\[[^\]]*\]|\([^)]*\)", ""), r"[,\s%$€£]", "")
-    return F.regexp_extract(bare, r"-?\d+(?:\.\d+)?", 0).try_cast("double")
+    """The first number of a table cell: footnotes, parentheses and group separators are dropped, dashes are minus signs."""
+    bare = F.regexp_replace(F.translate(cell, "−–—", "---"), r"\[[^\]]*\]|\([^)]*\)", "")
+    return F.regexp_replace(F.regexp_extract(bare, r"-?[0-9][0-9,]*(?:\.[0-9]+)?", 0), ",", "").try_cast("double")
 
 
 def fingerprint(*parts: Column) -> Column:

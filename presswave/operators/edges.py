@@ -13,7 +13,7 @@ from presswave.storage import materialize
 
 # Most nodes of a bucket and its boost, by family; least weight of an edge, and edges that each node keeps.
 FAMILIES = {"keyword": (90, 1.25), "canonical": (120, 1.5), "native": (90, 1.85), "category": (140, 0.85), "title": (80, 1.15), "identity": (60, 3.0)}
-LEAST, EACH, DIGITS = 0.26, 12, 4
+LEAST, EACH, SCALE = 0.26, 12, 10_000  # weights have four digits; halves go up, whatever the order of the sum
 KINDS = ("keyword", "canonical", "semantic", "native")
 
 
@@ -87,6 +87,6 @@ def edge_weights(threads: DataFrame, vectors: DataFrame, posts: DataFrame, least
         + bonus
         + F.least(F.lit(0.10), 0.012 * F.col("hint"))
     )
-    edges = materialize(p.select("a", "b", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), DIGITS).alias("weight")).filter(F.col("weight") >= least), "edges")
+    edges = materialize(p.select("a", "b", (F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)) * SCALE + 0.5 + 1e-6) / SCALE).alias("weight")).filter(F.col("weight") >= least), "edges")
     ends = edges.select(F.col("a").alias("node"), "a", "b", "weight").union(edges.select(F.col("b").alias("node"), "a", "b", "weight"))
     return R.top_k(ends, ["node"], [F.desc("weight"), F.col("a"), F.col("b")], each).select("a", "b", "weight").distinct()

@@ -23,11 +23,11 @@ def _by_feed(df: DataFrame, feed: str, score: str, key: str, pool: int, run) ->
 
 
 def rest_sources(names: list, cooldown: int) -> list[int]:
-    """Positions of rows in an order in which a source rests for ``cooldown`` picks; without a free one, the source longest ago."""
+    """Positions of rows in an order in which a source is free again from the ``cooldown``-th pick after its own; without a free one, the source longest ago."""
     last, order, rest = {}, [], list(range(len(names)))
     while rest:
         at = len(order)
-        free = next((i for i in rest if at - last.get(names[i], -cooldown - 1) > cooldown), None)
+        free = next((i for i in rest if at - last.get(names[i], -cooldown) >= cooldown), None)
         pick = free if free is not None else min(rest, key=lambda i: last[names[i]])
         last[names[pick]] = at
         order.append(pick)
@@ -36,7 +36,7 @@ def rest_sources(names: list, cooldown: int) -> list[int]:
 
 
 def diversity_rerank(df: DataFrame, feed: str, score: str, key: str, source: str, cooldown: int = 5, pool: int = POOL) -> DataFrame:
-    """The best row whose source was not among the last ``cooldown`` picks; without one, the source longest ago."""
+    """The best row whose source was not among the last ``cooldown`` - 1 picks; without one, the source longest ago."""
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
         return p.iloc[rest_sources(p[source].to_list(), cooldown)].assign(place=range(1, len(p) + 1))
@@ -44,22 +44,35 @@ def diversity_rerank(df: DataFrame, feed: str, score: str, key: str, source: str
     return _by_feed(df, feed, score, key, pool, run)
 
 
-def variance_rerank(df: DataFrame, feed: str, score: str, key: str, country: str, penalty: float = 1.5, fade: float = 0.25, most_in_row: int = 2, pool: int = POOL) -> DataFrame:
-    """Each pick of a country lowers its rows' scores by a penalty that fades; at most ``most_in_row`` of one in a row."""
+def newness(at: pd.Series) -> np.ndarray:
+    """1.5 for the newest row down to 1 for the oldest."""
+    age = (at.max() - at).dt.total_seconds().to_numpy(dtype=float)
+    return 1.5 - 0.5 * age / (age.max() or 1.0)
+
+
+def variance_rerank(df: DataFrame, feed: str, score: str, key: str, country: str, published: str, penalty: float = 1.5, fade: float = 0.25, most_in_row: int = 2, pool: int = POOL) -> DataFrame:
+    """Newer rows weigh up to half more; a picked country's rows count (1 - penalty) times.
+
+    The penalty fades by ``fade`` of itself with each later pick and ends below 0.01; at most ``most_in_row`` of one
+    country stand in a row, unless nothing else is left.
+    """
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        left, load, order = p.reset_index(drop=True), {}, []
-        names, scores, rest = left[country].to_list(), left[score].to_list(), list(range(len(left)))
-        while rest:
-            tail = [names[i] for i in order[-most_in_row:]]
-            blocked = tail[0] if len(tail) == most_in_row and len(set(tail)) == 1 else None
-            able = [i for i in rest if names[i] != blocked] or rest
-            pick = max(able, key=lambda i: (scores[i] - load.get(names[i], 0.0), -i))
-            load = {k: max(0.0, v - fade) for k, v in load.items()}
-            load[names[pick]] = load.get(names[pick], 0.0) + penalty
+        countries = pd.factorize(p[country], use_na_sentinel=False)[0]
+        weight, fines = p[score].to_numpy(dtype=float) * newness(p[published]), np.zeros(countries.max() + 1)
+        left, order = np.ones(len(p), dtype=bool), []
+        for _ in range(len(p)):
+            able = left
+            tail = {countries[k] for k in order[-most_in_row:]}
+            if len(order) >= most_in_row and len(tail) == 1:
+                able = left & (countries != tail.pop())
+            pick = int(np.where(able, weight * (1 - fines[countries]), -np.inf).argmax()) if able.any() else int(left.argmax())
+            left[pick] = False
             order.append(pick)
-            rest.remove(pick)
-        return left.iloc[order].assign(place=range(1, len(order) + 1))
+            fines *= 1 - fade
+            fines[fines < 0.01] = 0.0
+            fines[countries[pick]] = penalty
+        return p.iloc[order].assign(place=range(1, len(p) + 1))
 
     return _by_feed(df, feed, score, key, pool, run)
 
@@ -74,8 +87,7 @@ def combined_rerank(df: DataFrame, feed: str, score: str, key: str, source: str,
     def run(p: pd.DataFrame) -> pd.DataFrame:
         n, order = len(p), []
         sources, countries = pd.factorize(p[source], use_na_sentinel=False)[0], pd.factorize(p[country], use_na_sentinel=False)[0]
-        age = (p[published].max() - p[published]).dt.total_seconds().to_numpy(dtype=float)
-        weight = p[score].to_numpy(dtype=float) * (1.5 - 0.5 * age / (age.max() or 1.0))
+        weight = p[score].to_numpy(dtype=float) * newness(p[published])
         source_at, country_at, left = np.full(n, -n), np.full(n, -n), np.ones(n, dtype=bool)
         for at in range(n):
             rest = np.where(source_at[sources] > -n, n - (at - source_at[sources]), 0)  # turns until a source is free

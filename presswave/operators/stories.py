@@ -6,7 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from presswave.operators.components import connected_components
+from presswave.operators import relational as R
 from presswave.operators.lookup import sized
+from presswave.operators.names import similar_sets
+
+
+# From which likeness a story is the same, from which it is worth a look, how many are shown, and days looked back.
+SAME, REVIEW, SHOWN, LOOK_BACK = 0.55, 0.28, 5, 60
+
+
+def identity_candidates(threads: DataFrame, identities: DataFrame, same: float = SAME, review: float = REVIEW, shown: int = SHOWN, days: int = LOOK_BACK) -> DataFrame:
+    """id, rank, identity, likeness, verdict: what each thread (id, seen, keys) may be among identities (identity, seen, keys).
+
+    ``keys`` are arrays without repeats, ``seen`` dates; identities last seen within ``days`` before the thread take part, the most alike
+    first, then the later seen. From ``same`` on the verdict is same, from ``review`` on review; less alike ones are not shown.
+    Equal sets of keys are compared once; a set that many identities share brings its few latest of each day.
+    """
+    sets = lambda rows: rows.select(F.array_sort("keys").alias("s")).filter(F.size("s") > 0).distinct().withColumn("key", F.array_join("s", "\x00"))
+    near = similar_sets(sets(threads), sets(identities), review)
+    named = lambda c: F.array_join(F.array_sort("keys"), "\x00").alias(c)
+    asked = threads.select("id", "seen", named("a"))
+    # of one set, thread and day only the first few identities can be among those shown
+    known = R.top_k(identities.select("identity", F.col("seen").alias("last"), named("b")), ["b", "last"], [F.col("identity")], shown + 1)
+    days_of = asked.select("a", "seen").distinct().join(near, "a").join(known, "b").filter((F.col("last") <= F.col("seen")) & (F.col("last") > F.date_sub("seen", days)))
+    best = R.top_k(days_of, ["a", "seen"], [F.desc("sim"), F.desc("last"), F.col("identity")], shown + 1)
+    mine = best.join(asked, ["a", "seen"]).filter("identity != id")
+    ranked = R.top_k(mine, ["id"], [F.desc("sim"), F.desc("last"), F.col("identity")], shown, "rank")
+    return ranked.select("id", "rank", "identity", F.round("sim", 6).alias("likeness"), F.when(F.col("sim") >= same, "same").otherwise("review").alias("verdict"))
 
 
 def winners(threads: DataFrame, pairs: DataFrame) -> DataFrame:

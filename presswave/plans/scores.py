@@ -85,10 +85,10 @@ def rule_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("event_type", "n", F.round("m", 6).alias("mean"), F.round(S.rule_confidence(F.col("m"), F.col("s")), 6).alias("confidence"))
 
 
-@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) AS folded, regexp_full_match(coalesce(text, ''), '[\\x00-\\x7F]*') AS ascii FROM documents WHERE lang IN ('es', 'fr', 'en') AND NOT contains(coalesce(text, ''), 'ß')""")
+@query("""SELECT doc_id, trim(regexp_replace(regexp_replace(strip_accents(replace(lower(coalesce(text, '')), 'ß', ' ')), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) AS folded, regexp_full_match(coalesce(text, ''), '[\\x00-\\x7F]*') AS ascii FROM documents""")
 def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts folded to plain letters, and whether they were ASCII."""
-    d = read(spark, sf_dir, "documents").filter(F.col("lang").isin("es", "fr", "en") & ~F.contains(F.coalesce("text", F.lit("")), F.lit("ß"))).withColumn("text", F.coalesce("text", F.lit("")))
+    d = read(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return d.select("doc_id", T.fold("text").alias("folded"), T.is_ascii(F.regexp_replace("text", r"\s", " ")).alias("ascii"))
 
 
@@ -112,9 +112,9 @@ def diversity_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def variance_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each day's feed reordered so that categories alternate; tested on fixtures."""
-    e = read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", "event_type", "value")
-    return rerank.variance_rerank(e, "day", "value", "event_id", "event_type")
+    """Each day's feed reordered so that categories alternate; tested against a brute-force version."""
+    e = read(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_id", "event_type", "value", F.col("ts").cast("timestamp").alias("at"))
+    return rerank.variance_rerank(e, "day", "value", "event_id", "event_type", "at")
 
 
 @query(None)

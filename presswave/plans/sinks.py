@@ -75,8 +75,10 @@ def ttl_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").filter((at >= since(45)) | ((F.col("o_orderpriority") == "1-URGENT") & (at >= since(180)))).select("o_orderkey")
 
 
-@query("SELECT a.k AS k, a.v AS v FROM (SELECT unnest([1, 2, 3]) AS k, unnest(['x', 'y', 'z']) AS v) a")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM lineitem")
 def parallel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows from parallel arrays."""
-    one = spark.range(1).select(F.array(*map(F.lit, (1, 2, 3))).alias("k"), F.array(*map(F.lit, "xyz")).alias("v"))
-    return one.select(F.explode(F.arrays_zip("k", "v")).alias("r")).select("r.k", "r.v")
+    """Rows from parallel arrays: a batch insert of each order's lines, whose columns came as arrays of one length."""
+    line = F.struct("l_linenumber", "l_partkey", "l_quantity")
+    orders = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
+    sent = orders.select("l_orderkey", *(F.transform("x", lambda v, c=c: v[c]).alias(c) for c in ("l_linenumber", "l_partkey", "l_quantity")))
+    return sent.select("l_orderkey", F.explode(F.arrays_zip("l_linenumber", "l_partkey", "l_quantity")).alias("r")).select("l_orderkey", "r.*")

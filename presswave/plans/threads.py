@@ -112,6 +112,15 @@ STORY = f"""{STORY_ROWS}, j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(
 STORIES = f"""{STORY}, y AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), c(x, y) USING KEY (x) AS (SELECT DISTINCT x, x AS y FROM y UNION SELECT y.x, min(c.y) FROM c JOIN y ON y.y = c.x JOIN recurring.c AS o ON o.x = y.x WHERE c.y < o.y GROUP BY y.x), m AS (SELECT x AS id, y AS story FROM c)"""
 
 
+@query(f"""WITH {STORY_ROWS}, k AS (SELECT id, DATE '2024-01-01' + (id * 7 % 150)::INT AS seen, list_concat(title, keys) AS keys FROM s), p AS (SELECT a.id, b.id AS identity, b.seen, len(list_intersect(a.keys, b.keys)) AS i, i / (len(a.keys) + len(b.keys) - i) AS sim FROM k a JOIN k b ON a.id <> b.id AND b.seen <= a.seen AND b.seen > a.seen - 60),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, seen DESC, identity) AS rank FROM p WHERE sim >= 0.28) SELECT id, rank, identity, round(sim, 6) AS likeness, CASE WHEN sim >= 0.55 THEN 'same' ELSE 'review' END AS verdict FROM r WHERE rank <= 5""")
+def story_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five earlier stories within 60 days that each thread may be, by likeness, with a band for review."""
+    t = story_threads(spark, sf_dir)
+    rows = t.select("id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") * 7 % 150).cast("int")).alias("seen"), F.concat("title", "keys").alias("keys"))
+    return stories.identity_candidates(rows, rows.withColumnRenamed("id", "identity"))
+
+
 @query(f"WITH {STORY} SELECT a, b FROM e")
 def duplicate_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_links(story_threads(spark, sf_dir))
@@ -324,8 +333,8 @@ _JACCARD = "len(list_intersect(a.{0}, b.{0})) / (len(a.{0}) + len(b.{0}) - len(l
     m AS (SELECT l.a, l.b, hint, {_SIMS} FROM l JOIN p USING (a, b) LEFT JOIN n x ON x.id = l.a LEFT JOIN n y ON y.id = l.b),
     w AS (SELECT m.*, coalesce(a.category = b.category, false) AS cat, {_JACCARD.format('nations')} AS geo, {_JACCARD.format('languages')} AS lang, {_JACCARD.format('title')} AS tit, {_JACCARD.format('summary')} AS summ, coalesce(a.ident = b.ident, false)::INT AS ident,
       (a.id % 7 / greatest(1, a.id % 7 + a.id % 5) + b.id % 7 / greatest(1, b.id % 7 + b.id % 5)) / 2 AS fc, a.id % 10 >= 8 AND b.id % 10 >= 8 AS imp, 8 + a.id % 9 >= 12 AND 8 + b.id % 9 >= 12 AS many FROM m JOIN r a ON a.id = m.a JOIN r b ON b.id = m.b),
-    e AS (SELECT a, b, round(least(1.0, greatest(0.0, 0.28 * greatest(keyword, canonical) + 0.22 * greatest(native, canonical * fc) + 0.12 * semantic + 0.08 * keyword + 0.12 * cat::INT + 0.09 * geo + 0.05 * lang + 0.13 * greatest(tit, summ, ident)
-      + 0.03 * (imp AND cat)::INT + 0.025 * (many AND summ >= 0.12)::INT + 0.02 * (geo >= 0.34)::INT + 0.015 * (semantic >= 0.22)::INT + 0.04 * (native >= 0.18)::INT + 0.03 * (canonical >= 0.25 AND fc >= 0.4)::INT + least(0.10, 0.012 * hint::DOUBLE))), 4) AS weight FROM w),
+    e AS (SELECT a, b, floor(least(1.0, greatest(0.0, 0.28 * greatest(keyword, canonical) + 0.22 * greatest(native, canonical * fc) + 0.12 * semantic + 0.08 * keyword + 0.12 * cat::INT + 0.09 * geo + 0.05 * lang + 0.13 * greatest(tit, summ, ident)
+      + 0.03 * (imp AND cat)::INT + 0.025 * (many AND summ >= 0.12)::INT + 0.02 * (geo >= 0.34)::INT + 0.015 * (semantic >= 0.22)::INT + 0.04 * (native >= 0.18)::INT + 0.03 * (canonical >= 0.25 AND fc >= 0.4)::INT + least(0.10, 0.012 * hint::DOUBLE))) * 10000 + 0.5 + 0.000001) / 10000 AS weight FROM w),
     k AS (SELECT *, a AS node FROM e WHERE weight >= 0.26 UNION ALL SELECT *, b FROM e WHERE weight >= 0.26) SELECT DISTINCT a, b, weight FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY weight DESC, a, b) AS rn FROM k) WHERE rn <= 12""")
 def thread_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted edges of the thread graph: ten terms over four sparse vectors, sets, identity and shared buckets; each thread keeps its twelve best."""

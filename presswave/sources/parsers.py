@@ -1,7 +1,7 @@
 """Rows from stored feeds, pages, JSON and CSV texts.
 
 Everything works on a column of texts, so fetching is somebody else's work and a corpus of any size is one
-scan. XML, JSON and tables use built-in functions; HTML lists use the standard library's parser inside tasks.
+scan. XML, JSON and CSV use built-in functions; HTML lists and tables use the standard library's parser inside tasks.
 """
 
 from __future__ import annotations
@@ -14,21 +14,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from presswave.functions import text as T
+from presswave.sources.selection import table_cells
 
-FEED = (
-    "channel struct<item: array<struct<title: string, link: string, pubDate: string>>>, "
-    "entry array<struct<title: string, link: struct<_href: string>, updated: string>>, url array<struct<loc: string, lastmod: string>>"
-)
+ITEM = "array<struct<title: string, link: string, pubDate: string, date: string>>"
+FEED = f"channel struct<item: {ITEM}>, item {ITEM}, entry array<struct<title: string, link: array<struct<_href: string, _rel: string>>, published: string, updated: string>>, url array<struct<loc: string, lastmod: string>>"
 
 
 def feed_items(feeds: DataFrame, key: str, xml: str) -> DataFrame:
-    """key, title, link, published of the items of RSS, Atom and sitemap texts; a text that does not parse has none."""
-    f = F.from_xml(F.col(xml), FEED)
+    """key, title, link, published of the items of RSS (1.0 and 2.0), Atom and sitemap texts; a text that does not parse has none.
+
+    Of an Atom entry's links the first page (rel alternate or none) counts, else the first link.
+    """
+    f = F.from_xml(F.regexp_replace(xml, r"<(/?)dc:date\b", "<$1date"), FEED)
     one = lambda items, title, link, at: F.transform(items, lambda i: F.struct(title(i).alias("title"), link(i).alias("link"), at(i).alias("published")))
     none = F.lit(None).cast("string")
+    page = lambda links: F.coalesce(F.get(F.filter(links, lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate")), 0), F.get(links, 0))["_href"]
     every = F.coalesce(
-        one(F.col("f.channel.item"), lambda i: i["title"], lambda i: i["link"], lambda i: i["pubDate"]),
-        one(F.col("f.entry"), lambda i: i["title"], lambda i: i["link"]["_href"], lambda i: i["updated"]),
+        one(F.col("f.channel.item"), lambda i: i["title"], lambda i: i["link"], lambda i: F.coalesce(i["pubDate"], i["date"])),
+        one(F.col("f.item"), lambda i: i["title"], lambda i: i["link"], lambda i: F.coalesce(i["date"], i["pubDate"])),
+        one(F.col("f.entry"), lambda i: i["title"], lambda i: page(i["link"]), lambda i: F.coalesce(i["updated"], i["published"])),
         one(F.col("f.url"), lambda i: none, lambda i: i["loc"], lambda i: i["lastmod"]),
     )
     return feeds.select(key, f.alias("f")).select(key, F.explode(every).alias("i")).select(key, "i.title", "i.link", "i.published")
@@ -86,29 +90,42 @@ def json_items(rows: DataFrame, key: str, text: str, items: str, fields: dict[st
     return each.select(key, "pos", *(F.get_json_object("item", f"$.{path}").alias(name) for name, path in fields.items()))
 
 
-def table_rows(pages: DataFrame, key: str, html: str) -> DataFrame:
-    """key, pos and cells (texts without tags, white space folded) of every table row; the first is the header."""
-    clean = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"(?s)<[^>]*>", " "), r"&(?:nbsp|#160);", " "), r"\s+", " "))
-    rows = F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
-    cells = lambda r: F.transform(F.regexp_extract_all(r, F.lit(r"(?is)<t[hd]\b[^>]*>(.*?)</t[hd]>"), F.lit(1)), clean)
-    return pages.select(key, F.posexplode(F.transform(rows, cells)).alias("pos", "cells"))
-
-
-def header_position(cells: Column, words: tuple[str, ...]) -> Column:
-    """The place of the first header that holds all words, from 1; null without one."""
-    holds = F.transform(cells, lambda c, i: F.when(F.forall(F.array(*map(F.lit, words)), lambda w: F.contains(F.lower(c), w)), i + 1))
-    return F.array_min(holds)
+def header_position(texts: Column, wanted: str | tuple[str, ...]) -> Column:
+    """The place of a header, from 1; null without one.
 
-
-def table_values(pages: DataFrame, key: str, html: str, name: tuple[str, ...], value: tuple[str, ...], other: tuple[str, ...] | None = None, derive: str = "a") -> DataFrame:
-    """key, name, value of table rows: columns found by words in their headers, cells as numbers.
-
-    ``derive`` is an expression over a (the ``value`` column) and b (the ``other`` column), such as ``a - b`` or ``try_divide(a, b)``.
+    Words: the first header that holds all of them. A text: the header that is it but for case, else the first (not empty) one that
+    holds it or that it holds.
+    """
+    lowered = F.transform(texts, lambda c: F.lower(F.trim(c)))
+    first = lambda test: F.array_min(F.transform(lowered, lambda c, i: F.when(test(c), i + 1)))
+    if not isinstance(wanted, str):
+        return first(lambda c: F.forall(F.array(*map(F.lit, wanted)), lambda w: F.contains(c, w)))
+    want = F.lit(wanted.strip().lower())
+    return F.coalesce(first(lambda c: c == want), first(lambda c: (c != "") & (F.contains(c, want) | F.contains(want, c))))
+
+
+def table_values(
+    pages: DataFrame, key: str, html: str, name: str | tuple[str, ...] | None, value: str | tuple[str, ...], other: str | tuple[str, ...] | None = None, derive: str = "a", nth: int | None = None
+) -> DataFrame:
+    """key, name, value of the rows of one table of each page: columns found by their headers, cells as numbers.
+
+    The table is the ``nth`` of the page (from 0), or the first whose headers have the columns; its header is its first row with
+    header cells, else its first row. A name is the text of its cell's first link, else of the cell; without ``name`` it is the first
+    cell with a letter. ``derive`` is an expression over a (the ``value`` column) and b (the ``other`` column), such as
+    ``a - b`` or ``try_divide(a, b)``. Rows without a name or a value are left out.
     """
-    rows = table_rows(pages, key, html)
-    heads = rows.filter("pos = 0").select(key, header_position(F.col("cells"), name).alias("n"), header_position(F.col("cells"), value).alias("va"), header_position(F.col("cells"), other or value).alias("vb"))
-    found = rows.filter("pos > 0").join(heads.filter("n IS NOT NULL AND va IS NOT NULL"), key)
-    told = found.select(key, F.try_element_at("cells", F.col("n")).alias("name"), T.number(F.try_element_at("cells", F.col("va"))).alias("a"), T.number(F.try_element_at("cells", F.col("vb"))).alias("b"))
+    rows = table_cells(pages, key, html)
+    plain = ~F.exists("cells", lambda c: c["head"])
+    heads = rows.groupBy(key, "nth").agg(F.min(F.struct(plain.alias("plain"), F.col("pos").alias("pos"), "cells")).alias("h"))
+    texts = F.transform("h.cells", lambda c: c["text"])
+    found = heads.select(
+        F.col(key).alias("__key"), F.col("nth").alias("__nth"), F.col("h.pos").alias("__head"), (header_position(texts, name) if name else F.lit(0)).alias("n"), header_position(texts, value).alias("va"), header_position(texts, other or value).alias("vb")
+    ).filter("n IS NOT NULL AND va IS NOT NULL AND vb IS NOT NULL")
+    one = found.filter(F.col("__nth") == nth) if nth is not None else found.groupBy("__key").agg(F.min(F.struct("__nth", "__head", "n", "va", "vb")).alias("t")).select("__key", "t.*")
+    met = rows.join(one, F.col(key).eqNullSafe(F.col("__key")) & (F.col("nth") == F.col("__nth"))).filter("pos > __head")
+    cell = F.try_element_at("cells", F.col("n")) if name else F.get(F.filter("cells", lambda c: c["text"].rlike(r"\p{L}")), 0)
+    number = lambda at: T.number(F.try_element_at("cells", F.col(at))["text"])
+    told = met.select(key, cell.alias("c"), number("va").alias("a"), number("vb").alias("b")).select(key, F.coalesce(F.nullif("c.link", F.lit("")), F.nullif("c.text", F.lit(""))).alias("name"), "a", "b")
     return told.select(key, "name", F.expr(derive).alias("value")).filter("name IS NOT NULL AND value IS NOT NULL")
 
 

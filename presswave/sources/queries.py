@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from presswave.functions.registry import query, read
-from presswave.sources import parsers
+from presswave.sources import parsers, selection
 
 
 @query("SELECT s_nationkey, s_name || ' & <co>' AS title, CASE s_nationkey % 3 WHEN 2 THEN NULL ELSE 1 END AS titled, 'http://x/' || s_suppkey AS link, '2024-01-' || (10 + s_suppkey % 20) AS published FROM supplier WHERE s_nationkey % 3 < 2 UNION ALL SELECT s_nationkey, NULL, NULL, 'http://x/' || s_suppkey, '2024-01-' || (10 + s_suppkey % 20) FROM supplier WHERE s_nationkey % 3 = 2")
@@ -39,14 +39,26 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH s AS (SELECT p_brand, p_size, count(*) AS n, round(sum(p_retailprice), 1) AS total FROM part GROUP BY ALL) SELECT p_brand, 'size ' || p_size AS name, round(total / n, 4) AS value FROM s""")
 def html_table_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A quotient of two columns of HTML tables, found by their headers; cells have footnotes and separators."""
+    """A quotient of two columns of the second table of pages, found by their headers; names are links, cells have footnotes, separators and a table of their own."""
     s = read(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 1).alias("total"))
-    row = F.concat(F.lit("<tr><td><b>size "), "p_size", F.lit("</b></td><td>"), F.format_number("total", 1), F.lit("[2] (est.)</td><td>"), "n", F.lit("&nbsp;</td></tr>"))
-    pages = s.groupBy("p_brand").agg(F.concat(F.lit("<table><tr><th>Size class</th><th>Total price ($)</th><th>Number of parts</th></tr>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html"))
-    out = parsers.table_values(pages, "p_brand", "html", ("size",), ("total", "price"), ("number",), "try_divide(a, b)")
+    row = F.concat(F.lit("<tr><td><b><a href=/s>size "), "p_size", F.lit("</a></b> (class)<td>"), F.format_number("total", 1), F.lit(" 12 [2] (est.)</td><td>"), "n", F.lit("&nbsp;<table><tr><td>77</td></tr></table></td></tr>"))
+    box = "<table class=infobox><tr><td>Brand</td><td>3,000</td></tr></table>"
+    head = "<table class=wikitable><caption>Parts</caption><tr><th>Size class</th><th>Total price ($)</th><th>Number</th></tr>"
+    pages = s.groupBy("p_brand").agg(F.concat(F.lit(box + head), F.array_join(F.collect_list(row), "\n"), F.lit("</table>")).alias("html"))
+    out = parsers.table_values(pages, "p_brand", "html", ("size",), ("total", "price"), "number of parts", "try_divide(a, b)")
     return out.select("p_brand", "name", F.round("value", 4).alias("value"))
 
 
+@query("""SELECT s_nationkey, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INT AS pos, '/s/' || s_suppkey AS link, lower(s_name) AS title FROM supplier""")
+def selected_page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headline links of cards, told from menus and adverts by a selector."""
+    s = read(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", F.lower("s_name").alias("t"))
+    card = F.concat(F.lit('<div class="card big" data-kind=story><h2><a href="/s/'), "s_suppkey", F.lit('">'), "t", F.lit("</a></h2><a href=/more>more</a></div><div class=card><a href=/ad>advert</a></div>"))
+    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", card.alias("c")))), lambda x: x["c"]), "")
+    pages = s.groupBy("s_nationkey").agg(F.concat(F.lit("<nav><ul><li><a href=/>home</a></ul></nav><main id=list>"), listed, F.lit("</main>")).alias("html"))
+    return selection.selected_links(pages, "s_nationkey", "html", "#list > div.card[data-kind=story] h2")
+
+
 @query("""WITH y AS (SELECT n_regionkey, 'N' || c_nationkey AS entity, year(o_orderdate) AS y, sum(o_totalprice)::BIGINT::DOUBLE AS v FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL)
     SELECT n_regionkey, entity, max(v) FILTER (WHERE y = 1996) AS y1996, max(v) FILTER (WHERE y = 1997) AS y1997, max(v) FILTER (WHERE y = 1998) AS y1998 FROM y WHERE y BETWEEN 1996 AND 1998 GROUP BY ALL""")
 def csv_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,14 +5,16 @@ import time
 from datetime import datetime, timedelta
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from presswave import storage
 from presswave.functions import scoring, text
-from presswave.operators import relational, rerank
+from presswave.functions.expressions import row_key
+from presswave.operators import phrases, relational, rerank
 from presswave.operators.components import connected_components, extended_components
 from presswave.plans import enrichment, threads
-from presswave.sources import parsers
+from presswave.sources import parsers, selection
 
 
 def rows(df):
@@ -83,10 +85,30 @@ def test_working_tables_can_be_dropped(spark, tmp_path):
 
 def test_rerank_rests_sources(spark):
     df = spark.createDataFrame([(1, k, k % 3, float(20 - k)) for k in range(9)], "feed int, id long, src long, score double")
-    order = [r["src"] for r in rerank.diversity_rerank(df, "feed", "score", "id", "src", cooldown=2).orderBy("place").collect()]
+    order = [r["src"] for r in rerank.diversity_rerank(df, "feed", "score", "id", "src", cooldown=3).orderBy("place").collect()]
     assert all(len(set(order[i : i + 3])) == 3 for i in range(len(order) - 2))
-    spread = [r["src"] for r in rerank.variance_rerank(df.withColumn("src", F.lit(1).cast("long")).union(df.limit(2)), "feed", "score", "id", "src").collect()]
-    assert len(spread) == 11
+
+
+def test_variance_rerank_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    start = datetime(2024, 1, 1)
+    rows = [(k % 2, k, int(rng.integers(0, 4)), float(rng.integers(1, 30)), start + timedelta(hours=int(rng.integers(0, 50)))) for k in range(80)] + [(7, 900 + k, 1, 2.0, start) for k in range(4)]
+    got = {}
+    for r in rerank.variance_rerank(spark.createDataFrame(rows, "feed int, id long, land long, score double, at timestamp"), "feed", "score", "id", "land", "at").collect():
+        got.setdefault(r["feed"], []).append((r["place"], r["id"]))
+    for feed in (0, 1, 7):
+        left, fines, want = sorted((r for r in rows if r[0] == feed), key=lambda r: (-r[3], r[1])), {}, []
+        newest, span = max(r[4] for r in left), max(r[4] for r in left) - min(r[4] for r in left)
+        while left:
+            blocked = want[-1][2] if len(want) >= 2 and want[-1][2] == want[-2][2] else None
+            able = [r for r in left if r[2] != blocked]
+            value = lambda r: r[3] * (1 + 0.5 * (1 - ((newest - r[4]) / span if span else 0))) * (1 - fines.get(r[2], 0))  # noqa: B023, E731
+            pick = max(able, key=value) if able else left[0]
+            left.remove(pick)
+            want.append(pick)
+            fines = {k: v * 0.75 for k, v in fines.items() if v * 0.75 >= 0.01}
+            fines[pick[2]] = min(1.5, fines.get(pick[2], 0) + 1.5)
+        assert [i for _, i in sorted(got[feed])] == [r[1] for r in want]
 
 
 def test_rerank_equals_brute_force(spark):
@@ -96,11 +118,12 @@ def test_rerank_equals_brute_force(spark):
     for r in rerank.diversity_rerank(spark.createDataFrame(rows, "feed int, id long, src long, score double"), "feed", "score", "id", "src", cooldown=3).collect():
         got.setdefault(r["feed"], []).append((r["place"], r["id"]))
     for feed in range(3):
-        left, last, want = sorted((r for r in rows if r[0] == feed), key=lambda r: (-r[3], r[1])), {}, []
+        left, wait, want = sorted((r for r in rows if r[0] == feed), key=lambda r: (-r[3], r[1])), {}, []
         while left:
-            free = [r for r in left if len(want) - last.get(r[2], -9) > 3]
-            pick = free[0] if free else min(left, key=lambda r: last[r[2]])
-            last[pick[2]] = len(want)
+            wait = {k: v - 1 for k, v in wait.items() if v > 1}  # every slot counts down all sources that rest
+            free = [r for r in left if r[2] not in wait]
+            pick = free[0] if free else min(left, key=lambda r: (wait[r[2]], -r[3]))  # noqa: B023
+            wait[pick[2]] = 3
             want.append(pick[1])
             left.remove(pick)
         assert [i for _, i in sorted(got[feed])] == want
@@ -140,27 +163,60 @@ def test_tokens_of_scripts_without_spaces(spark):
     assert got == [["東京", "東京都", "京都"], ["ab"], [], [], ["héllo", "wörld", "it's"], []]
 
 
-def test_window_sentiment(spark):
-    words = lambda x: F.array(*map(F.lit, x.split()))
-    one = lambda x: enrichment.window_sentiment(words(x), (("good", 2.0), ("bad", -1.0)), (("very", 1.5), ("bit", 0.5)), ("not",))
-    texts = ["good", "very good", "very x good", "very x x good", "not good", "not a very good", "not a b c good", "bad good", "none here"]
-    row = spark.range(1).select(*(one(x).alias(f"c{k}") for k, x in enumerate(texts))).first()
-    assert [[s["w"] for s in c] for c in row] == [[2.0], [3.0], [3.0], [2.0], [-1.5], [-2.25], [2.0], [-1.0, 2.0], []]
-
-
-def test_nations_longest_name_first(spark):
-    names = (("new guinea", "PG"), ("guinea", "GN"), ("niger", "NE"), ("nigeria", "NG"))
-    df = spark.createDataFrame([("New Guinea and Nigeria",), ("Guinea, NIGER; guinea",), ("nigerian",), (None,)], "t string")
-    assert [r["n"] for r in df.select(enrichment.nations_named(F.col("t"), names).alias("n")).collect()] == [["NG", "PG"], ["GN", "NE"], [], None]
-
-
 def test_phrases_are_whole_words(spark):
     docs = spark.createDataFrame([(1, "Peace talks\nno peace, peace talks. peacetime", "en", "s"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
-    phrases = spark.createDataFrame([(1, "peace", 1.0), (1, "peace talks", 2.0)], "tag int, phrase string, base double")
-    got = {r["phrase"]: (r["words"], round(r["hits"], 6)) for r in enrichment.phrase_hits(enrichment.titled(docs), phrases).collect()}
+    table = phrases.Phrases.of(spark.createDataFrame([(1, "peace", False, 1.0), (1, "peace talks", True, 2.0)], "tag int, phrase string, is_phrase boolean, base double"))
+    got = {r["phrase"]: (r["words"], round(r["hits"], 6)) for r in phrases.phrase_hits(enrichment.titled(docs), table).collect()}
     assert got == {"peace": (7, 3.8), "peace talks": (7, 2.8)}
 
 
+def test_selectors():
+    page = selection.read_page("""<body><div id=a class="x y"><p>one<p>two <a href=/1>first</a><ul><li>a<ul><li>b</ul><li>c</ul></div>
+        <section><div class=y data-k="v w"><a href='/2'>sec<b>ond</b></a></div></section><img class=y><div class=y>no link</div>""")
+    found = lambda q: [x.text() for x in selection.select(page, selection.parse_selector(q))]
+    assert found("p") == ["one", "two first a b c"]
+    assert found("div.x.y a") == ["first"] and found("#a > a") == [] and found("section > div > a") == ["second"]
+    assert found("[data-k~=w] b, li li") == ["b", "ond"]
+    assert found("a[href^='/2']") == ["second"] and found("a[href$=1]") == ["first"] and found("*[data-k*='v w']") == ["second"]
+    assert found("body div li") == ["a b", "b", "c"] and found("body > li") == []
+    assert selection.links_of(page, selection.parse_selector(".y")) == [("/1", "first"), ("/2", "second")]
+    for bad in ("", "a >", "a, ", "..x", "a:hover"):
+        with pytest.raises(ValueError):
+            selection.parse_selector(bad)
+
+
+def test_tables_of_pages(spark):
+    page = """<table><tr><td>Info</td><td>5</td></tr></table>
+      <table><tr><th>Rank<th>Country<th>Height (m)<th>Depth</tr>
+      <tr><td>1<td><a href=/f>France</a> [1]<td>4,806 12 m<td>−5</tr>
+      <tr><td>2<td>Peru<td>n.d.<td>1<tr><td>3<td><a></a><td>7<td>2<tr><td>4<td>Oman <table><tr><td>no</td></tr></table><td>3,000 (est.)<td>1,000</table>"""
+    df = spark.createDataFrame([(1, page), (2, None), (3, "<table>"), (None, page)], "id int, html string")
+    got = lambda *a, **k: sorted((str(r["id"]), r["name"], r["value"]) for r in parsers.table_values(df, "id", "html", *a, **k).collect())
+    both = lambda rows: sorted([("1", *r) for r in rows] + [("None", *r) for r in rows])
+    assert got("country", "height") == both([("France", 4806.0), ("Oman", 3000.0)])
+    assert got("The Country", ("height", "m"), "depth", "a - b") == both([("France", 4811.0), ("Oman", 2000.0)])
+    assert got(None, "depth") == both([("France", -5.0), ("Peru", 1.0), ("Oman", 1000.0)])
+    assert got("country", "height", nth=0) == [] and got("country", "width") == []
+    nested = selection.table_cells(df.filter("id = 1"), "id", "html").filter("nth = 2").collect()
+    assert [[c["text"] for c in r["cells"]] for r in nested] == [["no"]]
+
+
+def test_feeds_of_all_kinds(spark):
+    feeds = [
+        (1, '<feed><entry><title>t</title><link rel="enclosure" href="/e.mp3"/><link rel="alternate" href="/page"/><updated>u</updated></entry><entry><title>s</title><link rel="self" href="/s"/><published>p</published></entry></feed>'),
+        (2, '<rdf:RDF xmlns:rdf="r" xmlns:dc="d"><channel><title>c</title></channel><item><title>old</title><link>/o</link><dc:date>2001</dc:date></item></rdf:RDF>'),
+        (3, "<rss><channel><item><title>n</title><link>/n</link><pubDate>d</pubDate></item></channel></rss>"),
+        (4, "not xml"), (5, None),
+    ]
+    got = sorted(tuple(r) for r in parsers.feed_items(spark.createDataFrame(feeds, "id int, xml string"), "id", "xml").collect())
+    assert got == [(1, "s", "/s", "p"), (1, "t", "/page", "u"), (2, "old", "/o", "2001"), (3, "n", "/n", "d")]
+
+
+def test_row_key_of_nested_maps(spark):
+    df = spark.createDataFrame([(1, [{"a": 1}], ({"b": 2},)), (1, [{"a": 2}], ({"b": 2},)), (1, None, None)], "x int, m array<map<string,int>>, s struct<n: map<string,int>>")
+    assert len({r[0] for r in df.select(row_key(df)).collect()}) == 3
+
+
 def test_parsers_take_what_does_not_parse(spark):
     feeds = spark.createDataFrame([(1, "<rss><channel><item><title>A</title><link>l</link></item></channel></rss>"), (2, "no xml <"), (3, None), (4, "<rss><channel/></rss>")], "id int, xml string")
     assert [tuple(r) for r in parsers.feed_items(feeds, "id", "xml").collect()] == [(1, "A", "l", None)]
