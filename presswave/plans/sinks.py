@@ -80,5 +80,5 @@ def parallel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows from parallel arrays: a batch insert of each order's lines, whose columns came as arrays of one length."""
     line = F.struct("l_linenumber", "l_partkey", "l_quantity")
     orders = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("x"))
-    sent = orders.select("l_orderkey", *(F.transform("x", lambda v, c=c: v[c]).alias(c) for c in ("l_linenumber", "l_partkey", "l_quantity")))
+    sent = orders.select("l_orderkey", *(F.col(f"x.{c}").alias(c) for c in ("l_linenumber", "l_partkey", "l_quantity")))
     return sent.select("l_orderkey", F.explode(F.arrays_zip("l_linenumber", "l_partkey", "l_quantity")).alias("r")).select("l_orderkey", "r.*")

@@ -112,12 +112,12 @@ STORY = f"""{STORY_ROWS}, j AS (SELECT a.id AS a, b.id AS b, len(list_intersect(
 STORIES = f"""{STORY}, y AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), c(x, y) USING KEY (x) AS (SELECT DISTINCT x, x AS y FROM y UNION SELECT y.x, min(c.y) FROM c JOIN y ON y.y = c.x JOIN recurring.c AS o ON o.x = y.x WHERE c.y < o.y GROUP BY y.x), m AS (SELECT x AS id, y AS story FROM c)"""
 
 
-@query(f"""WITH {STORY_ROWS}, k AS (SELECT id, DATE '2024-01-01' + (id * 7 % 150)::INT AS seen, list_concat(title, keys) AS keys FROM s), p AS (SELECT a.id, b.id AS identity, b.seen, len(list_intersect(a.keys, b.keys)) AS i, i / (len(a.keys) + len(b.keys) - i) AS sim FROM k a JOIN k b ON a.id <> b.id AND b.seen <= a.seen AND b.seen > a.seen - 60),
+@query(f"""WITH {STORY_ROWS}, k AS (SELECT id, DATE '2024-01-01' + (id * 7 % 150)::INT AS seen, list_distinct(list_concat(title, keys)) AS keys FROM s), p AS (SELECT a.id, b.id AS identity, b.seen, len(list_intersect(a.keys, b.keys)) AS i, i / (len(a.keys) + len(b.keys) - i) AS sim FROM k a JOIN k b ON a.id <> b.id AND b.seen <= a.seen AND b.seen > a.seen - 60),
     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY sim DESC, seen DESC, identity) AS rank FROM p WHERE sim >= 0.28) SELECT id, rank, identity, round(sim, 6) AS likeness, CASE WHEN sim >= 0.55 THEN 'same' ELSE 'review' END AS verdict FROM r WHERE rank <= 5""")
 def story_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five earlier stories within 60 days that each thread may be, by likeness, with a band for review."""
     t = story_threads(spark, sf_dir)
-    rows = t.select("id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") * 7 % 150).cast("int")).alias("seen"), F.concat("title", "keys").alias("keys"))
+    rows = t.select("id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") * 7 % 150).cast("int")).alias("seen"), F.array_union("title", "keys").alias("keys"))
     return stories.identity_candidates(rows, rows.withColumnRenamed("id", "identity"))
 
 
