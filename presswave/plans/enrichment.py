@@ -115,12 +115,41 @@ def translated_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.when((F.col("k") == F.lower("title")) & T.is_ascii(F.col("k")), F.lit(None)).otherwise(F.col("k")).alias("keyword"))
 
 
-@query("""WITH b AS (SELECT p_partkey, lower(p_name) AS k FROM part), v AS (SELECT p_partkey, list_distinct(list_concat([k, replace(k, ' ', '-')], list_filter(string_split(k, ' '), lambda w: length(w) >= 4))) AS v FROM b) SELECT p_partkey, unnest(v) AS variant FROM v""")
+def variants(keyword: Column, folded: Column, stopwords: tuple[str, ...] = ()) -> Column:
+    """A keyword, its folded form, its words, and their folded forms of three characters or more that are no stopwords."""
+    some = lambda c: F.filter(c, lambda w: (F.length(w) >= 3) & ~w.isin(*stopwords) if stopwords else F.length(w) >= 3)
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    own = F.lower(F.trim(keyword))
+    return F.array_distinct(F.concat(F.filter(F.array(own), lambda w: w != ""), F.filter(F.array(folded), lambda w: F.length(w) >= 3), words(own), some(words(folded))))
+
+
+_PLAIN = "trim(regexp_replace(regexp_replace(replace(strip_accents(replace(lower({0}), 'ß', chr(57344))), chr(57344), 'ß'), '[^a-z0-9\\s-]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"""WITH {TITLED}, b AS (SELECT doc_id, lower(trim(title)) AS k, {_PLAIN.format("trim(title)")} AS f FROM t), v AS (SELECT doc_id, list_distinct(list_concat(list_filter([k], lambda w: w <> ''), list_filter([f], lambda w: length(w) >= 3), list_filter(string_split_regex(k, '\\s+'), lambda w: w <> ''), list_filter(string_split_regex(f, '\\s+'), lambda w: length(w) >= 3 AND w NOT IN {STOPWORDS}))) AS v FROM b)
+    SELECT doc_id, unnest(v) AS variant FROM v""")
 def keyword_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A keyword as it is, joined by hyphens, and its longer words."""
-    k = F.lower("p_name")
-    v = F.array_distinct(F.concat(F.array(k, F.replace(k, F.lit(" "), F.lit("-"))), F.filter(F.split(k, " "), lambda w: F.length(w) >= 4)))
-    return read(spark, sf_dir, "part").select("p_partkey", F.explode(v).alias("variant"))
+    """Titles as keywords: themselves, folded, and their words as they are and folded."""
+    rows = titled(read(spark, sf_dir, "documents")).select("doc_id", "title").withColumn("folded", T.fold(F.trim("title")))
+    return rows.select("doc_id", F.explode(variants(F.col("title"), F.col("folded"), STOPWORDS)).alias("variant"))
+
+
+@query(f"""WITH {TITLED} SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(strip_accents(replace(lower(title), 'ß', chr(57344))), chr(57344), 'ß'), '["''`‘’“”]', '', 'g'), '[^\\p{{L}}\\p{{N}}\\s-]', ' ', 'g'), '\\s+', ' ', 'g')) AS keyword FROM t""")
+def folded_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles as keywords of any script: without accents and quotes, letters and digits kept."""
+    return titled(read(spark, sf_dir, "documents")).select("doc_id", T.fold_keyword("title").alias("keyword"))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE lang WHEN 'es' THEN 'th' WHEN 'fr' THEN 'ja' ELSE lang END AS lang, text FROM documents), b AS (SELECT doc_id, string_split(regexp_replace(text, '\\s+', '', 'g'), '') AS c FROM d WHERE lang IN ('th', 'ja') AND text IS NOT NULL),
+    r AS (SELECT doc_id, list_concat(list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1]), list_transform(range(1, len(c) - 1), lambda i: c[i] || c[i + 1] || c[i + 2])) AS k FROM b),
+    w AS (SELECT doc_id, list_filter(list_transform(string_split_regex(lower(coalesce(text, '')), '[\\s\\x{00A0}\\x{200B}]+'), lambda y: regexp_replace(y, '^[\\p{P}\\p{S}]+|[\\p{P}\\p{S}]+$', '', 'g')), lambda y: length(y) >= 3) AS k FROM d WHERE lang IS NULL OR lang NOT IN ('th', 'ja'))
+    SELECT doc_id, len(k) AS tokens, len(list_distinct(k)) AS different, list_min(k) AS least FROM (FROM r UNION ALL FROM w)""")
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text: words, and runs of characters where a language (two stand for such) writes no spaces."""
+    lang = F.when(F.col("lang") == "es", "th").when(F.col("lang") == "fr", "ja").otherwise(F.col("lang"))
+    k = tokenised(F.col("text"), F.coalesce(lang, F.lit("")))
+    rows = read(spark, sf_dir, "documents").select("doc_id", k.alias("k"))
+    return rows.select("doc_id", F.size("k").cast("long").alias("tokens"), F.size(F.array_distinct("k")).cast("long").alias("different"), F.array_min("k").alias("least"))
 
 
 FORMATS = ("yyyy-MM-dd", "dd/MM/yyyy", "yyyyMMdd")

@@ -256,3 +256,49 @@ def prefix_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     lengths = q.select(F.length("q").alias("len")).distinct()  # few: bounded by the longest query
     prefixes = n.join(F.broadcast(lengths), F.length("name") >= F.col("len")).select("name", F.expr("substring(name, 1, len)").alias("q"))
     return R.top_k(q.join(prefixes, "q"), ["q"], [F.length("name"), F.col("name")], 1)
+
+
+# Values that a ranking needs before it is mended, how far ranks may go beyond their number, the bounds of a percentage with slack, and the share beyond them.
+RANKED, RANK_SLACK, PERCENT, OUTSIDE = 5, 2, (-1, 101), 0.2
+
+
+def checked_values(values: DataFrame, extracted: DataFrame) -> DataFrame:
+    """answer, country, value, tier, suspect of the values of answers (answer, mode, tier, country, value).
+
+    Tier ``extracted`` keeps only the countries of ``extracted`` (answer, country), and becomes ``estimate`` where an answer has none
+    there. Mode ``rank``: values that are not whole, or too large for ranks, are replaced by their rank, the largest first.
+    Mode ``percent``: an answer is suspect if over a fifth of its values are no percentages. Null values and
+    countries go; of a country's values in an answer the largest stays.
+    """
+    one = values.filter("country IS NOT NULL AND value IS NOT NULL").groupBy("answer", "mode", "tier", "country").agg(F.max(F.col("value").cast("double")).alias("value"))
+    known = extracted.select("answer", "country").distinct().withColumn("verified", F.lit(True))
+    some = known.groupBy("answer").agg(F.lit(True).alias("any"))
+    told = one.join(known, ["answer", "country"], "left").join(some, "answer", "left")
+    strict = (F.col("tier") == "extracted") & F.col("any").isNotNull()
+    kept = told.filter(~F.coalesce(strict, F.lit(False)) | F.col("verified")).withColumn("tier", F.when((F.col("tier") == "extracted") & F.col("any").isNull(), "estimate").otherwise(F.col("tier")))
+    whole = kept.groupBy("answer").agg(F.count("*").alias("n"), F.max("value").alias("most"), F.bool_and(F.col("value") == F.floor("value")).alias("whole"), F.count_if((F.col("value") < PERCENT[0]) | (F.col("value") > PERCENT[1])).alias("out"))
+    rank = F.row_number().over(Window.partitionBy("answer").orderBy(F.desc("value"), "country"))
+    mend = (F.col("mode") == "rank") & (F.col("n") >= RANKED) & (~F.col("whole") | (F.col("most") > RANK_SLACK * F.col("n")))
+    graded = kept.withColumn("rank", rank).join(whole, "answer")
+    suspect = (F.col("mode") == "percent") & (F.col("out") > OUTSIDE * F.col("n"))
+    return graded.select("answer", "country", F.when(mend, F.col("rank").cast("double")).otherwise(F.col("value")).alias("value"), "tier", suspect.alias("suspect"))
+
+
+@query("""WITH o AS (SELECT o_orderpriority AS answer, c_nationkey AS country, count(*) AS n, sum(o_totalprice) AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS f FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL),
+    v AS (SELECT answer, country, CASE left(answer, 1) WHEN '1' THEN 'rank' WHEN '2' THEN 'rank' WHEN '5' THEN 'binary' ELSE 'percent' END AS mode, CASE WHEN left(answer, 1) < '4' THEN 'extracted' ELSE 'estimate' END AS tier,
+      CASE left(answer, 1) WHEN '1' THEN round(total, 1) WHEN '2' THEN country % 7 + 1 WHEN '3' THEN round(100.0 * f / n, 3) WHEN '4' THEN n * 10 ELSE (f > 0)::INT END::DOUBLE AS value FROM o),
+    x AS (SELECT DISTINCT answer, s_nationkey AS country FROM (SELECT DISTINCT answer FROM o WHERE left(answer, 1) IN ('1', '3')), supplier WHERE s_suppkey % 3 = 0), y AS (SELECT DISTINCT answer FROM x),
+    k AS (SELECT answer, country, mode, value, CASE WHEN tier = 'extracted' AND answer NOT IN (FROM y) THEN 'estimate' ELSE tier END AS tier FROM v WHERE NOT (tier = 'extracted' AND answer IN (FROM y)) OR EXISTS (SELECT 1 FROM x WHERE x.answer = v.answer AND x.country = v.country)),
+    w AS (SELECT *, count(*) OVER a AS n, max(value) OVER a AS most, bool_and(value = floor(value)) OVER a AS whole, count(*) FILTER (WHERE value < -1 OR value > 101) OVER a AS outside, row_number() OVER (PARTITION BY answer ORDER BY value DESC, country) AS rank FROM k WINDOW a AS (PARTITION BY answer))
+    SELECT answer, country, CASE WHEN mode = 'rank' AND n >= 5 AND (NOT whole OR most > 2 * n) THEN rank ELSE value END::DOUBLE AS value, tier, mode = 'percent' AND outside > 0.2 * n AS suspect FROM w""")
+def graded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers in all modes: order priorities stand for answers, nations for countries, every third supplier for what an extractor found."""
+    o, c = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    by = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("o_orderpriority").alias("answer"), F.col("c_nationkey").alias("country")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("f"))
+    k = F.substring("answer", 1, 1)
+    mode = F.when(k.isin("1", "2"), "rank").when(k == "5", "binary").otherwise("percent")
+    value = F.when(k == "1", F.round("total", 1)).when(k == "2", F.col("country") % 7 + 1).when(k == "3", F.round(100.0 * F.col("f") / F.col("n"), 3)).when(k == "4", F.col("n") * 10).otherwise((F.col("f") > 0).cast("int"))
+    values = by.select("answer", "country", mode.alias("mode"), F.when(k < "4", "extracted").otherwise("estimate").alias("tier"), value.cast("double").alias("value"))
+    s = read(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0").select(F.col("s_nationkey").alias("country"), F.explode(F.array(F.lit("1"), F.lit("3"))).alias("k")).distinct()
+    found = by.select("answer", k.alias("k")).distinct().join(s, "k").select("answer", "country")
+    return checked_values(values, found)

@@ -94,3 +94,20 @@ def test_similar_sets_lose_no_pair(spark):
     got = {(r["a"], r["b"]) for r in names.similar_sets(df, df, 0.55).collect()}
     want = {(str(a), str(b)) for a, x in sets.items() for b, y in sets.items() if len({*x} & {*y}) / len({*x} | {*y}) >= 0.55}
     assert got == want
+
+
+def test_earlier_stories_with_a_review_band(spark):
+    from datetime import date
+
+    rows = [(1, date(2024, 3, 1), list("abcd")), (2, date(2024, 3, 5), list("abce")), (3, date(2024, 5, 2), list("abcd")), (4, date(2024, 3, 5), list("axyz")), (5, date(2024, 3, 5), None), (6, date(2024, 3, 5), []), (7, date(2024, 3, 5), list("abcd"))]
+    rows += [(20 + k, date(2024, 3, 4), list("abcd")) for k in range(8)]
+    df = spark.createDataFrame(rows, "id int, seen date, keys array<string>")
+    got = {}
+    for r in stories.identity_candidates(df, df.withColumnRenamed("id", "identity")).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append((r["identity"], r["likeness"], r["verdict"]))
+    assert 1 not in got and 5 not in got and 6 not in got and 4 not in got
+    assert got[2] == [(7, 0.6, "same")] + [(k, 0.6, "same") for k in range(20, 24)]
+    assert got[7] == [(k, 1.0, "same") for k in range(20, 25)]
+    assert got[21] == [(20, 1.0, "same")] + [(k, 1.0, "same") for k in range(22, 26)]
+    # 60 days back from 2 May leave 4 and 5 March, not 1 March
+    assert got[3] == [(7, 1.0, "same")] + [(k, 1.0, "same") for k in range(20, 24)]
