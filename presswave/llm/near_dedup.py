@@ -17,7 +17,8 @@ same words are one class from the start, so copies are never paired. Pairs come
    shingles are ordered from the rarest, those that no other component has come first and are not posted, and
    two classes meet only at a shingle so near the front of both that the threshold is still in reach there,
    and only if the parities of their elements over ``BITS`` buckets do not differ in more places than the
-   threshold lets the sets differ.
+   threshold lets the sets differ. Before their bags meet, parities over ``WIDE`` buckets for each element tell
+   nearly all pairs below the threshold.
 
 A pair of one component is never formed in the last step, so a large group of near copies costs about its
 size; two classes of different components meet only where they share a shingle that few others have or are
@@ -53,6 +54,8 @@ BANDS, ROWS, ROUNDS = 32, 5, 2
 BLOCK, PROCESSES = 1 << 19, 1 << 17
 #: Buckets of elements whose parities are compared (a multiple of 64).
 BITS = 512
+#: Buckets for each element of the parities that candidates are compared by before their bags meet.
+WIDE = 8
 U = np.uint64
 GOLD, M1, M2, PRIME = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x100000001B3)
 
@@ -203,12 +206,17 @@ def elements(bag: tuple) -> np.ndarray:
     return np.where(nth == 0, every, mix(every ^ mix(nth.astype(U) + GOLD))).view(np.int64)
 
 
-def parities(elements: np.ndarray) -> np.ndarray:
-    """Whether each of ``BITS`` buckets holds an odd number of elements, packed: two sets differ in at least as many elements as bits."""
-    odd = np.bincount((mix(elements.view(U)) % U(BITS)).astype(np.int64), minlength=BITS) & 1
+def parities(elements: np.ndarray, width: int = BITS) -> np.ndarray:
+    """Whether each of ``width`` buckets holds an odd number of elements, packed: two sets differ in at least as many elements as bits."""
+    odd = np.bincount((mix(elements.view(U)) % U(width)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(bool)).view(np.int64)
 
 
+def wide_parities(elements: np.ndarray) -> np.ndarray:
+    """Parities over at least ``WIDE`` buckets for each element, a power of two of them."""
+    return parities(elements, max(BITS, 1 << (WIDE * len(elements) - 1).bit_length()))
+
+
 def lists(rows: list[np.ndarray | None], kind: pa.DataType) -> pa.Array:
     """An Arrow array of arrays (None: null)."""
     sizes = [0 if x is None else len(x) for x in rows]
@@ -231,14 +239,30 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def bagged(texts: DataFrame) -> DataFrame:
-    """node, bag (the multiset's elements) and bits (their parities) of each (node, text)."""
+    """node, bag (the multiset's elements), bits and wide (their parities), size of each (node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text", BLOCK):
             bags = [elements(x) for x in shingle_bags(part.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), lists(bags, pa.int64()), lists(list(map(parities, bags)), pa.int64())], ["node", "bag", "bits"])
+            yield pa.RecordBatch.from_arrays([part.column(0), lists(bags, pa.int64()), lists(list(map(parities, bags)), pa.int64()), lists(list(map(wide_parities, bags)), pa.int64()), pa.array(list(map(len, bags)), pa.int64())], ["node", "bag", "bits", "wide", "size"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, bag array<long>, bits array<long>, wide array<long>, size long")
 
-    return texts.select("node", "text").mapInArrow(run, "node long, bag array<long>, bits array<long>")
+
+def not_apart(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (u, v) whose wide parities leave room for the threshold; an eighth of the bags' bytes tells.
+
+    The wider of two is folded: bucket k and k + w / 2 are one bucket of half the width w. Sizes within the threshold are one
+    width or two next to each other; where they are further apart the pair is not similar.
+    """
+    side = lambda s: bags.select(F.col("node").alias(s), F.col("size").alias(f"n{s}"), F.col("wide").alias(f"w{s}"))
+    met = pairs.select("u", "v").join(side("u"), "u").join(side("v"), "v")
+    xor = lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y))
+    half = lambda a: xor(F.slice(a, F.lit(1), (F.size(a) / 2).cast("int")), F.slice(a, (F.size(a) / 2).cast("int") + 1, (F.size(a) / 2).cast("int")))
+    wu, wv = F.col("wu"), F.col("wv")
+    met = met.filter(alike("nu", "nv", threshold)).select("u", "v", (F.col("nu") + F.col("nv")).alias("sum"), F.when(F.size(wu) > F.size(wv), half(wu)).otherwise(wu).alias("a"), F.when(F.size(wv) > F.size(wu), half(wv)).otherwise(wv).alias("b"))
+    apart = F.aggregate(xor(F.col("a"), F.col("b")), F.lit(0), lambda t, x: t + F.bit_count(x))
+    return met.filter(F.col("sum") - apart >= 2 * threshold / (1 + threshold) * F.col("sum") - 1e-6).select("u", "v")
 
 
 def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
@@ -333,7 +357,8 @@ def linked_classes(docs: DataFrame, threshold: float = THRESHOLD, rounds: int =
         left = materialize(split_buckets(members, labels), "left")
         labels = extended_components(labels, verified(random_pairs(left, nth, threshold), bags, threshold))
     posts = materialize(prefix_posts(split_buckets(members, labels), bags, threshold), "posts")
-    labels = extended_components(labels, verified(prefix_pairs(posts, threshold), bags, threshold))
+    close = not_apart(materialize(prefix_pairs(posts, threshold), "pairs"), bags, threshold)
+    labels = extended_components(labels, verified(close, bags, threshold))
 
     placed = materialize(classes.select("words", "node", "one", "least", "times").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     sizes = placed.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("times").alias("class_size"), F.min("one").alias("keep"))

@@ -125,6 +125,41 @@ def test_near_copies_below_the_threshold_stay_apart(spark):
     assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == {r["doc_id"]: least[g] for r, g in zip(rows, group)}
 
 
+def test_long_texts_just_below_the_threshold_are_told_by_parities(spark, monkeypatch):
+    """Texts with one base that differ in many places: bags meet for few of their pairs, and no link is lost."""
+    rng = np.random.default_rng(8)
+    base = [f"w{k}" for k in range(1500)]
+    spots = rng.choice(1500, 40, replace=False)
+    seen = []
+    told = near_dedup.verified
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, bags, threshold: (seen.append(pairs.distinct().count()), told(pairs, bags, threshold))[1])
+    texts = []
+    for k in range(60):
+        c = list(base)
+        for at in spots:
+            c[at] = f"alt{at}_{rng.integers(0, 12)}"
+        texts.append(" ".join(c))
+    texts += [texts[0] + " and more", texts[1].replace("w7 ", "v7 ")]
+    df = documents(spark, texts)
+    rows, group = near(spark, df)
+    least = {g: min(r["doc_id"] for r, h in zip(rows, group) if h == g) for g in group}
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == {r["doc_id"]: least[g] for r, g in zip(rows, group)}
+    assert seen[-1] < 100 < 60 * 59 / 2
+
+
+def test_folded_parities_bound_the_difference(spark):
+    rng = np.random.default_rng(9)
+    one = rng.integers(0, 1 << 60, 500)
+    sets = [one[:120], one[5:125], one[:130], one[:131], one[300:], one[:0], one[:64], one[1:65]]
+    rows = [(k, near_dedup.wide_parities(x).tolist(), len(x)) for k, x in enumerate(sets)]
+    bags = spark.createDataFrame(rows, "node long, wide array<long>, size long")
+    pairs = spark.createDataFrame([(a, b) for a in range(8) for b in range(a + 1, 8)], "u long, v long")
+    got = {(r["u"], r["v"]) for r in near_dedup.not_apart(pairs, bags, 0.8).collect()}
+    jaccard = lambda x, y: len({*x} & {*y}) / max(1, len({*x} | {*y}))
+    want = {(a, b) for a in range(8) for b in range(a + 1, 8) if jaccard(sets[a].tolist(), sets[b].tolist()) >= 0.8}
+    assert want <= got and (0, 4) not in got and (4, 5) not in got and len(rows[2][1]) < len(rows[3][1]) * 2
+
+
 def test_long_texts_are_hashed_in_blocks(monkeypatch):
     text = " ".join(f"Wörd{k % 97}" for k in range(3000))
     whole = near_dedup.shingle_bags([text, "", "a b"])
