@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from presswave.functions.expressions import let
 from presswave.storage import materialize
 
 SAMPLE, MOST_PIVOTS, PLACES = 4096, 2048, 32
@@ -34,14 +35,25 @@ BLOCK = 4096
 LEAST, SHARE = 64, 0.2
 FOUND = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 PARTS = 1 << 40
+#: Largest components of doubles whose squares and their sums stay in range.
+SAFE = (2.0**-400, 2.0**400)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and v (floats as they are, else doubles) of the rows that take part."""
+    """vec_id and v (floats as they are, else doubles) of the rows that take part.
+
+    Doubles whose squares could leave the range of doubles are divided by a power of two, which leaves every cosine as it is.
+    """
     kind = vectors.schema["embedding"].dataType
-    v = F.col("embedding") if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else F.col("embedding").cast("array<double>")
+    floats = isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType)
+    v = F.col("embedding") if floats else F.col("embedding").cast("array<double>")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & good)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).filter(F.col("vec_id").isNotNull() & good)
+    if floats:
+        return rows
+    most = F.array_max(F.transform("v", F.abs))
+    scaled = let(F.pow(F.lit(2.0), F.floor(F.log2(most))), lambda unit: F.transform("v", lambda x: x / unit))
+    return rows.withColumn("v", F.when(most.between(*SAFE), F.col("v")).otherwise(scaled))
 
 
 def pick_pivots(rows: DataFrame, count: int, sample: int = SAMPLE) -> np.ndarray:

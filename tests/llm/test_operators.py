@@ -458,6 +458,22 @@ def test_permutation_index(spark):
     assert permutation_index.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_permutation_index_of_very_large_and_small_numbers(spark):
+    """Vectors near the ends of the range of doubles have the neighbours and cosines of the same vectors at length one."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 8))
+    sizes = 10.0 ** np.array([200, -200, 0, 307, -300, 160])[np.arange(90) % 6]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate((x * sizes[:, None]).tolist())], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    got = permutation_index.search(df, F.col("vec_id") % 10 == 0).collect()
+    assert len(got) == 45
+    for q in range(0, 90, 10):
+        s = unit @ unit[q]
+        s[q] = -9
+        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        assert [r["vec_id"] for r in mine] == np.argsort(-s)[:5].tolist() and all(abs(r["score"] - s[r["vec_id"]]) < 1e-12 for r in mine)
+
+
 def test_permutation_index_with_a_hot_cluster(spark):
     """A third of the vectors in one narrow cluster and a common vector, over several blocks."""
     rng = np.random.default_rng(7)
