@@ -74,6 +74,17 @@ def bigrams(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) >= 2, pairs(w)).otherwise(F.array().cast("array<string>")))
 
 
+def most_frequent(words: Column, most: int) -> Column:
+    """Structs of down (the negative count) and word: the ``most`` commonest elements of an array without nulls, ties to the smaller.
+
+    The array is sorted and its runs are measured, so counting needs no shuffle.
+    """
+    starts = lambda w: F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+    runs = lambda w, at: F.transform(at, lambda i, k: F.struct((i - F.coalesce(F.get(at, k + 1), F.size(w))).cast("long").alias("down"), F.get(w, i).alias("word")))
+    none = F.array().cast("array<struct<down:bigint,word:string>>")
+    return let(F.sort_array(words), lambda w: F.when(F.size(w) > 0, let(starts(w), lambda at: F.slice(F.sort_array(runs(w, at)), 1, most))).otherwise(none))
+
+
 def trigrams(text: Column) -> Column:
     """Distinct trigrams of each word padded by two spaces before and one after."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")

@@ -38,29 +38,35 @@ def tokenised(text: Column, lang: Column, least: int = 3) -> Column:
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
     at = lambda b, i: F.when(i < F.length(b) - 1, F.array(F.substring(b, i, F.lit(2)), F.substring(b, i, F.lit(3)))).otherwise(F.array(F.substring(b, i, F.lit(2))))
     runs = let(bare, lambda b: F.when(F.length(b) >= 2, F.flatten(F.transform(F.sequence(F.lit(1), F.length(b) - 1), lambda i: at(b, i)))).otherwise(F.array().cast("array<string>")))
-    words = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\s\x{00A0}\x{200B}]+"), lambda w: F.regexp_replace(w, r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", ""))
+    # one pattern for white space and the punctuation beside it: what is between two of them is a bare word
+    bare_ends = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")
+    words = F.split(bare_ends, r"[\p{P}\p{S}]*[\s\x{00A0}\x{200B}]+[\p{P}\p{S}]*")
     spaceless = lang.isin("zh", "ja", "ko", "th", "km", "lo")
     return F.when(spaceless, runs).otherwise(F.filter(words, lambda w: F.length(w) >= least))
 
 
 def extracted_keywords(docs: DataFrame, stopwords: tuple[str, ...]) -> DataFrame:
-    """doc_id, keyword, frequency, is_bigram: up to 25 a document, title words counting three times; ties to the smaller keyword."""
+    """doc_id, keyword, frequency, is_bigram: up to 25 of each row, title words counting three times; ties to the smaller keyword.
+
+    Words are counted within their row, without a shuffle. Rows that repeat an id bring keywords each.
+    """
     stop = F.array(*map(F.lit, stopwords))
-    part = lambda c, boost: F.struct(F.lit(boost).alias("w"), tokenised(F.col(c), F.coalesce("lang", F.lit(""))).alias("k"))
-    parts = docs.select("doc_id", F.explode(F.array(part("title", TITLE_BOOST), part("summary", 1))).alias("p")).select("doc_id", "p.w", "p.k")
-    pairs = F.filter(T.bigrams(F.col("k")), lambda g: ~F.array_contains(stop, F.substring_index(g, " ", 1)) & ~F.array_contains(stop, F.substring_index(g, " ", -1)))
-    one = F.transform(F.filter("k", lambda w: ~F.array_contains(stop, w)), lambda w: F.struct(F.lit(False).alias("b"), w.alias("x")))
-    grams = parts.select("doc_id", "w", F.explode(F.concat(one, F.transform(pairs, lambda g: F.struct(F.lit(True).alias("b"), g.alias("x"))))).alias("g"))
-    counts = grams.groupBy("doc_id", F.col("g.x").alias("keyword"), F.col("g.b").alias("is_bigram")).agg(F.sum("w").alias("frequency"))
-    best = R.top_k(counts, ["doc_id", "is_bigram"], [F.desc("frequency"), F.col("keyword")], UNIGRAMS, "nth").filter(~F.col("is_bigram") | (F.col("nth") <= BIGRAMS))
-    return best.select("doc_id", "keyword", "frequency", "is_bigram")
+    words = docs.select("doc_id", *(tokenised(F.col(c), F.coalesce("lang", F.lit(""))).alias(c) for c in ("title", "summary")))
+    ones = lambda k: F.filter(k, lambda w: ~F.array_contains(stop, w))
+    pairs = lambda k: F.filter(T.bigrams(k), lambda g: ~F.array_contains(stop, F.substring_index(g, " ", 1)) & ~F.array_contains(stop, F.substring_index(g, " ", -1)))
+    both = lambda f: F.concat(F.flatten(F.array_repeat(f(F.col("title")), TITLE_BOOST)), f(F.col("summary")))
+    best = lambda f, most, bigram: F.transform(T.most_frequent(both(f), most), lambda e: F.struct(e["word"].alias("keyword"), (-e["down"]).alias("frequency"), F.lit(bigram).alias("is_bigram")))
+    return words.select("doc_id", F.inline(F.concat(best(ones, UNIGRAMS, False), best(pairs, BIGRAMS, True))))
 
 
-@query(f"""WITH {TITLED}, k AS (SELECT doc_id, w, list_filter(list_transform(string_split_regex(lower(coalesce(x, '')), '[\\s\\x{{00A0}}\\x{{200B}}]+'), lambda y: regexp_replace(y, '^[\\p{{P}}\\p{{S}}]+|[\\p{{P}}\\p{{S}}]+$', '', 'g')), lambda y: length(y) >= 3) AS k
+EXTRACTED = f"""WITH {TITLED}, k AS (SELECT doc_id, w, list_filter(list_transform(string_split_regex(lower(coalesce(x, '')), '[\\s\\x{{00A0}}\\x{{200B}}]+'), lambda y: regexp_replace(y, '^[\\p{{P}}\\p{{S}}]+|[\\p{{P}}\\p{{S}}]+$', '', 'g')), lambda y: length(y) >= 3) AS k
       FROM (SELECT doc_id, title AS x, 3 AS w FROM t UNION ALL SELECT doc_id, summary, 1 FROM t)),
     g AS (SELECT doc_id, w, unnest(k) AS keyword, false AS is_bigram FROM k UNION ALL SELECT doc_id, w, unnest(list_transform(list_filter(range(1, len(k)), lambda i: k[i] NOT IN {STOPWORDS} AND k[i + 1] NOT IN {STOPWORDS}), lambda i: k[i] || ' ' || k[i + 1])), true FROM k),
     c AS (SELECT doc_id, keyword, is_bigram, sum(w) AS frequency FROM g WHERE keyword NOT IN {STOPWORDS} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, is_bigram ORDER BY frequency DESC, keyword) AS nth FROM c)
-    SELECT doc_id, keyword, frequency::BIGINT AS frequency, is_bigram FROM r WHERE nth <= CASE WHEN is_bigram THEN 10 ELSE 15 END""")
+    SELECT doc_id, keyword, frequency::BIGINT AS frequency, is_bigram FROM r WHERE nth <= CASE WHEN is_bigram THEN 10 ELSE 15 END"""
+
+
+@query(EXTRACTED)
 def keyword_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifteen words and ten word pairs of every article."""
     return extracted_keywords(titled(read(spark, sf_dir, "documents")), STOPWORDS)
