@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presswave.functions import text as T
+from presswave.functions.expressions import let
 from presswave.operators.components import connected_components
 from presswave.operators import relational as R
 from presswave.operators.lookup import sized
@@ -86,3 +88,50 @@ def merge_threads(threads: DataFrame, links: DataFrame, ejections: DataFrame, pa
         F.when(wins, F.coalesce("all_nations", "nations")).otherwise(F.col("nations")).alias("nations"),
     )
     return new_threads, new_links
+
+
+# Weights of what an article shares with a line and the most of each that count, the least score, and the most candidates and links of a line in a run.
+ENTITY, NATION, KEY, TITLE_WORD, PHRASE = 2.5, 2.5, 1.0, 0.4, 2.0
+MOST_ENTITIES, MOST_NATIONS, MOST_KEYS = 6, 2, 8
+UMBRELLA, CANDIDATES, LINKS = 2.5, 200, 50
+
+
+def word_runs(text: Column, longest: int) -> Column:
+    """The different runs of one to ``longest`` words of a text, in lower case with single spaces."""
+    runs = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))).otherwise(F.array().cast("array<string>"))
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return let(words, lambda w: F.array_distinct(F.flatten(F.array(*(runs(w, n) for n in range(1, longest + 1))))))
+
+
+def umbrella_links(lines: DataFrame, articles: DataFrame, attached: DataFrame, since: Column, candidates: int = CANDIDATES, most: int = LINKS) -> DataFrame:
+    """line, article, score, by_phrase: the ``most`` best new articles of each line (the feature), ties to the smaller article.
+
+    ``lines``: line, nations, keywords, entities, title (words), phrases (runs of lower-case words): arrays without repeats;
+    ``articles``: article, published, nation, keywords, entities, title; ``attached``: line, article pairs that exist.
+
+    Candidates share the nation, a keyword or a phrase of the title; the ``candidates`` newest of each line, published
+    ``since`` then and not attached, are scored. One that shares no entity and no phrase is left out, whatever its score. Null
+    arrays share nothing. Each branch is an equi-join that is cut to its newest before the branches meet, so a nation of
+    a third of all articles costs its rows once.
+    """
+    longest = lines.select(F.explode("phrases").alias("p")).agg(F.max(F.size(F.split("p", " ")))).first()[0] or 1
+    fresh = articles.filter(F.col("published") >= since).withColumn("runs", word_runs(F.col("title"), longest))
+    newest = [F.desc("published"), F.col("article")]
+    gone = attached.select("line", "article").distinct()
+
+    def branch(of_line: str, of_article: Column) -> DataFrame:
+        keys = sized(lines.select("line", F.explode(of_line).alias("k")).distinct(), "keys")
+        met = fresh.select("article", "published", of_article.alias("k")).join(keys, "k").select("line", "article", "published").join(gone, ["line", "article"], "left_anti").distinct()
+        return R.top_k(met, ["line"], newest, candidates)
+
+    every = branch("nations", F.col("nation")).union(branch("keywords", F.explode("keywords"))).union(branch("phrases", F.explode("runs"))).distinct()
+    chosen = R.top_k(every, ["line"], newest, candidates).select("line", "article")
+    side = lines.select("line", "nations", *(F.col(c).alias(f"l_{c}") for c in ("keywords", "entities", "title")), "phrases")
+    both = chosen.join(side, "line").join(fresh, "article")
+    shared = lambda a, b: F.greatest(F.size(F.array_intersect(a, b)), F.lit(0))
+    entities, phrase = shared("entities", "l_entities"), F.coalesce(F.arrays_overlap("phrases", "runs"), F.lit(False))
+    nations = F.coalesce(F.array_contains("nations", F.col("nation")), F.lit(False)).cast("int")
+    words = T.tokens(F.col("title"), 3)
+    score = ENTITY * F.least(entities, F.lit(MOST_ENTITIES)) + NATION * F.least(nations, F.lit(MOST_NATIONS)) + KEY * F.least(shared("keywords", "l_keywords"), F.lit(MOST_KEYS)) + TITLE_WORD * shared(words, F.col("l_title")) + F.when(phrase, PHRASE).otherwise(0.0)
+    able = both.filter((entities > 0) | phrase).select("line", "article", F.round(score, 6).alias("score"), phrase.alias("by_phrase")).filter(F.col("score") >= UMBRELLA)
+    return R.top_k(able, ["line"], [F.desc("score"), F.col("article")], most)

@@ -234,21 +234,30 @@ def line_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.top_k(able, ["thread"], [F.desc("score"), F.col("line")], 1).select("thread", "line", F.round("score", 6).alias("score"), "reawakens")
 
 
-@query("""WITH l AS (SELECT n_nationkey AS line, n_regionkey AS region, chr(97 + n_nationkey) AS stem FROM nation), a AS (SELECT c_custkey AS article, c_nationkey AS nation, lower(c_mktsegment) AS key, lower(c_name) AS title FROM customer),
-    u AS (SELECT line, article FROM l JOIN a ON a.nation = l.line UNION SELECT line, article FROM l JOIN a ON left(a.key, 1) = l.stem UNION SELECT line, article FROM l JOIN a ON regexp_matches(a.title, '0' || l.line || '$')),
-    s AS (SELECT u.line, u.article, 2.5 * (nation = u.line)::INT + (left(key, 1) = stem)::INT + 2.0 * regexp_matches(title, '0' || u.line || '$')::INT AS score FROM u JOIN l USING (line) JOIN a USING (article)),
-    r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY score DESC, article) AS rn FROM s WHERE score >= 2.0) SELECT line, article, score FROM r WHERE rn <= 50""")
+@query("""WITH l AS (SELECT n_nationkey AS line, ['k' || n_nationkey, 'k' || n_nationkey + 30, 'm' || n_nationkey] AS keywords, ['e' || n_nationkey, 'f' || n_nationkey] AS entities, ['story', CASE n_regionkey WHEN 0 THEN 'building' WHEN 1 THEN 'machinery' ELSE 'weather' END] AS title, CASE WHEN n_nationkey % 5 = 0 THEN [] ELSE ['story ' || n_nationkey * 4, 'number ' || n_nationkey || ' story'] END AS phrases FROM nation),
+    a AS (SELECT o_orderkey AS article, o_orderdate AS published, c_nationkey AS nation, ['k' || o_orderkey % 90, 'm' || o_custkey % 35, lower(c_mktsegment)] AS keywords, ['e' || o_custkey % 40, 'f' || o_orderkey % 60] AS entities, lower(c_mktsegment) || ' number ' || o_orderkey % 40 || ' story ' || o_orderkey % 100 AS title
+      FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderdate >= TIMESTAMP '2001-08-02' - INTERVAL 365 DAYS),
+    c AS (SELECT l.*, a.article, published, nation, a.keywords AS ak, a.entities AS ae, a.title AS headline, list_bool_or(list_transform(list_concat([''], phrases), lambda p: p <> '' AND contains(' ' || a.title || ' ', ' ' || p || ' '))) AS by_phrase FROM l, a WHERE NOT (a.article % 25 = line AND a.article % 3 = 0)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY published DESC, article) AS rn FROM c WHERE nation = line OR list_has_any(ak, keywords) OR by_phrase),
+    s AS (SELECT line, article, by_phrase, len(list_intersect(ae, entities)) AS e, round(2.5 * least(6, len(list_intersect(ae, entities))) + 2.5 * (nation = line)::INT + least(8, len(list_intersect(ak, keywords))) + 0.4 * len(list_intersect(list_distinct(list_filter(string_split(headline, ' '), lambda w: length(w) >= 3)), title)) + 2.0 * by_phrase::INT, 6)::DOUBLE AS score FROM n WHERE rn <= 200),
+    r AS (SELECT *, row_number() OVER (PARTITION BY line ORDER BY score DESC, article) AS nth FROM s WHERE (e > 0 OR by_phrase) AND score >= 2.5) SELECT line, article, score, by_phrase FROM r WHERE nth <= 50""")
 def umbrella_attachment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Articles of a line from three branches (nation, keyword, phrase) with one score; the fifty best (the feature)."""
-    lines = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("line"), F.char(F.col("n_nationkey").cast("long") + 97).alias("stem"))
-    a = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("article"), F.col("c_nationkey").alias("nation"), F.lower("c_mktsegment").alias("key"), F.lower("c_name").alias("title"))
-    a = a.withColumn("start", F.substring("key", 1, 1))
-    branch = lambda on, score: lines.join(a, on).select("line", "article", F.lit(score).alias("score"))
-    # the phrase of a line is the number its titles end with, so this branch is an equi-join too
-    ends = a.select("article", F.explode(F.filter(F.transform(F.sequence(F.lit(2), F.lit(3)), lambda n: F.right("title", n)), lambda e: e.startswith("0"))).alias("e"))
-    phrase = lines.withColumn("e", F.concat(F.lit("0"), F.col("line").cast("string"))).join(ends, "e").select("line", "article", F.lit(2.0).alias("score"))
-    score = branch(F.col("nation") == F.col("line"), 2.5).unionByName(branch(F.col("start") == F.col("stem"), 1.0)).unionByName(phrase).groupBy("line", "article").agg(F.sum("score").alias("score"))
-    return R.top_k(score.filter("score >= 2.0"), ["line"], [F.desc("score"), F.col("article")], 50)
+    """New articles of a line by nation, keyword or phrase, scored by all they share. Nations stand for lines, orders of a year for articles."""
+    n = F.col("n_nationkey")
+    word = lambda letter, c: F.concat(F.lit(letter), c.cast("string"))
+    topic = F.when(F.col("n_regionkey") == 0, "building").when(F.col("n_regionkey") == 1, "machinery").otherwise("weather")
+    phrases = F.when(n % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(word("story ", n * 4), F.concat(word("number ", n), F.lit(" story"))))
+    lines = read(spark, sf_dir, "nation").select(
+        n.alias("line"), F.array(n).alias("nations"), F.array(word("k", n), word("k", n + 30), word("m", n)).alias("keywords"), F.array(word("e", n), word("f", n)).alias("entities"), F.array(F.lit("story"), topic).alias("title"), phrases.alias("phrases")
+    )
+    o, c = F.col("o_orderkey"), F.col("o_custkey")
+    title = F.concat(F.lower("c_mktsegment"), word(" number ", o % 40), word(" story ", o % 100))
+    orders, customers = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
+    articles = orders.join(customers, F.col("c_custkey") == c).select(
+        o.alias("article"), F.col("o_orderdate").alias("published"), F.col("c_nationkey").alias("nation"), F.array(word("k", o % 90), word("m", c % 35), F.lower("c_mktsegment")).alias("keywords"), F.array(word("e", c % 40), word("f", o % 60)).alias("entities"), title.alias("title")
+    )
+    attached = orders.filter(o % 3 == 0).select((o % 25).alias("line"), o.alias("article"))
+    return stories.umbrella_links(lines, articles, attached, F.expr("TIMESTAMP_NTZ'2001-08-02 00:00:00' - INTERVAL 365 DAYS"))
 
 
 @query("""WITH t AS (SELECT o_custkey AS thread, max(o_orderdate)::DATE AS newest FROM orders GROUP BY 1), l AS (SELECT thread % 40 AS line, max(newest) AS live FROM t GROUP BY 1)

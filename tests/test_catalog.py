@@ -14,7 +14,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 SOME = (
     "trending_keywords rising_keywords quartile_sample upsert band_self_join thread_lifecycle fallback_chain keyword_extraction "
-    "lexicon_sentiment nation_extraction entity_relevance alias_match orphan_attachment thread_merge line_attachment neighbour_clusters thread_groups tiered_sample video_slots "
+    "lexicon_sentiment nation_extraction entity_relevance alias_match orphan_attachment thread_merge line_attachment umbrella_attachment neighbour_clusters thread_groups tiered_sample video_slots "
     "image_choice value_table anti_join_tuple insert_returning feed_rows page_links json_rows html_table_values csv_pivot keyword_clusters embedding_clusters identity_match pruned_graph "
     "top_bigrams stream_deduplicated stream_sliding_counts stream_counters stream_failures stream_hot_edge stream_enriched signal_words story_identities selected_page_links parallel_arrays thread_links thread_edges graded_values keyword_variants folded_keywords document_tokens folded_texts"
 ).split()

@@ -111,3 +111,20 @@ def test_earlier_stories_with_a_review_band(spark):
     assert got[21] == [(20, 1.0, "same")] + [(k, 1.0, "same") for k in range(22, 26)]
     # 60 days back from 2 May leave 4 and 5 March, not 1 March
     assert got[3] == [(7, 1.0, "same")] + [(k, 1.0, "same") for k in range(20, 24)]
+
+
+def test_umbrella_links(spark):
+    """Gate, caps, phrases of several words, attached and old articles, nulls and repeated rows."""
+    lines = [(1, ["US"], ["k"], ["e1", "e2"], ["gaza"], ["west bank", "gaza"]), (2, [], [], [], [], []), (3, ["FR"], None, None, None, None)]
+    lines = spark.createDataFrame(lines, "line long, nations array<string>, keywords array<string>, entities array<string>, title array<string>, phrases array<string>")
+    rows = [
+        (1, 9, "US", None, None, "nothing shared but the nation"), (2, 9, "DE", [], [], "On the West-Bank, today"), (3, 8, "DE", ["k"], ["e1"], "west of the bank"), (4, 8, None, ["k"], ["e9"], "no entity"), (5, 7, "US", ["k"], ["e1", "e2"], "Gaza"),
+        (6, 1, "US", ["k"], ["e1"], "gaza, but old"), (7, 9, "US", ["k"], ["e1"], "gaza, but attached"), (8, 9, None, None, None, None), (9, 9, "FR", ["k2"], ["e"], "france"), (5, 7, "US", ["k"], ["e1", "e2"], "Gaza"),
+    ]
+    articles = spark.createDataFrame(rows, "article long, published int, nation string, keywords array<string>, entities array<string>, title string").distinct()
+    attached = spark.createDataFrame([(1, 7), (1, 7)], "line long, article long")
+    found = lambda **how: [(r["line"], r["article"], r["score"], r["by_phrase"]) for r in stories.umbrella_links(lines, articles, attached, F.lit(5), **how).orderBy("line", F.desc("score"), "article").collect()]
+    assert found() == [(1, 5, 10.9, True), (1, 3, 3.5, False)]  # article 2 has a phrase alone: 2.0
+    assert found(most=1) == [(1, 5, 10.9, True)]
+    assert found(candidates=3) == [(1, 3, 3.5, False)]
+    assert stories.umbrella_links(lines, articles.limit(0), attached, F.lit(5)).count() == 0
