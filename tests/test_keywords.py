@@ -68,3 +68,25 @@ def test_similar_sets_beside_themselves(spark):
     got = {(r["a"], r["b"]) for r in similar_sets(df, df, 0.55, once=True).collect()}
     want = {(a, b) for a, b in combinations(sets, 2) if len(set(sets[a]) & set(sets[b])) >= 0.55 * len(set(sets[a]) | set(sets[b])) - 1e-12}
     assert got == want and want
+
+
+def test_identity_match_loses_no_link_between_different_texts(spark, tmp_path):
+    """Copies come once, beside the least of their text; different texts are all paired, with equal sets of words or not."""
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(12)]
+    texts = {n: " ".join(rng.sample(words, rng.randrange(5, 10))) for n in range(30)}
+    texts |= {n: " ".join(reversed(texts[n % 10].split())) + "!" for n in range(30, 50)}
+    texts |= {n: texts[n % 15 + 20] for n in range(50, 90)} | {90: None, 91: "", 92: "a b c", 93: "a b c", 94: "WORD1 word2."}
+    rows = rng.sample(list(texts.items()), len(texts))
+    spark.createDataFrame([*rows, (None, texts[3]), (None, "lonely")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["a"], r["b"], r["jaccard"]) for r in graphs.identity_match(spark, str(tmp_path)).collect())
+    sets = {n: {w for w in (t or "").lower().strip("!.").split() if len(w.strip("!")) >= 5} for n, t in texts.items()}
+    lead = {}
+    for n in sorted(texts):
+        lead.setdefault(texts[n], n)
+    want = [(lead[texts[n]], n, 1.0) for n in texts if sets[n] and lead[texts[n]] != n]
+    for a, b in combinations(sorted(n for n in lead.values() if sets[n]), 2):
+        alike = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+        want += [(a, b, round(alike, 6))] * (alike >= 0.55)
+    assert got == sorted(want)
+    assert sum(sets[a] == sets[b] and texts[a] != texts[b] for a, b, _ in got) > 10
