@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
     return flat[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
-class Remembered(dict):
+class Remembered(defaultdict):
     """Words and their numbers; the ids of word n are ``flat[bounds[n]:bounds[n + 1]]``.
 
     ``encode_words`` gives the ids of new words: a list for each, or all in one array and how many each has. Beyond ``most`` words all are forgotten.
@@ -28,17 +29,13 @@ class Remembered(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.new: list[str] = []
+        self.default_factory = count().__next__
         self.flat, self.used = np.zeros(1 << 16, dtype="<u4"), 0
         self.bounds, self.known = np.zeros(1 << 16, dtype=np.int64), 0
 
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
     def learn(self) -> None:
-        new = self.encode_words(self.new)
+        """Encode the words that have got a number since the last time."""
+        new = self.encode_words(list(islice(reversed(self), len(self) - self.known))[::-1])
         if isinstance(new, tuple):
             flat, sizes = new
         else:
@@ -51,25 +48,40 @@ class Remembered(dict):
             self.bounds = np.concatenate([self.bounds, np.zeros_like(self.bounds)])
         self.flat[self.used : ends[-1]] = flat
         self.bounds[self.known + 1 : self.known + 1 + len(sizes)] = ends
-        self.used, self.known, self.new = int(ends[-1]), self.known + len(sizes), []
+        self.used, self.known = int(ends[-1]), self.known + len(sizes)
 
-    def flat_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of ``words`` one after another, and how many each has."""
+    def places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each of ``words`` start in ``flat``, and how many they are."""
         if len(self) > self.most:
             self.forget()
         numbers = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
+        if len(self) > self.known:
             self.learn()
         starts = self.bounds[numbers]
-        sizes = self.bounds[numbers + 1] - starts
+        return starts, self.bounds[numbers + 1] - starts
+
+    def flat_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``words`` one after another, and how many each has."""
+        starts, sizes = self.places(words)
         return gathered(self.flat, starts, sizes), sizes
 
+    def text_ids(self, texts: list[str | None]) -> Iterator[np.ndarray | None]:
+        """The ids of each text (None stays None), cut into words at ASCII white space; each different word is looked up once."""
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        words = lists.flatten().dictionary_encode()
+        starts, sizes = self.places(words.dictionary.to_numpy(zero_copy_only=False).tolist())
+        at = words.indices.to_numpy()
+        flat = gathered(self.flat, starts[at], sizes[at])
+        ends = np.append(0, sizes[at].cumsum())[np.append(0, pc.fill_null(lists.value_lengths(), 0).to_numpy().cumsum())].tolist()
+        for text, i, j in zip(texts, ends, ends[1:], strict=False):
+            yield None if text is None else flat[i:j]
+
     def ids(self, texts: list[list[str] | None]) -> Iterator[np.ndarray | None]:
         """The ids of each text, given as its words (None stays None)."""
         if len(self) > self.most:
             self.forget()
         numbers = [None if x is None else np.fromiter(map(self.__getitem__, x), np.int64, len(x)) for x in texts]
-        if self.new:
+        if len(self) > self.known:
             self.learn()
         for n in numbers:
             if n is None:

@@ -23,7 +23,6 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,8 @@ LIMIT, END, SALTS = 2048, 0, 256
 GAP, ROUNDS = 1e-3, 256
 #: Unique words that a worker remembers.
 REMEMBERED = 3 << 19
+#: Bytes of text that are encoded together; each different word of them is looked up once.
+SLICE = 1 << 22
 
 _LETTER = "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "L")
 _DIGIT = "".join(c for c in map(chr, range(0x250)) if unicodedata.category(c)[0] == "N")
@@ -46,6 +47,8 @@ _BLANK = "\t\n\x0b\x0c\r \x85\xa0"
 PLAIN = re.compile("[\t-\r -~\xa0-ɏ‐-‧‰-⁞]*")
 #: Fixed pattern: the splitter of the word vocabulary, over the characters of PLAIN.
 WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{re.escape(_LETTER)}]+|[{re.escape(_DIGIT)}]|[^{re.escape(_LETTER + _DIGIT + _BLANK)}]+")
+#: The same with the ends of words, one in a line.
+PART = re.compile(WORD.pattern + "|\n")
 
 
 class Words:
@@ -58,35 +61,38 @@ class Words:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # parts are normalised and split already, so the vocabulary's merges are all that is left to do
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         for piece, k in self.tokenizer.get_vocab().items():
             self.ends[k] = piece.endswith("</w>")
         self.parts = Remembered(self.encode_parts, REMEMBERED)
         self.known = Remembered(self.encode_words, REMEMBERED)
 
-    def encode_parts(self, parts: list[str]) -> list[list[int]]:
+    def encode_parts(self, parts: list[str]) -> list[list[int]] | tuple[np.ndarray, np.ndarray]:
         """Encode different parts as one text and cut its ids at the ends of parts."""
-        ids = self.tokenizer.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids
-        cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist() if ids else []
+        ids = np.array(self.merges.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) == len(parts):
-            return [ids[i:j] for i, j in zip([0, *cuts], cuts, strict=False)]
+            return ids, np.diff(cuts, prepend=0)
         return [x.ids for x in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words one after another, and how many each has."""
-        parts = list(map(WORD.findall, words))
-        ends = np.fromiter(map(len, parts), np.int64, len(parts)).cumsum()
-        flat, sizes = self.parts.flat_ids(list(chain.from_iterable(parts)))
+        parts = PART.findall("\n".join([*words, ""]))
+        ends = np.array([k for k, x in enumerate(parts) if x == "\n"], dtype=np.int64) - np.arange(len(words))
+        flat, sizes = self.parts.flat_ids([x for x in parts if x != "\n"])
         before = np.append(0, sizes.cumsum())
         return flat, np.diff(before[np.append(0, ends)])
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
-        words = [x.lower().split() if "<|" not in x and PLAIN.fullmatch(x) else None for x in texts]
-        for text, ids in zip(texts, self.known.ids(words), strict=True):
+        plain = [x.lower().replace("\xa0", " ") if "<|" not in x and PLAIN.fullmatch(x) else None for x in texts]
+        for text, ids in zip(texts, self.known.text_ids(plain), strict=True):
             yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4") if ids is None else ids
 
 
@@ -100,7 +106,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int =
         if tokenizer not in _words:
             _words[tokenizer] = Words(tokenizer)
         words = _words[tokenizer]
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             rows = []
             for row, ids in enumerate(words.encode(part.column(1).to_pylist())):
                 ids = np.append(ids, np.uint32(end)).astype("<u4", copy=False)

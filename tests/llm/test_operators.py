@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import itertools
 import os
+import random
 import re
 from collections import Counter
 
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswave.llm import exact_dedup, html_extract, line_dedup, near_dedup, packing, permutation_index, quality, quotes, sentencepiece_codec, warc
+from presswave.llm.lookup import Remembered
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i}" for i in range(400))
@@ -622,3 +624,29 @@ def test_pipeline_rows(spark, tmp_path):
         assert lines.columns == df.columns and all(r["n_chars"] == len(r["text"]) for r in lines.collect())
         rows = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert bool(rows) == (name == "odd") and {r["doc_id"] for r in rows} <= {r["doc_id"] for r in df.collect()}
+
+
+def test_words_of_a_slice_are_looked_up_once():
+    """Ids equal the tokenizer's for odd texts, also when words are forgotten; a word's repeats in a slice cost no lookup."""
+    from tokenizers import Tokenizer
+
+    class Counted(Remembered):
+        asked = 0
+
+        def __getitem__(self, word):
+            self.asked += 1
+            return super().__getitem__(word)
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, words, rng = Tokenizer.from_file(path), packing.Words(path), random.Random(11)
+    words.known, words.parts = Counted(words.encode_words, 40), Remembered(words.encode_parts, 30)
+    characters = "abcdeéñßİıǅ'0129½²ª.,!|<>-\xa0\xad \t\n\r\x0b\x0c‐…‰⁞\x1c\x85ſÀ中\u0301"
+    odd = ["", " ", "\xa0", "\n\n a\xa0b \x0c", "it's we'll 'SALE'", "a<|endoftext|>b", "<|x", "İstanbul ǅ e\u0301", "中 文", *("".join(rng.choices(characters, k=rng.randrange(40))) for _ in range(400)), "", "last"]
+    for k in range(0, len(odd), 37):
+        part = odd[k : k + 37]
+        assert [x.tolist() for x in words.encode(part)] == [plain.encode(x, add_special_tokens=False).ids for x in part]
+    assert list(words.encode([])) == [] and [x.tolist() for x in words.encode(["", " "])] == [[], []]
+    words.known.asked = 0
+    again = ["the same words\nagain " * 500] * 4
+    assert [x.tolist() for x in words.encode(again)] == [plain.encode(x, add_special_tokens=False).ids for x in again]
+    assert words.known.asked == 5  # four words, and the empty end of a text
