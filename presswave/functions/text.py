@@ -145,6 +145,11 @@ def fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", *(F.coalesce(p, F.lit("")) for p in parts)), 256)
 
 
+def ascii_edges(pattern: str) -> str:
+    """A pattern whose word boundaries know ASCII words alone, as in SQL and the reference; those of Java take letters of all scripts for words."""
+    return pattern.replace(r"\b", r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))")
+
+
 def is_ascii(text: Column) -> Column:
     return text.rlike(r"^[\x00-\x7F]*$")
 

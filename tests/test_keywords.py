@@ -90,3 +90,10 @@ def test_identity_match_loses_no_link_between_different_texts(spark, tmp_path):
         want += [(a, b, round(alike, 6))] * (alike >= 0.55)
     assert got == sorted(want)
     assert sum(sets[a] == sets[b] and texts[a] != texts[b] for a, b, _ in got) > 10
+
+
+def test_title_gate_takes_ascii_letters_alone_for_words(spark, tmp_path):
+    """A letter of another script beside a junk word does not hide it, as in SQL."""
+    titles = {1: "as, que queñiejaco", 2: "éque que leen", 3: "que quejas", 4: "a que que b", 5: "aque que", 6: "éé ñ", 7: "horoscope_x", 8: "Plain title"}
+    spark.createDataFrame([(n, t + "\nrest", "src3") for n, t in titles.items()], "doc_id int, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r["doc_id"] for r in enrichment.title_junk_gate(spark, str(tmp_path)).collect()) == [3, 5, 7, 8]
