@@ -30,9 +30,9 @@ def identity_candidates(threads: DataFrame, identities: DataFrame, same: float =
     asked = threads.select("id", "seen", named("a"))
     # of one set, thread and day only the first few identities can be among those shown
     known = R.top_k(identities.select("identity", F.col("seen").alias("last"), named("b")), ["b", "last"], [F.col("identity")], shown + 1)
-    days_of = asked.select("a", "seen").distinct().join(near, "a").join(known, "b").filter((F.col("last") <= F.col("seen")) & (F.col("last") > F.date_sub("seen", days)))
+    days_of = asked.select("a", "seen").distinct().join(R.shuffled(near), "a").join(R.shuffled(known), "b").filter((F.col("last") <= F.col("seen")) & (F.col("last") > F.date_sub("seen", days)))
     best = R.top_k(days_of, ["a", "seen"], [F.desc("sim"), F.desc("last"), F.col("identity")], shown + 1)
-    mine = best.join(asked, ["a", "seen"]).filter("identity != id")
+    mine = best.join(R.shuffled(asked), ["a", "seen"]).filter("identity != id")
     ranked = R.top_k(mine, ["id"], [F.desc("sim"), F.desc("last"), F.col("identity")], shown, "rank")
     return ranked.select("id", "rank", "identity", F.round("sim", 6).alias("likeness"), F.when(F.col("sim") >= same, "same").otherwise("review").alias("verdict"))
 
@@ -41,9 +41,9 @@ def winners(threads: DataFrame, pairs: DataFrame) -> DataFrame:
     """id, winner, place of every thread of ``pairs`` (a, b): the place in its group by importance, articles, recency, and id; the winner's is 1."""
     parts = connected_components(pairs.selectExpr("a AS u", "b AS v")).select(F.col("node").alias("id"), F.col("component").alias("story"))
     order = Window.partitionBy("story").orderBy(F.desc_nulls_last("importance"), F.desc_nulls_last("article_count"), F.desc_nulls_last("updated"), "id")
-    placed = parts.join(threads.select("id", "importance", "article_count", "updated"), "id").withColumn("place", F.row_number().over(order))
+    placed = parts.join(R.shuffled(threads.select("id", "importance", "article_count", "updated")), "id").withColumn("place", F.row_number().over(order))
     best = placed.filter("place = 1").select("story", F.col("id").alias("winner"))
-    return placed.join(best, "story").select("id", "winner", "place")
+    return placed.join(R.shuffled(best), "story").select("id", "winner", "place")
 
 
 def united(members: DataFrame, values: str, key: Column) -> DataFrame:
@@ -67,7 +67,7 @@ def merge_threads(threads: DataFrame, links: DataFrame, ejections: DataFrame, pa
     out = ejections.select(F.col("thread_id").alias("winner"), F.col("article_id").alias("gone")).distinct()
     told = links.join(members, F.col("thread_id") == F.col("id"), "left")
     kept = told.filter("place IS NULL OR place = 1").select("thread_id", "article_id", F.lit(1).alias("place"), "relevance", "is_anchor")
-    lost = told.filter("place > 1").select("winner", F.col("article_id").alias("gone"), "place", "relevance").join(out, ["winner", "gone"], "left_anti")
+    lost = told.filter("place > 1").select("winner", F.col("article_id").alias("gone"), "place", "relevance").join(R.shuffled(out), ["winner", "gone"], "left_anti")
     moved = lost.select(F.col("winner").alias("thread_id"), F.col("gone").alias("article_id"), "place", "relevance", F.lit(False).alias("is_anchor"))
     new_links = kept.union(moved).groupBy("thread_id", "article_id").agg(F.min(F.struct("place", F.struct((~F.col("is_anchor")).alias("no"), (-F.col("relevance")).alias("less"), "relevance", "is_anchor").alias("x"))).alias("f")).select("thread_id", "article_id", "f.x.relevance", "f.x.is_anchor")
     counts = new_links.groupBy(F.col("thread_id").alias("id")).agg(F.count("*").alias("n"))
@@ -75,8 +75,8 @@ def merge_threads(threads: DataFrame, links: DataFrame, ejections: DataFrame, pa
     keys = united(own, "keywords", F.lower(F.trim("v"))).withColumnRenamed("keywords", "all_keywords")
     nations = united(own, "nations", F.upper(F.trim("v"))).withColumnRenamed("nations", "all_nations")
     most = own.groupBy("winner").agg(F.max("importance").alias("most"))
-    sums = most.join(keys, "winner", "left").join(nations, "winner", "left").withColumnRenamed("winner", "id")
-    every = threads.join(members.select("id", "place"), "id", "left").join(sums, "id", "left").join(counts, "id", "left")
+    sums = most.join(R.shuffled(keys), "winner", "left").join(R.shuffled(nations), "winner", "left").withColumnRenamed("winner", "id")
+    every = threads.join(members.select("id", "place"), "id", "left").join(R.shuffled(sums), "id", "left").join(R.shuffled(counts), "id", "left")
     wins, loses = F.col("place") == 1, F.col("place") > 1
     new_threads = every.select(
         "id",

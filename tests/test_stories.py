@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from presswave.operators import edges, names, stories
+from presswave.plans import threads
 
 THREADS = "id int, status string, importance double, article_count long, updated int, keywords array<string>, nations array<string>"
 
@@ -128,3 +129,30 @@ def test_umbrella_links(spark):
     assert found(most=1) == [(1, 5, 10.9, True)]
     assert found(candidates=3) == [(1, 3, 3.5, False)]
     assert stories.umbrella_links(lines, articles.limit(0), attached, F.lit(5)).count() == 0
+
+
+THREAD_SETS = "id long, category string, title array<string>, keys array<string>, nations array<string>"
+
+
+def test_links_of_threads_broadcast_nothing_by_the_size_of_columns(spark):
+    """Arrays made from short columns are larger than Spark takes them for: the sides of these joins are shuffled."""
+    rows = [(k, None, [f"a{k // 2}", f"b{k // 2}", f"c{k // 2}"], [f"k{k // 2}", f"m{k // 3}"], ["x"]) for k in range(12)]
+    df = threads.duplicate_links(spark.createDataFrame(rows, THREAD_SETS))
+    assert sorted(tuple(r) for r in df.collect()) == [(k, k + 1) for k in range(0, 12, 2)]
+    assert "BroadcastHashJoin" not in df._jdf.queryExecution().toString()
+
+
+def test_a_common_key_forms_no_pairs_of_sets_that_cannot_be_alike(spark):
+    rows = [(k, [f"x{k}", f"y{k}", f"z{k}", f"brand{k % 2}", "type"]) for k in range(80)]
+    assert threads.alike_pairs(spark.createDataFrame(rows, "id long, s array<string>"), 0.4).count() == 0
+
+
+def test_alike_pairs_lose_no_pair(spark):
+    import random
+
+    draw = random.Random(6)
+    sets = {k: sorted({draw.choice("abcdefghijklmnop") for _ in range(draw.randint(1, 12))}) for k in range(120)}
+    df = spark.createDataFrame(list(sets.items()), "id long, s array<string>")
+    for least in (0.4, 0.55):
+        got = {(r["a"], r["b"]) for r in threads.alike_pairs(df, least).collect()}
+        assert {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and len({*x} & {*y}) / len({*x} | {*y}) >= least} <= got
