@@ -97,3 +97,18 @@ def test_title_gate_takes_ascii_letters_alone_for_words(spark, tmp_path):
     titles = {1: "as, que queñiejaco", 2: "éque que leen", 3: "que quejas", 4: "a que que b", 5: "aque que", 6: "éé ñ", 7: "horoscope_x", 8: "Plain title"}
     spark.createDataFrame([(n, t + "\nrest", "src3") for n, t in titles.items()], "doc_id int, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(r["doc_id"] for r in enrichment.title_junk_gate(spark, str(tmp_path)).collect()) == [3, 5, 7, 8]
+
+
+def test_identity_pairs_are_all_pairs(spark, tmp_path, monkeypatch):
+    """Copies and equal sets are paired with one another and with all that is alike, in whatever parts a common set is dealt out."""
+    monkeypatch.setattr(graphs, "TOGETHER", 4)
+    rng = random.Random(11)
+    words = [f"word{i}" for i in range(12)]
+    texts = {n: " ".join(rng.sample(words, rng.randrange(5, 10))) for n in range(20)}
+    texts |= {n: texts[n % 4] for n in range(20, 45)} | {n: " ".join(reversed(texts[n % 4].split())) for n in range(45, 55)} | {90: None, 91: "", 92: "a b"}
+    spark.createDataFrame([*texts.items()], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["a"], r["b"], r["jaccard"]) for r in graphs.identity_pairs(spark, str(tmp_path)).collect())
+    sets = {n: set(t.split()) for n, t in texts.items() if t and n < 90}
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in combinations(sorted(sets), 2)}
+    assert got == sorted((a, b, round(s, 6)) for (a, b), s in alike.items() if s >= 0.55)
+    assert (24, 28, 1.0) in got
