@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presswave.functions import scoring as S
 from presswave.functions import text as T
 from presswave.functions.registry import query, read
+from presswave.operators import relational as R
 from presswave.operators import rerank
+from presswave.storage import materialize
 
 
 @query("""WITH a AS (SELECT event_id, value, user_id, (epoch(TIMESTAMP '2024-01-31') - epoch(date_trunc('second', ts))) / 3600.0 AS age FROM events)
@@ -54,13 +56,28 @@ def geographic_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return direct.unionByName(shared).unionByName(source).groupBy("nation").agg(F.round(F.sum("w"), 6).alias("weight"))
 
 
+#: Keys of one name that are listed together.
+LISTED = 256
+
+
 @query("""WITH w AS (SELECT a.p_partkey AS a, b.p_partkey AS b, list_distinct(string_split(lower(a.p_name), ' ')) AS x, list_distinct(string_split(lower(b.p_name), ' ')) AS y FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey)
     SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 6) AS jaccard, round(len(list_intersect(x, y)) / least(len(x), len(y)), 6) AS contained FROM w""")
 def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jaccard and containment of names inside blocks of brand and size."""
     p = read(spark, sf_dir, "part").select("p_brand", "p_size", "p_partkey", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"))
-    pairs = p.selectExpr("p_brand", "p_size", "p_partkey AS a", "w AS x").join(p.selectExpr("p_brand", "p_size", "p_partkey AS b", "w AS y"), ["p_brand", "p_size"]).filter("a < b")
-    return pairs.select("a", "b", F.round(T.jaccard(F.col("x"), F.col("y")), 6).alias("jaccard"), F.round(T.containment(F.col("x"), F.col("y")), 6).alias("contained"))
+    # the keys of one name in a block, in order, are lists of at most LISTED, and names of a block are compared once
+    place = F.row_number().over(Window.partitionBy("p_brand", "p_size", "w").orderBy("p_partkey"))
+    lists = p.filter("p_brand IS NOT NULL AND p_size IS NOT NULL").withColumn("list", F.floor((place - 1) / LISTED)).groupBy("p_brand", "p_size", "w", "list").agg(F.sort_array(F.collect_list("p_partkey")).alias("keys"))
+    names = materialize(lists, "names")
+    kinds = names.select("p_brand", "p_size", "w").distinct()
+    # as in SQL a second name that is null shares nothing, and beside a first one that is null nothing is known
+    words = [F.col("x"), F.coalesce("y", F.array().cast("array<string>"))]
+    told = lambda f: F.when(F.col("x").isNotNull(), F.round(f(*words), 6))
+    scores = kinds.withColumnRenamed("w", "x").join(R.shuffled(kinds.withColumnRenamed("w", "y")), ["p_brand", "p_size"]).withColumns({"jaccard": told(T.jaccard), "contained": told(T.containment)})
+    alike = lambda c: [F.col(f"s.{k}") == F.col(f"n.{k}") for k in ("p_brand", "p_size")] + [F.col(f"s.{c}").eqNullSafe(F.col("n.w"))]
+    met = scores.alias("s").join(R.shuffled(names.alias("n")), alike("y")).select("s.*", F.col("keys").alias("others")).alias("s").join(R.shuffled(names.alias("n")), alike("x"))
+    able = met.filter(F.get("keys", F.lit(0)) < F.element_at("others", -1)).select(F.explode("keys").alias("a"), "others", "jaccard", "contained")
+    return able.select("a", F.explode("others").alias("b"), "jaccard", "contained").filter("a < b")
 
 
 @query("""WITH b AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda w: length(w) >= 3) AS ws FROM documents), g AS (SELECT doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS g FROM b), c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL),
