@@ -24,9 +24,11 @@ def identity_candidates(threads: DataFrame, identities: DataFrame, same: float =
     first, then the later seen. From ``same`` on the verdict is same, from ``review`` on review; less alike ones are not shown.
     Equal sets of keys are compared once; a set that many identities share brings its few latest of each day.
     """
-    sets = lambda rows: rows.select(F.array_sort("keys").alias("s")).filter(F.size("s") > 0).distinct().withColumn("key", F.array_join("s", "\x00"))
+    # 128 bits of hash stand for a set, whose text would be shuffled with each of its keys
+    told = lambda s: F.unhex(F.substring(F.sha2(F.array_join(s, "\x00"), 256), 1, 32))
+    sets = lambda rows: rows.select(F.array_sort("keys").alias("s")).filter(F.size("s") > 0).distinct().withColumn("key", told("s"))
     near = similar_sets(sets(threads), sets(identities), review)
-    named = lambda c: F.array_join(F.array_sort("keys"), "\x00").alias(c)
+    named = lambda c: told(F.array_sort("keys")).alias(c)
     asked = threads.select("id", "seen", named("a"))
     # of one set, thread and day only the first few identities can be among those shown
     known = R.top_k(identities.select("identity", F.col("seen").alias("last"), named("b")), ["b", "last"], [F.col("identity")], shown + 1)

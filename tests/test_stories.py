@@ -156,3 +156,15 @@ def test_alike_pairs_lose_no_pair(spark):
     for least in (0.4, 0.55):
         got = {(r["a"], r["b"]) for r in threads.alike_pairs(df, least).collect()}
         assert {(a, b) for a, x in sets.items() for b, y in sets.items() if a < b and len({*x} & {*y}) / len({*x} | {*y}) >= least} <= got
+
+
+def test_sets_of_stories_are_shuffled_by_hash(spark, monkeypatch):
+    """The key that goes with each element of a set is short, however long the set's text is."""
+    from datetime import date
+
+    seen = {}
+    whole = stories.similar_sets
+    monkeypatch.setattr(stories, "similar_sets", lambda left, right, least: seen.update(kind=left.schema["key"].dataType.simpleString()) or whole(left, right, least))
+    df = spark.createDataFrame([(k, date(2024, 3, k), ["word" * 9, "x" * 50]) for k in (1, 2)], "id int, seen date, keys array<string>")
+    got = stories.identity_candidates(df, df.withColumnRenamed("id", "identity")).collect()
+    assert [tuple(r) for r in got] == [(2, 1, 1, 1.0, "same")] and seen["kind"] == "binary"
